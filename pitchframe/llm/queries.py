@@ -1,8 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from .language import op10_language
 from .packing import op4_packing
+from .quality import op7_quality
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_packing)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_packing, op7_quality, op10_language)}
 
 ORACLES: dict[str, str] = {}
