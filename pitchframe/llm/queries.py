@@ -3,8 +3,9 @@
 from .language import op10_language
 from .packing import op4_packing
 from .quality import op7_quality
+from .simhash import op8_simhash
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_packing, op7_quality, op10_language)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_packing, op7_quality, op8_simhash, op10_language)}
 
 ORACLES: dict[str, str] = {}
