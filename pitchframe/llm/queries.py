@@ -1,11 +1,19 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from .chat import CHAT_SQL, op9_chat
+from .iblt import op5_fingerprints
 from .language import op10_language
 from .packing import op4_packing
+from .pii import op6_pii
 from .quality import op7_quality
 from .simhash import op8_simhash
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_packing, op7_quality, op8_simhash, op10_language)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_token_files, op4_packing, op5_fingerprints, op6_pii, op7_quality, op8_simhash, op9_chat, op10_language,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_chat": CHAT_SQL}
