@@ -3,6 +3,7 @@
 from .chat import CHAT_SQL, op9_chat
 from .iblt import op5_fingerprints
 from .language import op10_language
+from .neighbours import op2_neighbours
 from .packing import op4_packing
 from .pii import op6_pii
 from .quality import op7_quality
@@ -12,7 +13,7 @@ from .token_files import op3_token_files
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_token_files, op4_packing, op5_fingerprints, op6_pii, op7_quality, op8_simhash, op9_chat, op10_language,
+        op2_neighbours, op3_token_files, op4_packing, op5_fingerprints, op6_pii, op7_quality, op8_simhash, op9_chat, op10_language,
     )
 }
 
