@@ -3,10 +3,10 @@
 Fingerprints: 64-bit SimHash of word shingles. Two documents link if their fingerprints differ in at most
 ``distance`` bits; a document's component is the smallest doc_id reachable over links.
 
-The index. Equal fingerprints are one entry. The 64 bits are cut into ``blocks + distance`` blocks; two linked
-fingerprints agree on at least ``blocks`` of them, so each fingerprint is keyed by the value of every choice of
-``blocks`` blocks and each key's fingerprints are searched alone. ``blocks`` grows with the logarithm of the number of
-fingerprints, which keeps groups small at any size. Inside a group the fingerprints are sorted by Gray rank, so
+The index. Equal fingerprints are one entry. Each is keyed by its bits under several masks, and each key's fingerprints are
+searched alone. For small distances the masks are the choices of ``blocks`` of ``blocks + distance`` blocks of bits, one of
+which two linked fingerprints must agree on; for larger ones they are random, as many as find nearly all pairs. Masks
+get longer with the logarithm of the number of fingerprints, which keeps groups small. Inside a group they are sorted by Gray rank, so
 neighbours share bits; each node above holds the bits its members all set and the bits that any sets. Two nodes
 are compared level by level: they are pruned as a whole once the bits on which their shared patterns differ exceed the
 distance, and linked as a whole, without listing pairs, once no bits on which their members can differ exceed it.
@@ -20,6 +20,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,46 +34,62 @@ FAN = 8  #: children of a node
 PAIRS = 1_000_000  #: node pairs compared at once
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """The text's SimHash: bit k is set if it is in over half of the XXH64 values of its shingles."""
+def shingle_hashes(text: str, shingle: int):
+    """The XXH64 values of the text's shingles, repeats included; none for a text without words."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(line, 42)
+        return np.array([digest(line, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    total = np.zeros(64, np.int64)
-    for lo in range(0, len(starts), PIECE):
-        part = [digest(line[a:b], 42) for a, b in zip(starts[lo : lo + PIECE], ends[lo : lo + PIECE], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-        total += bits.sum(axis=0, dtype=np.int64)
-    over = np.packbits(2 * total > len(starts), bitorder="little")
-    return int(over.view("<u8")[0])
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, *keep: str) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and ``keep`` for each row of ``docs``."""
+def fingerprint(text: str, shingle: int = 4, words: int = 1) -> list[int]:
+    """The text's SimHash, 64 bits a word: bit k is set if it is in over half of the values of its shingles.
+
+    Words after the first are made from the shingles' values mixed anew.
+    """
+    import numpy as np
+
+    hashes, out = shingle_hashes(text, shingle), []
+    for n in range(words):
+        total = np.zeros(64, np.int64)
+        for lo in range(0, len(hashes), PIECE):
+            part = hashes[lo : lo + PIECE]
+            if n:
+                part = (part ^ (part >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
+                part = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                part ^= part >> np.uint64(32)
+            total += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        over = np.packbits(2 * total > len(hashes), bitorder="little")
+        out.append(int(over.view("<u8")[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
+    """doc_id and w0, w1, ... (the fingerprint's words as signed longs) for each row of ``docs``."""
+    names = [f"w{n}" for n in range(words)]
 
     def hashed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
-            fps = pa.array(np.array(found, np.uint64).view(np.int64))
+            found = [fingerprint(t, shingle, words) for t in batch.column("text").to_pylist()]
+            fps = np.array(found, np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), fps, *(batch.column(k) for k in keep)], ["doc_id", "fp", *keep]
+                [batch.column("doc_id"), *(pa.array(fps[:, n].copy()) for n in range(words))], ["doc_id", *names]
             )
 
-    kinds = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{kinds}"
-    return texts(docs, *keep).mapInArrow(hashed, schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)
+    return texts(docs).mapInArrow(hashed, schema)
 
 
 def _cuts(parts: int) -> list[tuple[int, int]]:
@@ -81,31 +98,51 @@ def _cuts(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def keyed(fps: DataFrame, blocks: int, distance: int) -> DataFrame:
-    """fp, choice (which blocks), key (their values): one row for each choice."""
+def exact_masks(n: int, distance: int, group_size: int) -> list[int]:
+    """Bits to key by so that any two fingerprints within ``distance`` agree on all bits of at least one mask."""
+    blocks = 1  # so many that a key's expected share of n evenly spread fingerprints is at most group_size
+    while blocks < 4 and n / 2 ** (64 * blocks // (blocks + distance)) > group_size:
+        blocks += 1
     cuts = _cuts(blocks + distance)
-    rows = []
-    for n, choice in enumerate(combinations(range(len(cuts)), blocks)):
-        mask = sum(((1 << size) - 1) << at for at, size in (cuts[i] for i in choice))
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        rows.append(F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
-    return fps.select("fp", F.explode(F.array(*rows)).alias("k")).select("fp", "k.choice", "k.key")
+    return [sum(((1 << size) - 1) << at for at, size in choice) for choice in combinations(cuts, blocks)]
+
+
+def likely_masks(n: int, share: float, group_size: int, misses: float = 4.0, seed: int = 3) -> list[int]:
+    """Random bits to key by: two fingerprints that differ in ``share`` of their bits agree on all bits of at least one
+    mask with probability 1 - exp(-misses)."""
+    import random
+
+    bits = max(8, math.ceil(math.log2(max(2, n / group_size))))
+    draw = random.Random(seed)
+    return [
+        sum(1 << b for b in draw.sample(range(64), bits)) for _ in range(math.ceil(misses / (1 - share) ** bits))
+    ]
+
 
+def keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """The columns of ``fps``, choice (which mask) and key (the first word's bits under it): one row for each mask."""
+    rows = [
+        F.struct(F.lit(n).alias("choice"), F.col("w0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key"))
+        for n, m in enumerate(masks)
+    ]
+    return fps.select("*", F.explode(F.array(*rows)).alias("k")).select(*fps.columns, "k.choice", "k.key")
 
-def forest(fps, group, distance: int):
-    """For each fingerprint (uint64) the position of the smallest one reachable over links inside its group.
 
-    ``group``: rising numbers. Members of a group are reordered by Gray rank; positions are of the order given.
+def search_groups(fps, group, distance: int, tight: int):
+    """(root, pairs): of each fingerprint (row of uint64 words) the position of one that ``tight`` links lead to inside its
+    group, and the pairs of positions within ``distance`` bits whose roots differ.
+
+    ``group``: rising numbers. Inside a group rows are reordered by the Gray rank of the first word.
     """
     import numpy as np
 
-    rank = fps.copy()  # the Gray rank: the number whose Gray code the fingerprint is
+    rank = fps[:, 0].copy()  # the Gray rank: the number whose Gray code the fingerprint is
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
     order = np.lexsort((rank, group))
     values, groups = fps[order], group[order]
-    # levels[k]: (bits set by all, bits set by any, group, first member, members) of its nodes; level 0 has the fingerprints.
     n = len(values)
+    # levels[k]: (bits set by all, bits set by any, group, first member, members) of its nodes; level 0 has the fingerprints.
     levels = [(values, values, groups, np.arange(n), np.ones(n, np.int64))]
     while True:
         every, some, owner, first, size = levels[-1]
@@ -113,14 +150,9 @@ def forest(fps, group, distance: int):
         counts = np.diff(np.append(starts, len(owner)))
         if counts.max() == 1:
             break
-        inside = np.arange(len(owner)) - np.repeat(starts, counts)
-        at = np.flatnonzero(inside % FAN == 0)
-        levels.append(
-            (
-                np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at), owner[at],
-                first[at], np.add.reduceat(size, at),
-            )
-        )
+        at = np.flatnonzero((np.arange(len(owner)) - np.repeat(starts, counts)) % FAN == 0)
+        every, some = np.bitwise_and.reduceat(every, at, axis=0), np.bitwise_or.reduceat(some, at, axis=0)
+        levels.append((every, some, owner[at], first[at], np.add.reduceat(size, at)))
     label = np.arange(n)
 
     def link(a, b) -> None:
@@ -138,88 +170,99 @@ def forest(fps, group, distance: int):
                     break
                 label[:] = shorter
 
+    def bits(x):
+        return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
     top = len(levels) - 1
     roots = np.arange(len(levels[top][0]))
-    todo = [(top, roots, roots)]
+    todo, loose = [(top, roots, roots)], [np.zeros((2, 0), np.int64)]
+    most = PAIRS // (FAN * FAN)
     while todo:
         level, a, b = todo.pop()
         if len(a) > PAIRS:
             todo += [(level, a[i : i + PAIRS], b[i : i + PAIRS]) for i in range(0, len(a), PAIRS)]
             continue
         every, some, _, first, size = levels[level]
-        apart = np.bitwise_count((every[a] & ~some[b]) | (every[b] & ~some[a]))
+        apart = bits((every[a] & ~some[b]) | (every[b] & ~some[a]))
         near = apart <= distance
-        a, b = a[near], b[near]
+        a, b, apart = a[near], b[near], apart[near]
         if not level:
-            link(a, b)
+            close = apart <= tight
+            link(a[close], b[close])
+            rest = ~close & (label[a] != label[b])
+            loose.append(np.stack([a[rest], b[rest]]))
             continue
-        widest = np.bitwise_count((some[a] | some[b]) & ~(every[a] & every[b]))
-        whole = widest <= distance
+        whole = bits((some[a] | some[b]) & ~(every[a] & every[b])) <= tight
         for x in (a[whole], b[whole]):  # all members of the node are within the distance of its first
             heads = np.repeat(first[x], size[x])
-            inside = np.arange(len(heads)) - np.repeat(np.cumsum(size[x]) - size[x], size[x])
-            link(heads, heads + inside)
+            link(heads, heads + np.arange(len(heads)) - np.repeat(np.cumsum(size[x]) - size[x], size[x]))
         link(first[a[whole]], first[b[whole]])
         a, b = a[~whole], b[~whole]
-        if not len(a):
-            continue
-        # Children of node k: FAN nodes of the level below, from the position of its first child.
+        # Children of a node: up to FAN nodes of the level below, from the one with the same first member.
         below = levels[level - 1]
         child = np.searchsorted(below[3], first)
         children = np.diff(np.append(child, len(below[3])))
-        for lo in range(0, len(a), PAIRS // (FAN * FAN)):
-            p, q = a[lo : lo + PAIRS // (FAN * FAN)], b[lo : lo + PAIRS // (FAN * FAN)]
-            x = child[p][:, None, None] + np.arange(FAN)[None, :, None] + np.zeros((1, 1, FAN), np.int64)
-            y = child[q][:, None, None] + np.arange(FAN)[None, None, :] + np.zeros((1, FAN, 1), np.int64)
-            real = (np.arange(FAN)[None, :, None] < children[p][:, None, None]) & (
-                np.arange(FAN)[None, None, :] < children[q][:, None, None]
-            )
-            real &= (p != q)[:, None, None] | (x <= y)  # a node with itself: each pair of children once
+        i, j = np.divmod(np.arange(FAN * FAN), FAN)
+        for lo in range(0, len(a), most):
+            p, q = a[lo : lo + most, None], b[lo : lo + most, None]
+            x, y = child[p] + i, child[q] + j
+            real = (i < children[p]) & (j < children[q]) & ((p != q) | (x <= y))  # a node with itself: each pair once
             todo.append((level - 1, x[real], y[real]))
-    out = np.empty(n, np.int64)
-    out[order] = order[label]
-    return out
+    pairs = np.concatenate(loose, axis=1)
+    pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
+    root = np.empty(n, np.int64)
+    root[order] = order[label]
+    return root, order[pairs]
 
 
-def linked(fps: DataFrame, distance: int = 4, group_size: int = 64, most: int = 2048, task_rows: int = 1_000_000) -> DataFrame:
-    """(fp, root): links that join all fingerprints of ``fps`` (distinct longs) within ``distance`` bits.
+def linked(
+    fps: DataFrame, masks: list[int], distance: int, tight: int, most: int = 2048, task_rows: int = 1_000_000
+) -> DataFrame:
+    """(a, b, sure): pairs of ids of ``fps`` (id, w0, w1, ...: distinct fingerprints) that share a key.
 
-    Not every link: in each group searched, a forest with the same components.
+    Those within ``tight`` bits come as a forest for each group searched, marked ``sure``; those further apart, up to
+    ``distance`` bits, as pairs, unless sure links join them already.
     """
-    spark = fps.sparkSession
-    n = fps.count()
-    blocks = 1  # so many that a key's expected share of evenly spread fingerprints is at most group_size
-    while blocks < 4 and n / 2 ** (64 * blocks // (blocks + distance)) > group_size:
-        blocks += 1
-    rows = keyed(fps, blocks, distance)
+    words = [c for c in fps.columns if c != "id"]
+    rows = keyed(fps, masks)
     sizes = rows.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, ["choice", "key"]).withColumn("chunks", F.ceil(F.col("n") / most).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     pairs = rows.withColumn("own", own).withColumn("other", other).select(
-        "fp", "choice", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        "id", *words, "choice", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
     def search(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
+        def found(got: list) -> pa.RecordBatch:
+            columns = [np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("choice", "key", "i", "j")]
+            ids = np.concatenate([b.column("id").to_numpy() for b in got])
+            values = np.stack([np.concatenate([b.column(w).to_numpy() for b in got]) for w in words], axis=1).view(np.uint64)
+            new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+            root, loose = search_groups(values, np.cumsum(new), distance, tight)
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            a, b = np.concatenate([ids[root[tied]], ids[loose[0]]]), np.concatenate([ids[tied], ids[loose[1]]])
+            sure = np.arange(len(a)) < len(tied)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"]
+            )
+
         # A partition holds whole groups, each of at most 2 * most fingerprints, one after the other.
-        columns = [np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("choice", "key", "i", "j")]
-        values = np.concatenate([b.column("fp").to_numpy() for b in got]).view(np.uint64)
-        new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
-        root = values[forest(values, np.cumsum(new), distance)]
-        tied = root != values
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(values[tied].view(np.int64)), pa.array(root[tied].view(np.int64))], ["fp", "root"]
-        )
+        held: list = []
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+        if held:
+            yield found(held)
 
     keys = ["choice", "key", "i", "j"]
-    dealt = pairs.repartition(max(partitions(spark), n * 8 // task_rows), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(search, "fp long, root long").distinct()
+    spark, n = fps.sparkSession, len(masks)
+    parts = max(partitions(spark), -(-fps.count() * n // task_rows))
+    dealt = pairs.repartition(parts, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(search, "a long, b long, sure boolean").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -254,20 +297,82 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """doc_id, fp and component_id for each row of ``docs``."""
-    marked = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = components(linked(distinct.select("fp"), distance))
-    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")
-    )
+def _named(marked: DataFrame, distinct: DataFrame, edges: DataFrame, words: list[str]) -> DataFrame:
+    """doc_id, words and component_id of each row of ``marked``, from links between the ids of ``distinct``."""
+    found = components(edges)
+    named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(smallest, "label").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id"
+    return marked.join(named.join(smallest, "label").select(*words, "component_id"), words).select(
+        "doc_id", *words, "component_id"
+    )
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, group_size: int = 64) -> DataFrame:
+    """doc_id, w0 (the fingerprint) and component_id for each row of ``docs``: links are distances of ``distance`` bits or less."""
+    marked = written(fingerprints(docs, shingle), "fingerprints")
+    distinct = marked.groupBy("w0").agg(F.min("doc_id").alias("first")).withColumn("id", F.col("w0"))
+    distinct = written(distinct, "distinct-fingerprints")
+    masks = exact_masks(distinct.count(), distance, group_size)
+    edges = linked(distinct.select("id", "w0"), masks, distance, distance)
+    return _named(marked, distinct, edges.select("a", "b"), ["w0"])
+
+
+def resemblance(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, similarity): the Jaccard similarity of the shingle sets of the documents a and b of ``pairs``."""
+
+    def sets(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                found.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    kept = written(texts(docs).join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+    kept = kept.dropDuplicates(["doc_id"])
+    x, y = (kept.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
+        compare, "a long, b long, similarity double"
     )
 
 
+def similar_documents(
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, group_size: int = 64, tight: int = 3
+) -> DataFrame:
+    """doc_id, w0, w1 and component_id: documents link if their sets of shingles are at least ``similarity`` alike.
+
+    128-bit fingerprints find the pairs: those within ``tight`` bits are taken as alike, those within the distance that a
+    similar pair exceeds one time in a hundred are compared by their shingles. Of pairs exactly ``similarity`` alike the index
+    finds all but about one in fifty.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    share = math.acos(cosine) / math.pi
+    distance = math.ceil(128 * share + 2.4 * math.sqrt(128 * share * (1 - share)))
+    words = ["w0", "w1"]
+    marked = written(fingerprints(docs, shingle, 2), "fingerprints")
+    distinct = marked.groupBy(*words).agg(F.min("doc_id").alias("first")).withColumn("id", F.col("first"))
+    distinct = written(distinct.where("id IS NOT NULL"), "distinct-fingerprints")
+    masks = likely_masks(distinct.count(), share, group_size)
+    edges = written(linked(distinct.select("id", *words), masks, distance, tight), "similar-pairs")
+    sure = edges.where("sure").select("a", "b")
+    loose = edges.where("NOT sure").select("a", "b").distinct()
+    alike = resemblance(docs, loose, shingle).where(F.col("similarity") >= similarity).select("a", "b")
+    return _named(marked, distinct, sure.union(alike), words)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
