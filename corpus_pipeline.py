@@ -32,11 +32,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, documents of a quarter of a shingle's difference, the smallest doc_id stays.
-
-    Shingles are five words; a group's members link at four or fewer differing bits of 64.
-    """
-    found = simhash.near_duplicates(docs, distance=4, shingle=5)
+    """Of each group of documents linked by similarities of 0.8 or more, over sets of five words, the smallest doc_id stays."""
+    found = simhash.similar_documents(docs, similarity=0.8, shingle=5)
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
