@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import COUNTS, LABELS, conceded, credited_wicket, flag, outcome, phase_legal, ratio, summed, total
 from .state import INNINGS, with_state
 
-WIDE, LEGAL = F.lit("is_wide_ball"), F.lit("legal_ball")
-
 
 def histogram(balls: DataFrame, *keys: str) -> DataFrame:
     """The seven outcome counts by ``keys``; zero where a label does not occur."""
