@@ -135,7 +135,7 @@ _CANDIDATE_SQL = " UNION ALL ".join(
     for name, parts in P.CANDIDATES.items()
     for xs in [_blend([(f"{w}::DOUBLE", _part(c)) for c, w in parts], _size([f"{w}::DOUBLE" for _, w in parts]))]
 )
-query("q_candidate_blends", lambda b: P.candidate_blends(P.feature_frame(b.where(F.col("season_id") <= 1996))), f"{FRAME_CTE} {_CANDIDATE_SQL}".replace("FROM numbered\n)", "FROM numbered WHERE season_id <= 1996\n)"))
+query("q_candidate_blends", lambda b: P.candidate_blends(P.feature_frame(b)), f"{FRAME_CTE} {_CANDIDATE_SQL}")
 
 # --- evaluation ---------------------------------------------------------------------------------------------------------
 _PHASED = [f"CASE WHEN {_size(_counts('legal_phase'))} > 0 THEN {c} ELSE {g} END" for c, g in zip(_counts("legal_phase"), _counts("global"), strict=True)]

@@ -47,8 +47,17 @@ def _known(keys: tuple[str, ...]) -> Column:
     return reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
 
 
-def history(rows: DataFrame, context: str, prefix: str | None = None) -> DataFrame:
-    """``rows`` with the seven counts of ``context`` before each ball, named ``prefix`` and the label."""
+def innings_totals(rows: DataFrame) -> DataFrame:
+    """The counts of each innings by everything that a context with few values is made of: a small table that serves all of them."""
+    keys = dict.fromkeys((*INNINGS, *(k for c in FEW for k in CONTEXTS[c])))
+    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def history(rows: DataFrame, context: str, prefix: str | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the seven counts of ``context`` before each ball, named ``prefix`` and the label.
+
+    ``totals``: the ``innings_totals`` of the balls, so that a chain of histories does not read its own input twice a link.
+    """
     keys, prefix = CONTEXTS[context], prefix or context
     names = [f"{prefix}_{c}" for c in COUNTS]
     if context not in FEW:
@@ -57,7 +66,8 @@ def history(rows: DataFrame, context: str, prefix: str | None = None) -> DataFra
             "*", *(F.when(_known(keys), F.coalesce(F.sum(c).over(w), F.lit(0))).otherwise(0).cast("bigint").alias(n) for c, n in zip(COUNTS, names, strict=True))
         )
     at = [k for k in keys if k not in INNINGS]
-    totals = rows.groupBy(*INNINGS, *at).agg(*(F.sum(c).alias(c) for c in COUNTS))
+    totals = totals if totals is not None else innings_totals(rows)
+    totals = totals.groupBy(*INNINGS, *at).agg(*(F.sum(c).alias(c) for c in COUNTS))
     earlier = Window.partitionBy(*keys).orderBy(*INNINGS).rowsBetween(*BEFORE)  # a row for each innings and key
     totals = totals.select(*INNINGS, *at, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"earlier_{c}") for c in COUNTS))
     inside = Window.partitionBy(*INNINGS, *at).orderBy(*BALL).rowsBetween(*BEFORE)
@@ -73,7 +83,8 @@ def history(rows: DataFrame, context: str, prefix: str | None = None) -> DataFra
 
 
 def histories(rows: DataFrame, *contexts: str) -> DataFrame:
-    return reduce(history, contexts, rows)
+    totals = innings_totals(rows)
+    return reduce(lambda df, context: history(df, context, totals=totals), contexts, rows)
 
 
 def asof(balls: DataFrame, context: str) -> DataFrame:
@@ -131,34 +142,46 @@ SIMILAR = (
 )
 
 
-def similar_situations(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``labelled`` columns) with counts of similar earlier balls, ``similar_*``, and ``similar_level``.
+def similar_counts(rows: DataFrame) -> DataFrame:
+    """By ball whose types are known: counts of similar earlier balls at each level of SIMILAR, ``s0_*`` to ``s2_*``.
 
-    Similar are earlier balls with equal keys in the same three overs or, at the last level, the same phase. Each ball asks
-    by one probe for each of its overs (or its phase), placed before its own ball, so that one running sum answers all: inside
-    a match, plus totals of earlier matches, as keys with few values would otherwise fill single windows.
+    Similar are earlier balls with equal keys in the same three overs or, at the last level, the same phase. Each ball is a
+    fact of its own over and phase and asks by one probe for each of its overs and its phase, placed before the ball, so
+    that one running sum answers all: inside a match, plus totals of earlier matches, as keys with few values would
+    otherwise fill single windows.
     """
     low, match = (F.floor(F.col("legal_before") / 18) * 3).cast("int"), ["season_id", "match_id"]
-    out = rows
-    for i, (keys, _) in enumerate(SIMILAR):
-        last = i == len(SIMILAR) - 1
-        own = F.col("over_phase") if last else F.col("over_number").cast("string")
-        wanted = F.array("legal_phase") if last else F.array(*((low + k).cast("string") for k in range(3)))
-        base = rows.where(_known(keys)).select(*dict.fromkeys((*CHRONOLOGY, *keys)), own.alias("own"), wanted.alias("wanted"), *COUNTS)
-        facts = base.drop("wanted").withColumnRenamed("own", "at").withColumn("asks", F.lit(0))
-        probes = base.drop("own").withColumns({c: F.lit(0) for c in COUNTS}).withColumn("at", F.explode("wanted")).drop("wanted")
-        every = facts.unionByName(probes.withColumn("asks", F.lit(1)))
-        groups = [*keys, "at"]
-        totals = every.groupBy(*match, *groups).agg(*(F.sum(c).alias(c) for c in COUNTS))
-        earlier = Window.partitionBy(*groups).orderBy(*match).rowsBetween(*BEFORE)
-        totals = totals.select(*match, *groups, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"e_{c}") for c in COUNTS))
-        w = Window.partitionBy(*match, *groups).orderBy("innings", *BALL, F.desc("asks")).rowsBetween(*BEFORE)
-        inside = every.select(
-            *dict.fromkeys((*CHRONOLOGY, *keys)), "at", "asks", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in COUNTS)
-        )
-        asked = inside.where("asks = 1").join(totals, [*match, *groups])
-        sums = asked.groupBy(*CHRONOLOGY).agg(*(F.sum(F.col(c) + F.col(f"e_{c}")).cast("bigint").alias(f"s{i}_{c}") for c in COUNTS))
-        out = out.join(sums, list(CHRONOLOGY), "left")
+
+    def entry(level: int, at: Column, asks: int) -> Column:
+        return F.struct(F.lit(level).alias("level"), at.cast("string").alias("at"), F.lit(asks).alias("asks"))
+
+    facts = [entry(0, F.col("over_number"), 0), entry(1, F.col("over_number"), 0), entry(2, F.col("over_phase"), 0)]
+    probes = [entry(level, low + k, 1) for level in (0, 1) for k in range(3)] + [entry(2, F.col("legal_phase"), 1)]
+    types, teams = ("batsman_type", "bowler_type"), ("team_batting", "team_bowling")
+    every = rows.where(_known(types)).select(*CHRONOLOGY, *types, *teams, *COUNTS, F.explode(F.array(*facts, *probes)).alias("e"))
+    every = every.select(
+        *CHRONOLOGY, *types, "e.*", F.when(F.col("e.level") < 2, F.col("innings")).otherwise(0).alias("of_innings"),
+        *(F.when(F.col("e.level") == 0, F.col(t)).otherwise("").alias(f"of_{t}") for t in teams),
+        *(F.when(F.col("e.asks") == 0, F.col(c)).otherwise(0).alias(c) for c in COUNTS),
+    )
+    groups = [*types, "of_innings", *(f"of_{t}" for t in teams), "level", "at"]
+    totals = every.groupBy(*match, *groups).agg(*(F.sum(c).alias(c) for c in COUNTS))
+    earlier = Window.partitionBy(*groups).orderBy(*match).rowsBetween(*BEFORE)
+    totals = totals.select(*match, *groups, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"e_{c}") for c in COUNTS))
+    w = Window.partitionBy(*match, *groups).orderBy("innings", *BALL, F.desc("asks")).rowsBetween(*BEFORE)
+    inside = every.select(*CHRONOLOGY, *groups, "asks", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in COUNTS))
+    asked = inside.where("asks = 1").join(totals, [*match, *groups])
+    return asked.groupBy(*CHRONOLOGY).agg(
+        *(F.sum(F.when(F.col("level") == i, F.col(c) + F.col(f"e_{c}"))).cast("bigint").alias(f"s{i}_{c}") for i in range(3) for c in COUNTS)
+    )
+
+
+def similar_situations(rows: DataFrame, balls: DataFrame | None = None) -> DataFrame:
+    """``rows`` with counts of similar earlier balls, ``similar_*``, and ``similar_level``.
+
+    ``balls``: the balls with ``labelled`` columns that ``rows`` are made of, if that is a simpler plan.
+    """
+    out = rows.join(similar_counts(rows if balls is None else balls), list(CHRONOLOGY), "left")
     n = [F.coalesce(sum((F.col(f"s{i}_{c}") for c in COUNTS[1:]), F.col(f"s{i}_{COUNTS[0]}")), F.lit(0)) for i in range(2)]
     level = F.when(n[0] >= SIMILAR[0][1], 0).when(n[1] >= SIMILAR[1][1], 1).otherwise(2)
     chosen = [

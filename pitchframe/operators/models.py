@@ -92,32 +92,27 @@ def feature_frame(balls: DataFrame) -> DataFrame:
     """Every history and state that the models read, for every ball."""
     contexts = ("batter", "bowler", "batter_bowler", "batter_bowler_type", "bowler_batter_type", "types", "phase",
                 "team_batting", "team_bowling", "venue", "season", "legal_phase", "global")
-    rows = hierarchical(histories(labelled(balls), *contexts))
-    rows = similar_situations(rows)
-    keys = list(CHRONOLOGY)
-    for part in (state.recent_outcomes, state.recent_window, state.striker_state, state.bowler_state, state.partnership, state.chase):
-        extra = part(balls)
-        extra = extra.select(*keys, *(c for c in extra.columns if c not in rows.columns))
-        rows = rows.join(extra, keys, "left")
-    return rows.withColumns({f"recent_{c}": F.col(f"recent_{x.replace('+', 'p')}") for x, c in zip(LABELS, COUNTS, strict=True)})
+    base = labelled(balls)
+    rows = state.with_play(hierarchical(histories(base, *contexts)))
+    rows = rows.withColumns({f"recent_{c}": F.col(f"recent_{x.replace('+', 'p')}") for x, c in zip(LABELS, COUNTS, strict=True)})
+    return similar_situations(rows, base)
 
 
 def component(name: str) -> list[Column]:
     return [F.col(f"hier_{p}") for p in PROBS] if name == "hierarchical" else smoothed(counts(name))
 
 
-def blend(parts: list[tuple[Column, list[Column]]]) -> list[Column]:
-    """The weighted mean of distributions; weights are shares of their sum."""
-    total = size([w for w, _ in parts])
-    return normalised([size([w / total * p[i] for w, p in parts]) for i in range(len(LABELS))])
-
-
-def contextual_blend() -> list[Column]:
-    parts = []
-    for name, cap, enough in BLEND:
-        weight = F.lit(cap) if enough is None else F.least(F.lit(cap), size(counts(name)) * cap / F.lit(float(enough)))
-        parts.append((weight, component(name)))
-    return blend(parts)
+def blended(rows: DataFrame) -> DataFrame:
+    """``rows`` with the contextual blend, ``b_*``. Each step is a projection of its own: Catalyst then evaluates a value
+    that the next step uses several times once, where nested expressions would repeat it."""
+    rows = rows.withColumns({f"of_{n}": size(counts(n)) for n, _, enough in BLEND if enough is not None})
+    weights = {
+        f"w_{n}": F.lit(cap) if enough is None else F.least(F.lit(cap), F.col(f"of_{n}") * cap / F.lit(float(enough))) for n, cap, enough in BLEND
+    }
+    rows = rows.withColumns(weights).withColumn("w_total", size([F.col(w) for w in weights]))
+    parts = [(F.col(f"w_{n}"), component(n)) for n, _, _ in BLEND]
+    rows = rows.withColumns({f"x_{p}": size([w / F.col("w_total") * v[i] for w, v in parts]) for i, p in enumerate(PROBS)})
+    return rows.withColumns(dict(zip((f"b_{p}" for p in PROBS), normalised([F.col(f"x_{p}") for p in PROBS]), strict=True)))
 
 
 def multipliers() -> list[tuple[Column, dict[str, float]]]:
@@ -144,19 +139,20 @@ def multipliers() -> list[tuple[Column, dict[str, float]]]:
     ]
 
 
-def adjusted(probs: list[Column], factors: list[tuple[Column, dict[str, float]]]) -> list[Column]:
-    out = list(probs)
+def adjusted(rows: DataFrame, source: str, factors: list[tuple[Column, dict[str, float]]], to: str) -> DataFrame:
+    """``rows`` with the probabilities ``source``_* times the factors whose conditions hold, as shares, ``to``_*."""
+    out = {p: F.col(f"{source}_{p}") for p in PROBS}
     for condition, change in factors:
         for label, factor in change.items():
-            i = LABELS.index(label)
-            out[i] = out[i] * F.when(condition, factor).otherwise(1.0)
-    return normalised(out)
+            p = PROBS[LABELS.index(label)]
+            out[p] = out[p] * F.when(condition, factor).otherwise(1.0)
+    rows = rows.withColumns({f"y_{p}": v for p, v in out.items()})
+    return rows.withColumns(dict(zip((f"{to}_{p}" for p in PROBS), normalised([F.col(f"y_{p}") for p in PROBS]), strict=True)))
 
 
 def contextual(frame: DataFrame) -> DataFrame:
     """The blend, adjusted for the state of play, with its evidence."""
-    rows = frame.withColumns(dict(zip((f"b_{p}" for p in PROBS), contextual_blend(), strict=True)))
-    rows = rows.withColumns(dict(zip((f"c_{p}" for p in PROBS), adjusted([F.col(f"b_{p}") for p in PROBS], multipliers()), strict=True)))
+    rows = adjusted(blended(frame), "b", multipliers(), "c")
     evidence = size(counts("batter_bowler")) + size(counts("similar"))
     for name in ("batter", "bowler"):
         evidence = evidence + F.least(size(counts(name)), F.lit(400))
@@ -171,11 +167,14 @@ def model_contextual(balls: DataFrame) -> DataFrame:
 
 def candidate_blends(frame: DataFrame) -> DataFrame:
     """The named candidate blends of every ball, one row for each."""
-    rows = []
+    used = dict.fromkeys(n for parts in CANDIDATES.values() for n, _ in parts)
+    rows = frame.withColumns({f"s_{n}_{p}": v for n in used for p, v in zip(PROBS, component(n), strict=True)})
+    mixed = []
     for name, parts in CANDIDATES.items():
-        probs = blend([(F.lit(w), component(c)) for c, w in parts])
-        rows.append(F.struct(F.lit(name).alias("candidate"), *named([rounded(p) for p in probs])))
-    return frame.select(*CHRONOLOGY, "label", F.explode(F.array(*rows)).alias("r")).select(*CHRONOLOGY, "label", "r.*")
+        probs = (size([F.lit(w) * F.col(f"s_{n}_{p}") for n, w in parts]).alias(p) for p in PROBS)
+        mixed.append(F.struct(F.lit(name).alias("candidate"), *probs))
+    rows = rows.select(*CHRONOLOGY, "label", F.explode(F.array(*mixed)).alias("r")).select(*CHRONOLOGY, "label", "r.*")
+    return rows.select(*CHRONOLOGY, "label", "candidate", *named([rounded(v) for v in normalised([F.col(p) for p in PROBS])]))
 
 
 def prediction_difference(balls: DataFrame) -> DataFrame:

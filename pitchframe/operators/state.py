@@ -124,6 +124,29 @@ def chase(balls: DataFrame) -> DataFrame:
     )
 
 
+def with_play(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``with_state`` columns) with the recent outcomes, the last twelve balls, the striker's innings, the
+    bowler's spell, the partnership and the chase before each ball. All windows lie inside innings, so one exchange serves them."""
+    last6, last12 = _innings().rowsBetween(-6, -1), _innings().rowsBetween(-12, -1)
+    bat, bowl, pair = (_innings(k).rowsBetween(*BEFORE) for k in ("batter", "bowler", "wickets_before"))
+    label = outcome()
+    rows = rows.select("*", *(_sum(F.when(label == x, 1).otherwise(0), last6, f"recent_{x.replace('+', 'p')}") for x in LABELS),
+                       _sum("total_runs", last12, "window_runs"), _sum("legal_ball", last12, "window_legal"))
+    rows = rows.select("*", _sum("batter_runs", bat, "striker_runs"), _sum(1 - F.col("is_wide_ball"), bat, "striker_balls"))
+    rows = rows.select("*", _sum(conceded(), bowl, "spell_conceded"), _sum("legal_ball", bowl, "spell_balls"))
+    rows = rows.select("*", _sum("total_runs", pair, "partnership_runs"), _sum("legal_ball", pair, "partnership_balls"))
+    first = rows.where("innings = 1").groupBy("season_id", "match_id").agg((F.sum("total_runs") + 1).cast("bigint").alias("target"))
+    rows = rows.join(first, ["season_id", "match_id"], "left")
+    left = F.greatest(F.lit(120) - F.col("legal_before"), F.lit(0))
+    required = F.when((F.col("innings") == 2) & F.col("target").isNotNull() & (left > 0), F.greatest(F.col("target") - F.col("score_before"), F.lit(0)) * 6.0 / left)
+    rates = {
+        "window_rate": ratio("window_runs", "window_legal", 6), "striker_rate": ratio("striker_runs", "striker_balls", 100),
+        "spell_economy": ratio("spell_conceded", "spell_balls", 6), "partnership_rate": ratio("partnership_runs", "partnership_balls", 100),
+        "required_rate": required, "current_rate": ratio("score_before", "legal_before", 6),
+    }
+    return rows.withColumns(rates).withColumn("gap", F.col("required_rate") - F.col("current_rate"))
+
+
 def replay_start_points(balls: DataFrame) -> DataFrame:
     """The first ball of each over with the state before it."""
     w = Window.partitionBy(*INNINGS, "over_number").orderBy("ball_number", "source_row_number")
