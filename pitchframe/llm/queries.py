@@ -5,6 +5,7 @@ from .iblt import op5_fingerprints
 from .language import op10_language
 from .neighbours import op2_neighbours
 from .packing import op4_packing
+from .pieces import op1_sentencepiece
 from .pii import op6_pii
 from .quality import op7_quality
 from .simhash import op8_simhash
@@ -13,7 +14,7 @@ from .token_files import op3_token_files
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_neighbours, op3_token_files, op4_packing, op5_fingerprints, op6_pii, op7_quality, op8_simhash, op9_chat, op10_language,
+        op1_sentencepiece, op2_neighbours, op3_token_files, op4_packing, op5_fingerprints, op6_pii, op7_quality, op8_simhash, op9_chat, op10_language,
     )
 }
 
