@@ -53,14 +53,14 @@ def _similar(level: int) -> str:
     keys, _ = H.SIMILAR[level]
     last = level == len(H.SIMILAR) - 1
     at = "over_phase" if last else "over_number"
-    probes = f"phase AS at, 1 AS asks" if last else "unnest([(legal_before // 18) * 3, (legal_before // 18) * 3 + 1, (legal_before // 18) * 3 + 2]) AS at, 1 AS asks"
+    probes = f"phase AS place, 1 AS asks" if last else "unnest([(legal_before // 18) * 3, (legal_before // 18) * 3 + 1, (legal_before // 18) * 3 + 2]) AS place, 1 AS asks"
     cols = ", ".join(dict.fromkeys((*BALL.split(", "), *keys)))
     facts = ", ".join(f"(label = '{x}')::INT AS {c}" for x, c in zip(LABELS, COUNTS, strict=True))
     sums = ", ".join(f"coalesce(sum({c}) OVER w, 0) AS {c}" for c in COUNTS)
     zero = ", ".join(f"0 AS {c}" for c in COUNTS)
     totals = ", ".join(f"sum({c})::BIGINT AS s{level}_{c}" for c in COUNTS)
-    return f""", every{level} AS (SELECT {cols}, {at} AS at, 0 AS asks, {facts} FROM phased UNION ALL SELECT {cols}, {probes}, {zero} FROM phased),
-  run{level} AS (SELECT {cols}, asks, {sums} FROM every{level} WINDOW w AS (PARTITION BY {', '.join(keys)}, at ORDER BY {BALL}, asks DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    return f""", every{level} AS (SELECT {cols}, {at} AS place, 0 AS asks, {facts} FROM phased UNION ALL SELECT {cols}, {probes}, {zero} FROM phased),
+  run{level} AS (SELECT {cols}, asks, {sums} FROM every{level} WINDOW w AS (PARTITION BY {', '.join(keys)}, place ORDER BY {BALL}, asks DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   sim{level} AS (SELECT {BALL}, {totals} FROM run{level} WHERE asks = 1 AND batsman_type IS NOT NULL AND bowler_type IS NOT NULL GROUP BY {BALL})"""
 
 

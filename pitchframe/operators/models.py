@@ -171,7 +171,8 @@ def candidate_blends(frame: DataFrame) -> DataFrame:
     rows = frame.withColumns({f"s_{n}_{p}": v for n in used for p, v in zip(PROBS, component(n), strict=True)})
     mixed = []
     for name, parts in CANDIDATES.items():
-        probs = (size([F.lit(w) * F.col(f"s_{n}_{p}") for n, w in parts]).alias(p) for p in PROBS)
+        whole = size([F.lit(w) for _, w in parts])
+        probs = (size([F.lit(w) / whole * F.col(f"s_{n}_{p}") for n, w in parts]).alias(p) for p in PROBS)
         mixed.append(F.struct(F.lit(name).alias("candidate"), *probs))
     rows = rows.select(*CHRONOLOGY, "label", F.explode(F.array(*mixed)).alias("r")).select(*CHRONOLOGY, "label", "r.*")
     return rows.select(*CHRONOLOGY, "label", "candidate", *named([rounded(v) for v in normalised([F.col(p) for p in PROBS])]))

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.expr import COUNTS, LABELS, outcome
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need timestamps with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Events and their values by hour and type; on a stream, events later than ``late`` are left out."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
         F.col("w.start").alias("hour"), "event_type", "n", "total"
     )
@@ -22,7 +27,7 @@ def first_of_each(events: DataFrame, *keys: str, late: str = "2 hours") -> DataF
     """The first event of each key; a stream forgets keys older than ``late``."""
     if not events.isStreaming:
         return events.dropDuplicates(list(keys))
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+    return _timed(events, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def replay(balls: DataFrame, *keys: str) -> DataFrame:
