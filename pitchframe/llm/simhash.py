@@ -4,9 +4,8 @@ Fingerprints: 64-bit SimHash of word shingles. Two documents link if their finge
 ``distance`` bits; a document's component is the smallest doc_id reachable over links.
 
 The index. Equal fingerprints are one entry. Each is keyed by its bits under several masks, and each key's fingerprints are
-searched alone. For small distances the masks are the choices of ``blocks`` of ``blocks + distance`` blocks of bits, one of
-which two linked fingerprints must agree on; for larger ones they are random, as many as find nearly all pairs. Masks
-get longer with the logarithm of the number of fingerprints, which keeps groups small. Inside a group they are sorted by Gray rank, so
+searched alone. The masks are the choices of ``blocks`` of ``blocks + distance`` blocks of bits, one of which two linked
+fingerprints must agree on. Masks get longer with the logarithm of the number of fingerprints, which keeps groups small. Inside a group they are sorted by Gray rank, so
 neighbours share bits; each node above holds the bits its members all set and the bits that any sets. Two nodes
 are compared level by level: they are pruned as a whole once the bits on which their shared patterns differ exceed the
 distance, and linked as a whole, without listing pairs, once no bits on which their members can differ exceed it.
@@ -16,6 +15,8 @@ A task returns a forest of its links, not the pairs; Spark joins the forests by
 Defined results: null text is an empty one, and texts without words have fingerprint zero, linked like any other;
 repeated rows are each returned; rows with a null doc_id are fingerprinted but name no component (null if alone);
 an empty table gives no rows; other columns are ignored.
+
+``similar_documents`` links by the similarity of the shingle sets themselves, found by an exact prefix-filtered join.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import math
 from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, table, texts, written
@@ -107,18 +108,6 @@ def exact_masks(n: int, distance: int, group_size: int) -> list[int]:
     return [sum(((1 << size) - 1) << at for at, size in choice) for choice in combinations(cuts, blocks)]
 
 
-def likely_masks(n: int, share: float, group_size: int, misses: float = 4.0, seed: int = 3) -> list[int]:
-    """Random bits to key by: two fingerprints that differ in ``share`` of their bits agree on all bits of at least one
-    mask with probability 1 - exp(-misses)."""
-    import random
-
-    bits = max(8, math.ceil(math.log2(max(2, n / group_size))))
-    draw = random.Random(seed)
-    return [
-        sum(1 << b for b in draw.sample(range(64), bits)) for _ in range(math.ceil(misses / (1 - share) ** bits))
-    ]
-
-
 def keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     """The columns of ``fps``, choice (which mask) and key (the first word's bits under it): one row for each mask."""
     rows = [
@@ -317,16 +306,70 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, group_
     return _named(marked, distinct, edges.select("a", "b"), ["w0"])
 
 
-def resemblance(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, similarity): the Jaccard similarity of the shingle sets of the documents a and b of ``pairs``."""
+def frequent_shingles(docs: DataFrame, shingle: int, rows: int = 10_000, most: int = 200_000):
+    """(hashes, ranks): the commonest shingles of about ``rows`` documents, hashes rising, and how often they occur there.
 
-    def sets(batches: Iterator) -> Iterator:
+    They only order a document's shingles, so that common ones are seldom keys; any order finds the same pairs.
+    """
+    import numpy as np
+
+    every = max(1, docs.count() // rows)
+    drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+
+    def counted(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+            found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    counts = drawn.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
+    got = counts.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    hashes, ranks = (got.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], ranks[order]
+
+
+def shingle_sets(docs: DataFrame, similarity: float, shingle: int, common) -> DataFrame:
+    """doc_id, w0, w1 (a 128-bit digest of the text's shingle set), n (its size) and prefix: its first shingles, rarest first.
+
+    Two sets at least ``similarity`` alike have a shingle of both prefixes in common.
+    """
+    hashes, ranks = common
+
+    def hashed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+            words, sizes, prefixes = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = np.unique(shingle_hashes(text, shingle))
+                words.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64))
+                sizes.append(len(own))
+                if len(own) and len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    rank = np.where(hashes[at] == own, ranks[at], 0)
+                    own = own[np.argsort(rank, kind="stable")]
+                kept = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+                prefixes.append(own[:kept].view(np.int64))
+            w = np.array(words, np.int64).reshape(-1, 2)
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array(sizes, pa.int32()), keys],
+                ["doc_id", "w0", "w1", "n", "prefix"],
+            )
+
+    return texts(docs).mapInArrow(
+        hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, w0 long, w1 long, n int, prefix array<long>"
+    )
+
+
+def resemblance(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity): the Jaccard similarity of the sets a and b of ``pairs``; ``sets`` has id and shingles."""
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
@@ -340,37 +383,85 @@ def resemblance(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
                 found.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    kept = written(texts(docs).join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
-    kept = kept.dropDuplicates(["doc_id"])
-    x, y = (kept.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
         compare, "a long, b long, similarity double"
     )
 
 
-def similar_documents(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, group_size: int = 64, tight: int = 3
-) -> DataFrame:
-    """doc_id, w0, w1 and component_id: documents link if their sets of shingles are at least ``similarity`` alike.
+def _postings(distinct: DataFrame) -> DataFrame:
+    """key, id, n and pos of each prefix shingle that more than one set has; ``pos`` counts the set's shingles before it."""
+    rows = distinct.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
+    return rows.withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1").select("key", "id", "n", "pos")
+
+
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of postings x and y of one key that can be ``similarity`` alike if it is the first one they share."""
+    after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    size = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    enough = after >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    return pairs.where(size & enough).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _sets_of(docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """id and shingles of the sets of ``named`` (id, first: the doc_id of a text that has the set)."""
+
+    def sets(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
+            ids = [int(np.frombuffer(xxhash.xxh3_128_digest(x), np.int64)[0]) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
 
-    128-bit fingerprints find the pairs: those within ``tight`` bits are taken as alike, those within the distance that a
-    similar pair exceeds one time in a hundred are compared by their shingles. Of pairs exactly ``similarity`` alike the index
-    finds all but about one in fifty.
+    rows = texts(docs).alias("d").join(named.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.first")), "left_semi")
+    return rows.mapInArrow(sets, "id long, shingles binary").join(named, "id", "left_semi").dropDuplicates(["id"])
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, stars: int = 12) -> DataFrame:
+    """doc_id, w0, w1 (the digest of the shingle set) and component_id: documents link if their sets of shingles are at least
+    ``similarity`` alike.
+
+    Exact for any number of documents. Equal sets are one entry. Two sets so alike share a shingle of their prefixes, and of
+    the pairs that share one, those that its places and the sizes allow are compared by their whole sets. While that would be
+    many pairs, each key first compares its members with one of them, as long as that leaves clearly fewer pairs; those that
+    links join already need no comparison, and all others are compared in the end.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    share = math.acos(cosine) / math.pi
-    distance = math.ceil(128 * share + 2.4 * math.sqrt(128 * share * (1 - share)))
+    marked = written(shingle_sets(docs, similarity, shingle, frequent_shingles(docs, shingle)), "shingle-sets")
     words = ["w0", "w1"]
-    marked = written(fingerprints(docs, shingle, 2), "fingerprints")
-    distinct = marked.groupBy(*words).agg(F.min("doc_id").alias("first")).withColumn("id", F.col("first"))
-    distinct = written(distinct.where("id IS NOT NULL"), "distinct-fingerprints")
-    masks = likely_masks(distinct.count(), share, group_size)
-    edges = written(linked(distinct.select("id", *words), masks, distance, tight), "similar-pairs")
-    sure = edges.where("sure").select("a", "b")
-    loose = edges.where("NOT sure").select("a", "b").distinct()
-    alike = resemblance(docs, loose, shingle).where(F.col("similarity") >= similarity).select("a", "b")
-    return _named(marked, distinct, sure.union(alike), words)
+    distinct = marked.groupBy(*words).agg(F.min("doc_id").alias("first")).withColumn("id", F.col("w0"))
+    distinct = written(distinct, "distinct-sets")
+    if distinct.select("id").distinct().count() < distinct.count():
+        raise RuntimeError("two sets share the first 64 bits of their digests")
+    postings = written(_postings(marked.select(F.col("w0").alias("id"), "n", "prefix").dropDuplicates(["id"])), "postings")
+    named = distinct.join(postings.select("id").distinct(), "id", "left_semi").select("id", "first")
+    sets = written(_sets_of(docs, named, shingle), "shingles")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    room = 4 * postings.count() + 1000
+    rows, before = postings.withColumn("label", F.col("id")), math.inf
+    for star in range(stars + 1):
+        same = rows.groupBy("key", "label").agg(F.count("*").cast("double").alias("g"))
+        across = same.groupBy("key").agg((F.sum("g") * F.sum("g") - F.sum(F.col("g") * F.col("g"))).alias("p"))
+        left = across.agg(F.sum("p")).first()[0] or 0.0
+        if left == 0:
+            break
+        last = star > 0 and (left / 2 <= room or left > 0.75 * before) or star == stars
+        before = left
+        if last:
+            pairs = rows.alias("x").join(rows.alias("y"), "key").where("x.id < y.id AND x.label <> y.label")
+        else:
+            one = F.min_by(F.struct("id", "n", "pos", "label"), F.struct(F.xxhash64("id", F.lit(star)), "id"))
+            pivots = rows.groupBy("key").agg(one.alias("v")).select("key", "v.*")
+            pairs = rows.alias("x").join(pivots.alias("y"), "key").where("x.label <> y.label")
+        alike = resemblance(sets, _possible(pairs, similarity)).where(F.col("similarity") >= similarity).select("a", "b")
+        links = written(links.union(alike), "similar-pairs")
+        if last:
+            break
+        found = components(links).select(F.col("node").alias("id"), F.col("label").alias("joined"))
+        rows = written(postings.join(found, "id", "left").select(*postings.columns, F.coalesce("joined", "id").alias("label")), "postings")
+    return _named(marked, distinct, links, words)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
