@@ -70,3 +70,17 @@ def test_components_are_brute_force(spark):
     want = _components(rows)
     assert _found(spark, rows) == want
     assert _found(spark, rows, stars=0) == want
+
+
+def test_repeated_lines_count_once(spark):
+    draw = random.Random(3)
+    rows = []
+    for times in (1, 3, 10, 30):
+        words = [f"w{draw.randrange(20_000)}" for _ in range(288)]
+        line = " ".join(f"end{times}x{i}" for i in range(12))
+        rows += [(len(rows), " ".join(words) + "\n" + line), (len(rows) + 1, " ".join(words) + f"\n{line}" * (times + 1))]
+    # Of few shingles, most repeated: sets less than 0.8 alike whose counted fingerprints agree.
+    rows += [(100 + i, "la " * 500 + f"only{i} these{i} few{i} words{i} differ{i}") for i in range(2)]
+    want = _components(rows)
+    assert [want[d] for d, _ in rows] == [0, 0, 2, 2, 4, 4, 6, 6, 100, 101]
+    assert _found(spark, rows) == want
