@@ -43,7 +43,21 @@ _PATTERNS = {
     "number": r"(?<![\w.,])\d{9,}(?![\w])",
 }
 _FINDER = None
-_HINT = re.compile(r"[0-9@=:]")
+#: In every text with a value of any kind: most kinds need one of the first characters, the others are spelled out.
+_HINT = re.compile(
+    r"[\d@=:]|AKIA|ASIA|AIza|(?:sk|pk|rk|ghp|gho|glpat|xox[abprs])[-_]|[a-f]{32}|[A-F]{32}|[A-Fa-f]{2}-[A-Fa-f]{2}-"
+)
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in re.findall(
+        r"(\d+)((?: [A-Z]{2})+)",
+        "15 NO 16 BE 18 DK FI FO GL NL 19 MK SI 20 AT BA EE KZ LT LU XK 21 CH HR LI LV 22 BG BH CR DE GB GE IE ME RS VA "
+        "23 AE GI IL IQ TL 24 AD CZ ES MD PK RO SA SE SK TN VG 25 LY PT ST 26 IS TR 27 FR GR IT MC MR SM "
+        "28 AL AZ BY CY DO GT HU LB PL SV 29 BR EG PS QA UA 30 JO KW MU 31 MT SC 32 LC",
+    )
+    for country in countries.split()
+}
 _EPOCH, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  #: dates permuted: 1900-01-01 to 2099-12-31
 
 
@@ -83,11 +97,19 @@ class Pseudonyms:
                 return got
         return value
 
+    @staticmethod
+    def chained(tweak: str, piece: str) -> str:
+        """The tweak of the piece after ``piece``, as long for the last piece as for the second."""
+        return blake2b(f"{tweak}>{piece}".encode(), digest_size=32).hexdigest()
+
     def characters(self, text: str, tweak: str, hexadecimal: bool = False) -> str:
         """Letters and digits permuted together within their kinds; everything else stays."""
         if len(text) > LONGEST:
-            head = self.characters(text[:LONGEST], tweak, hexadecimal)
-            return head + self.characters(text[LONGEST:], f"{tweak}>{head}", hexadecimal)
+            out = []
+            for at in range(0, len(text), LONGEST):
+                out.append(self.characters(text[at : at + LONGEST], tweak, hexadecimal))
+                tweak = self.chained(tweak, out[-1])
+            return "".join(out)
         kinds = []
         for c in text:
             if hexadecimal and c in "0123456789abcdefABCDEF":
@@ -119,12 +141,16 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def digits(self, text: str, tweak: str, start: int = 0) -> str:
-        """The digits from the ``start``-th on permuted as one number; everything else stays."""
+        """The digits from the ``start``-th on permuted as one number, long ones in pieces; everything else stays."""
         found = [c for c in text if c.isdigit()]
-        rest = found[start:]
-        size = 10 ** len(rest)
-        value = self.moved(int("".join(rest) or 0), size, f"{tweak}|{len(found)}|{''.join(found[:start])}")
-        new = iter([*found[:start], *(str(value).zfill(len(rest)) if rest else "")])
+        rest, out = "".join(found[start:]), found[:start]
+        tweak = f"{tweak}|{len(found)}|{''.join(out)}"
+        for at in range(0, len(rest), LONGEST):
+            part = rest[at : at + LONGEST]
+            piece = str(self.moved(int(part), 10 ** len(part), tweak)).zfill(len(part))
+            out.extend(piece)
+            tweak = self.chained(tweak, piece)
+        new = iter(out)
         return "".join(next(new) if c.isdigit() else c for c in text)
 
 
@@ -151,6 +177,16 @@ def _card(p: Pseudonyms, text: str) -> str:
     return "".join(next(new) if c.isdigit() else c for c in text)
 
 
+def valid_iban(text: str) -> str | None:
+    """The valid IBAN that ``text`` is or begins with, up to a space: of the country's length if there is one, or the longest."""
+    ends = [m.start() for m in re.finditer(" |$", text)]
+    found = [packed for end in ends if 15 <= len(packed := text[:end].replace(" ", "")) <= 34 and iban_check(packed[:2], packed[4:]) == packed[2:4]]
+    if not found:
+        return None
+    best = max(found, key=lambda packed: (len(packed) == _IBAN_LENGTHS.get(packed[:2]), len(packed)))
+    return next(text[:end] for end in ends if text[:end].replace(" ", "") == best)
+
+
 def _iban(p: Pseudonyms, text: str) -> str | None:
     packed = text.replace(" ", "")
     if not 15 <= len(packed) <= 34 or iban_check(packed[:2], packed[4:]) != packed[2:4]:
@@ -243,6 +279,8 @@ def pseudonymised(p: Pseudonyms, text: str, known: dict[tuple[str, str], str | N
     while m := find(text, at):
         kind = next(k for k in _PATTERNS if m[k] is not None)
         start, end = m.span("value" if kind == "assigned" else kind)
+        if kind == "iban":  # the pattern may take in a word that follows
+            end = start + len(valid_iban(text[start:end]) or text[start:end])
         value = text[start:end]
         if (kind, value) not in known:
             if len(known) > 50_000:
