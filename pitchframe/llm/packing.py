@@ -5,10 +5,11 @@ rest of each document is packed by first-fit decreasing, with a tournament tree
 in each bin, independently in randomised groups of documents. Only lengths and checksums are shuffled.
 
 Groups are hashes of a row's doc_id and text, about ``group_size`` documents each however
-large the corpus, so no source, key or group of copies fills one of them.
+large the corpus, so no source, key or group of copies fills one of them. Rows equal in both share a group; were there
+very many of them, that one group would grow (its rows are a few numbers each).
 
-Defined results: null text is an empty document (its end id alone); repeated rows are packed once each;
-an empty table gives no rows; other columns are ignored; equal lengths are packed in the order of doc_id.
+Defined results: null text is an empty document (its end id alone); repeated rows are packed once each; a null doc_id is
+kept; an empty table gives no rows; other columns are ignored; equal lengths are packed in the order of doc_id.
 """
 
 from __future__ import annotations
@@ -87,47 +88,41 @@ def pack(
                 [batch.column("doc_id"), *arrays, batch.column("salt")], ["doc_id", *rows, "salt"]
             )
 
-    def fill(key: tuple, group):
-        import pandas as pd
-
-        group = group.sort_values(["doc_id", "salt"], kind="stable")
-        first = int(key[0]) << 32
-        rest = group[group.rest > 0]
-        bins, offsets = first_fit_decreasing(rest.rest.tolist(), capacity)
-        out = [
-            pd.DataFrame(
-                {
-                    "doc_id": rest.doc_id, "start": rest.doc_tokens - rest.rest, "length": rest.rest,
-                    "ids_crc32": rest.rest_crc, "doc_tokens": rest.doc_tokens, "sequence_id": bins, "offset": offsets,
-                }
-            )
-        ]
-        full = group[group.full.map(len) > 0]
-        full = full.assign(start=full.full.map(lambda x: [capacity * i for i in range(len(x))]))
-        full = full[["doc_id", "start", "full", "doc_tokens"]].explode(["start", "full"])
-        after = max(bins, default=-1) + 1
-        out.append(
-            pd.DataFrame(
-                {
-                    "doc_id": full.doc_id, "start": full.start, "length": capacity, "ids_crc32": full.full,
-                    "doc_tokens": full.doc_tokens, "sequence_id": range(after, after + len(full)), "offset": 0,
-                }
-            )
-        )
-        found = pd.concat([x for x in out if len(x)])
-        found["sequence_id"] += first
-        found["sequence_tokens"] = found.groupby("sequence_id").length.transform("sum")
-        return found.astype({c: "int64" for c in found.columns if c != "doc_id"})
+    def fill(key, group):
+        import numpy as np
+        import pyarrow as pa
+
+        group = group.take(pa.compute.sort_indices(group, [("doc_id", "ascending"), ("salt", "ascending")]))
+        tokens, rest, crc = (group.column(c).to_numpy() for c in ("doc_tokens", "rest", "rest_crc"))
+        # The last piece of each document is packed; the full ones follow as sequences of their own.
+        short = np.flatnonzero(rest)
+        bins, offsets = first_fit_decreasing(rest[short].tolist(), capacity)
+        whole = group.column("full").combine_chunks()
+        sizes = whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        bins, offsets = np.array(bins, np.int64), np.array(offsets, np.int64)
+        after = int(bins.max(initial=-1)) + 1
+        filled = np.bincount(bins, rest[short], minlength=after).astype(np.int64)
+        n = len(owner)
+        columns = {
+            "start": [tokens[short] - rest[short], capacity * nth], "length": [rest[short], np.full(n, capacity)],
+            "ids_crc32": [crc[short], whole.flatten().to_numpy(zero_copy_only=False)], "doc_tokens": [tokens[short], tokens[owner]],
+            "sequence_id": [(int(key[0].as_py()) << 32) + bins, (int(key[0].as_py()) << 32) + after + np.arange(n)],
+            "offset": [offsets, np.zeros(n)], "sequence_tokens": [filled[bins], np.full(n, capacity)],
+        }
+        made = {k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in columns.items()}
+        return pa.table({"doc_id": group.column("doc_id").take(pa.array(np.concatenate([short, owner]))), **made})
 
     groups = max(1, -(-docs.count() // group_size))
-    rows = texts(docs).withColumn("salt", F.xxhash64("text", "doc_id", F.lit(seed)))
-    sized = rows.mapInArrow(measure, PIECES)
+    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    sized = rows.withColumn("salt", F.xxhash64("text", "doc_id", F.lit(seed))).mapInArrow(measure, PIECES)
     # At least as many partitions as groups would need; a group never spans two.
     return (
         sized.withColumn("group", F.pmod("salt", F.lit(groups)))
         .repartition(max(1, min(groups, partitions(docs.sparkSession))), "group")
         .groupBy("group")
-        .applyInPandas(fill, PACKED)
+        .applyInArrow(fill, PACKED)
     )
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .shared import new_path, partitions, table, texts
 
 SEGMENTS = "part_id int, segment_no long, n_docs long, n_ids long, payload binary"
-DOCUMENTS = "part_id int, segment_no long, doc_id long, before long, n_tokens long, ids binary"
 
 
 def encode_files(
@@ -29,7 +28,7 @@ def encode_files(
     spaced: bool = True,
     end_id: int = 0,
     block: int = 2048,
-    segment_ids: int = 2_000_000,
+    segment_ids: int = 4_000_000,
 ) -> None:
     """Write the token files of ``docs`` to ``path``. A segment has whole documents of about ``segment_ids`` ids."""
 
@@ -77,10 +76,16 @@ def encode_files(
     ordered.mapInArrow(encode, SEGMENTS).write.parquet(path)
 
 
-def decode_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32) of every document."""
+def decode_files(spark: SparkSession, path: str, checksums: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32) of every document.
+
+    ``checksums``: in place of ids, ids_crc32, their unsigned crc32. A damaged segment or block ends the job.
+    """
+    last = "ids_crc32" if checksums else "ids"
 
     def decode(batches: Iterator) -> Iterator:
+        import zlib
+
         import numpy as np
         import pyarrow as pa
 
@@ -89,18 +94,16 @@ def decode_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 doc_ids, lengths, ids = decode_segment(batch.column("payload")[i].as_py())
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
+                ends = np.cumsum(lengths)
                 starts = ends - lengths
-                cuts = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                n = len(doc_ids)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("part_id")[i].as_py()] * n, pa.int32()),
-                        pa.array([batch.column("segment_no")[i].as_py()] * n, pa.int64()),
-                        pa.array(doc_ids), pa.array(starts), pa.array(lengths), pa.array(cuts, pa.binary()),
-                    ],
-                    ["part_id", "segment_no", "doc_id", "before", "n_tokens", "ids"],
-                )
+                if checksums:
+                    cuts = zip(starts.tolist(), ends.tolist(), strict=True)
+                    own = pa.array([zlib.crc32(ids[a:b]) for a, b in cuts], pa.int64())
+                else:
+                    offsets = pa.py_buffer((4 * np.append(starts, len(ids))).astype("<i4"))
+                    own = pa.BinaryArray.from_buffers(pa.binary(), len(doc_ids), [None, offsets, pa.py_buffer(ids)])
+                before = starts + batch.column("segment_start")[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(before), pa.array(lengths), own], ["doc_id", "start", "n_tokens", last])
 
     segments = spark.read.schema(SEGMENTS).parquet(path)
     sizes = segments.select("part_id", "segment_no", "n_ids")
@@ -114,8 +117,9 @@ def decode_files(spark: SparkSession, path: str) -> DataFrame:
         "segment_no",
         (F.col("part_start") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("segment_start"),
     )
-    found = segments.mapInArrow(decode, DOCUMENTS).join(starts, ["part_id", "segment_no"])
-    return found.select("doc_id", (F.col("segment_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    # Starts meet the coded segments: the decoded ids are not shuffled.
+    placed = segments.join(starts, ["part_id", "segment_no"]).select("segment_start", "payload")
+    return placed.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last} {'long' if checksums else 'binary'}")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,4 +127,4 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "token-files")
     encode_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return decode_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return decode_files(spark, path, checksums=True)

@@ -3,8 +3,8 @@
 A vocabulary's encoder works word by word, and most words of a corpus repeat. ``WordEncoder``
 therefore splits a text where the vocabulary's own pre-tokeniser always splits, encodes each new
 chunk with the library and keeps its ids; a text's ids are the joined ids of its chunks.
-The cache holds at most ``max_words`` chunks of at most ``MAX_CHUNK`` characters and is emptied
-when full, so a worker's memory is bounded whatever the corpus.
+The cache holds about ``max_words`` chunks of at most ``MAX_CHUNK`` characters; when full, only those in
+use stay, so a worker's memory is bounded whatever the corpus.
 """
 
 from __future__ import annotations
@@ -21,17 +21,18 @@ class WordEncoder:
     """ids of whole texts as little-endian uint32 bytes, equal to the library's own encoding.
 
     ``spaced``: the vocabulary joins a single space to the word after it (byte-level BPE). Texts
-    with runs of white space then go to the library whole, as splitting them could change ids.
+    with runs of white space then go to the library whole, as splitting them could change ids;
+    so do texts that hold a special token's string, which the library reads as that token.
     Otherwise white space only separates words, and a word's ids end with the vocabulary's word end.
     """
 
-    def __init__(self, path: str, spaced: bool, max_words: int = 400_000):
+    def __init__(self, path: str, spaced: bool, max_words: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaced, self.max_words = spaced, max_words
         self.kept: dict[str, bytes] = {}
         if spaced:
@@ -49,6 +50,8 @@ class WordEncoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """The text's chunks as cache keys; None if it must be encoded whole."""
+        if any(token in text for token in self.special):
+            return None
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
         # "\r" marks the start of the text in a key.
@@ -100,8 +103,7 @@ class WordEncoder:
             words = set().union(*(c for c in split if c is not None))
             new = [w for w in words if w not in self.kept]
             if len(self.kept) + len(new) > self.max_words:
-                self.kept.clear()
-                new = list(words)
+                self.kept = {w: ids for w in words if (ids := self.kept.get(w)) is not None}
             found = self._encode_new(new)
             self.kept.update((w, ids) for w, ids in found.items() if len(w) <= MAX_CHUNK)
             long = {w: ids for w, ids in found.items() if len(w) > MAX_CHUNK}
@@ -118,7 +120,7 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, spaced: bool, max_words: int = 400_000) -> WordEncoder:
+def encoder(path: str, spaced: bool, max_words: int = 700_000) -> WordEncoder:
     """The worker's encoder of this vocabulary: a reused Python worker keeps its cache between tasks."""
     key = (path, spaced, max_words)
     if key not in _LAST:

@@ -67,7 +67,6 @@ def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     at = 0
     got = {r.doc_id: r for r in queries.QUERIES["op3_token_files"](spark, SF).collect()}
     for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id):
