@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import table, written
 
 MARKS = r"^[ \t]*(>[ \t>]*)"
-ATTRIBUTION = r"(?i)^[ \t]*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]*:[ \t]*$"
+ATTRIBUTION = r"(?i)^[ \t]*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]*:[ \t\r]*\z"
 
 
 def normal(text: Column) -> Column:
@@ -100,8 +100,8 @@ def links(messages: DataFrame) -> DataFrame:
     votes = units.groupBy("conv_id", "turn", "passage", "level", "origin").agg(
         F.max("whole").alias("whole"), F.sum("chars").alias("chars")
     )
-    best = F.max_by("origin", F.struct("whole", "chars", "origin"))
-    return votes.groupBy("conv_id", "turn", "passage", "level").agg(best.alias("origin"), F.max("chars").alias("chars"))
+    best = votes.groupBy("conv_id", "turn", "passage", "level").agg(F.max(F.struct("whole", "chars", "origin")).alias("best"))
+    return best.select("conv_id", "turn", "passage", "level", "best.origin", "best.chars")
 
 
 def threads(replies: DataFrame, rounds: int = 40) -> DataFrame:
@@ -152,22 +152,81 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "conversations"))
 
 
-#: For conversations of any kind; quoted passages are linked by their normalised words.
+#: Passages are linked by their normalised text, which the operator hashes.
 CHAT_SQL = r"""
-WITH lines AS (
-  SELECT conv_id, turn, role, i, x,
-    length(regexp_replace(regexp_extract(x, '^[ \t]*(>[ \t>]*)', 1), '[^>]', '', 'g')) AS level
-  FROM (SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
-               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
-        FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+WITH RECURSIVE messages AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS parts
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+),
+marked AS (
+  SELECT id, conv_id, turn, i, parts[i] AS x,
+    length(regexp_replace(regexp_extract(parts[i], '^[ \t]*(>[ \t>]*)', 1), '[^>]', '', 'g')) AS level
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM messages)
+),
+lines AS (
+  SELECT id, conv_id, turn, i, level, CASE WHEN level > 0 THEN regexp_replace(x, '^[ \t]*(>[ \t>]*)', '') ELSE x END AS body,
+    max(level) OVER (PARTITION BY id) > 0 AS quoted
+  FROM marked
 ),
 own AS (
-  SELECT conv_id, turn, role, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (level = 0), '') AS text,
-    max(level) AS deepest
-  FROM lines GROUP BY ALL
-)
-SELECT o.conv_id, o.turn AS thread, o.turn, 0::INT AS depth, b.turn AS reply_to, o.role, o.text,
-  0::BIGINT AS quotes, 0::BIGINT AS linked,
-  '<|' || coalesce(o.role, '') || '|>' || chr(10) || o.text || chr(10) AS formatted
-FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id AND b.turn = o.turn - 1
+  SELECT m.id, m.conv_id, m.turn, m.role, bool_or(l.quoted) AS quoted,
+    coalesce(string_agg(l.body, chr(10) ORDER BY l.i) FILTER (l.level = 0 AND NOT (l.quoted AND regexp_matches(l.body,
+      '(?i)^[ \t]*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]*:[ \t\r]*\z'))), '') AS raw
+  FROM messages m JOIN lines l ON l.id = m.id GROUP BY ALL
+),
+texts AS (
+  SELECT id, conv_id, turn, role, CASE WHEN quoted THEN
+    trim(regexp_replace(regexp_replace(raw, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+\z', '', 'g')) ELSE raw END AS text
+  FROM own
+),
+said AS (
+  SELECT conv_id, form, min(turn) AS origin
+  FROM (SELECT conv_id, turn, trim(regexp_replace(lower(unnest(
+          [text] || regexp_split_to_array(text, '\n[ \t]*\n') || string_split(text, chr(10)))), '[\s>]+', ' ', 'g')) AS form FROM texts)
+  WHERE form <> '' GROUP BY ALL
+),
+shown AS (
+  SELECT *, CASE WHEN lag(level) OVER (PARTITION BY id ORDER BY i) = level THEN 0 ELSE 1 END AS opens
+  FROM lines WHERE quoted AND (level = 0 OR trim(body) <> '')
+),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY i) - 1 AS passage FROM shown),
+passages AS (
+  SELECT id, conv_id, turn, passage, level,
+    trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), '[\s>]+', ' ', 'g')) AS whole_form,
+    list_distinct(list(trim(regexp_replace(lower(body), '[\s>]+', ' ', 'g')))) AS line_forms
+  FROM runs WHERE level > 0 GROUP BY ALL
+),
+units AS (
+  SELECT id, conv_id, turn, passage, level, whole_form AS form, true AS whole FROM passages WHERE whole_form <> ''
+  UNION ALL
+  SELECT id, conv_id, turn, passage, level, form, false AS whole
+  FROM (SELECT *, unnest(line_forms) AS form FROM passages) WHERE form <> '' AND form <> whole_form
+),
+votes AS (
+  SELECT u.conv_id, u.turn, u.passage, u.level, s.origin, bool_or(u.whole) AS whole, sum(length(u.form)) AS chars
+  FROM units u JOIN said s ON s.conv_id = u.conv_id AND s.form = u.form WHERE s.origin < u.turn GROUP BY ALL
+),
+links AS (
+  SELECT conv_id, turn, passage, level, origin, chars FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn, passage, level ORDER BY whole DESC, chars DESC, origin DESC) = 1
+),
+replies AS (
+  SELECT conv_id, turn, origin FROM (SELECT conv_id, turn, origin, sum(chars) AS chars FROM links WHERE level = 1 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY chars DESC, origin DESC) = 1
+),
+walk(conv_id, turn, thread, depth) AS (
+  SELECT conv_id, turn, origin, 1 FROM replies
+  UNION ALL
+  SELECT w.conv_id, w.turn, r.origin, w.depth + 1 FROM walk w JOIN replies r ON r.conv_id = w.conv_id AND r.turn = w.thread
+),
+threads AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM walk GROUP BY ALL)
+SELECT t.conv_id, coalesce(h.thread, t.turn) AS thread, t.turn, coalesce(h.depth, 0) AS depth, coalesce(r.origin, b.turn) AS reply_to,
+  t.role, t.text, coalesce(q.n, 0) AS quotes, coalesce(l.n, 0) AS linked,
+  '<|' || coalesce(t.role, '') || '|>' || chr(10) || t.text || chr(10) AS formatted
+FROM texts t
+LEFT JOIN replies r ON r.conv_id = t.conv_id AND r.turn = t.turn
+LEFT JOIN threads h ON h.conv_id = t.conv_id AND h.turn = t.turn
+LEFT JOIN (SELECT DISTINCT conv_id, turn FROM messages) b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1
+LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM units WHERE whole GROUP BY ALL) q ON q.conv_id = t.conv_id AND q.turn = t.turn
+LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM links GROUP BY ALL) l ON l.conv_id = t.conv_id AND l.turn = t.turn
 """
