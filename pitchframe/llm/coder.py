@@ -19,7 +19,7 @@ import numpy as np
 
 BLOCK = 2048  #: ids in a block; counts stay below 2**16 up to here
 LANES = 2048  #: blocks coded in step, which bounds the memory of the models
-SLOTS = 4096  #: contexts that a block remembers for order 1, and for order 2
+SLOTS = 2048  #: contexts that a block remembers for order 1, and for order 2
 LOW_BYTE_GROUPS = 4  #: the low byte has counts of its own for each of the high bytes 0, 1, 2 and the rest
 LARGEST = (1 << 30) - 1  #: id
 HEADER = struct.Struct("<4sBBHIIQI")
@@ -219,6 +219,13 @@ def _decode_lanes(data: list[bytes], sizes, planes: int):
     return ids
 
 
+def _groups(blocks: int) -> list[tuple[int, int]]:
+    """Blocks to code in step: as few groups as LANES allows, of like sizes."""
+    parts = -(-blocks // LANES)
+    edges = [blocks * k // parts for k in range(parts)] + [blocks]
+    return list(zip(edges, edges[1:], strict=False))
+
+
 def encode_segment(doc_ids, lengths, ids, block: int = BLOCK) -> bytes:
     """One self-contained piece of a token file: whole documents, their ids in blocks of ``block``."""
     if not 0 < block <= BLOCK:
@@ -233,8 +240,8 @@ def encode_segment(doc_ids, lengths, ids, block: int = BLOCK) -> bytes:
     grid[: len(ids)] = ids
     grid = grid.reshape(blocks, block)
     coded: list[bytes] = []
-    for lo in range(0, blocks, LANES):
-        coded += _encode_lanes(np.ascontiguousarray(grid[lo : lo + LANES].T), sizes[lo : lo + LANES], planes)
+    for lo, hi in _groups(blocks):
+        coded += _encode_lanes(np.ascontiguousarray(grid[lo:hi].T), sizes[lo:hi], planes)
     sums = [zlib.crc32(grid[k, : sizes[k]]) for k in range(blocks)]
     head = b"".join(
         [
@@ -264,8 +271,8 @@ def decode_segment(data: bytes):
     coded = [data[end - size : end] for end, size in zip(ends.tolist(), bytes_of.tolist(), strict=True)]
     sizes = np.minimum(block, n - block * np.arange(blocks))
     out = []
-    for lo in range(0, blocks, LANES):
-        grid = np.ascontiguousarray(_decode_lanes(coded[lo : lo + LANES], sizes[lo : lo + LANES], planes).T, "<u4")
+    for lo, hi in _groups(blocks):
+        grid = np.ascontiguousarray(_decode_lanes(coded[lo:hi], sizes[lo:hi], planes).T, "<u4")
         for k, row in enumerate(grid, lo):
             if zlib.crc32(row[: sizes[k]]) != sums[k]:
                 raise ValueError(f"block {k} of the segment is damaged")

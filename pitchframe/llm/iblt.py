@@ -1,9 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs: lines, cut further behind words whose last character is one of ``ENDS``, so that a cut
-depends on the words around it alone and an edit changes only the pieces it touches. Each distinct paragraph's
+A text is cut into paragraphs: lines, long ones cut further where a hash of the code points before meets a condition, so that
+a cut depends on what is near it alone, in any script, and an edit changes only the pieces it touches. Each distinct paragraph's
 64-bit digest is added to one cell in each third of a sketch; a cell holds a count, the digests' xor and the xor of their
-checks. Subtracting one text's sketch from another's leaves the digests that only one of them has, and peeling
+checks. Subtracting one text's fingerprint from another's leaves the digests that only one of them has, and peeling
 cells that hold one digest recovers them. Where peeling gets stuck the sketches are made again with twice the cells.
 The likeness of two texts is the share of their paragraphs that both have.
 
@@ -18,7 +18,6 @@ their texts; null doc_ids come first; an empty table gives no rows; other column
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +26,43 @@ from pyspark.sql import functions as F
 from .shared import partitions, table, texts
 
 CELLS = 24
-ENDS = ".,!?;:|#$%&*ensyr"
-_PIECES = re.compile(rf"[^\n]*?[{re.escape(ENDS)}](?=\s|$)|[^\n]+")
+REACH = 8  #: code points that decide a cut
+EVERY = 48  #: code points between cuts, on average
 TOGETHER = 1_500_000  #: characters of the texts sketched at once
 
 
+def paragraph_ends(text: str):
+    """Positions in the text's code points behind which a paragraph ends: line ends, and where the hash of the last REACH code
+    points of a line is one in EVERY. They depend on what is near them alone, in any script."""
+    import numpy as np
+
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return np.zeros(0, np.int64)
+    hashed = np.zeros(len(codes), np.uint32)
+    for k in range(min(REACH, len(codes))):
+        if len(codes) >= REACH:
+            hashed[REACH - 1 :] += codes[REACH - 1 - k : len(codes) - k] * np.uint32(0x9E3779B1 * (2 * k + 1) & 0xFFFFFFFF)
+    hashed ^= hashed >> np.uint32(15)
+    hashed *= np.uint32(0x2C1B3C6D)
+    cut = (hashed >> np.uint32(12)) % np.uint32(EVERY) == 0
+    cut[: REACH - 1] = False
+    lines = np.flatnonzero(codes == 10)
+    for k in range(REACH):  # a line's first code points do not look back into the line before
+        near = lines + k
+        cut[near[near < len(codes)]] = False
+    cut[lines] = True
+    cut[-1] = True
+    return np.flatnonzero(cut) + 1
+
+
 def digests(text: str):
     """The distinct 64-bit digests of the text's paragraphs, white space at their ends dropped."""
     import numpy as np
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
-    found = {digest(p) for p in map(str.strip, _PIECES.findall(text)) if p}
+    digest, ends = xxhash.xxh3_64_intdigest, paragraph_ends(text).tolist()
+    found = {digest(p) for a, b in zip([0, *ends], ends, strict=False) if (p := text[a:b].strip())}
     return np.fromiter(found, np.uint64, len(found))
 
 
@@ -72,6 +96,17 @@ class Sketches:
             np.bitwise_xor.at(self.keys, at, keys)
             np.bitwise_xor.at(self.checks, at, check)
 
+    def minus(self, other: "Sketches") -> "Sketches":
+        out = Sketches(self.cells)
+        out.count, out.keys, out.checks = self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks
+        return out
+
+    def part(self, lo: int, hi: int) -> "Sketches":
+        """Those of texts lo .. hi-1, all of one size."""
+        out, size = Sketches(self.cells[lo:hi]), int(self.cells[0]) if len(self.cells) else 0
+        out.count, out.keys, out.checks = (x[lo * size : hi * size] for x in (self.count, self.keys, self.checks))
+        return out
+
     def peel(self):
         """(owner, digest, sign) of everything recovered, and which texts' sketches are empty afterwards."""
         import numpy as np
@@ -113,16 +148,31 @@ def flat(sets):
     return np.repeat(np.arange(len(sets)), sizes), np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes
 
 
-def differing(a: list, b: list, cells: int = CELLS):
-    """How many digests only one of a[k] and b[k] has, for each k, by subtracting and peeling sketches."""
+def sketched(sets: list, cells: int = CELLS) -> Sketches:
+    """The sketch of ``cells`` cells of each set of digests."""
+    import numpy as np
+
+    owner, keys, _ = flat(sets)
+    out = Sketches(np.full(len(sets), cells))
+    out.add(owner, keys, 1)
+    return out
+
+
+def differing(a: list, b: list, difference: Sketches):
+    """How many digests only one of a[k] and b[k] has, for each k, by peeling the ``difference`` of their sketches.
+
+    Where peeling gets stuck, both sketches are made again with twice the cells.
+    """
     import numpy as np
 
     found = np.zeros(len(a), np.int64)
     (owner_a, keys_a, size_a), (owner_b, keys_b, size_b) = flat(a), flat(b)
-    todo = np.arange(len(a))
-    # The sizes' difference is the least that can differ.
-    size = np.full(len(a), cells)
-    while (small := size < 3 * np.abs(size_a - size_b) // 2).any():
+    owner, _, _, empty = difference.peel()
+    counts = np.bincount(owner, minlength=len(a))
+    found[empty] = counts[empty]
+    todo = np.flatnonzero(~empty)
+    size = 2 * difference.cells
+    while (small := size < 3 * np.abs(size_a - size_b) // 2).any():  # the sizes' difference is the least that can differ
         size[small] *= 2
     while len(todo):
         place = np.full(len(a), -1)
@@ -139,23 +189,20 @@ def differing(a: list, b: list, cells: int = CELLS):
     return found, size_a, size_b
 
 
-def likeness(a: list, b: list):
+def likeness(a: list, b: list, difference: Sketches):
     """The share of the paragraphs of a[k] or b[k] that both have; 1 where neither has any."""
     import numpy as np
 
-    apart, size_a, size_b = differing(a, b)
+    apart, size_a, size_b = differing(a, b, difference)
     total = size_a + size_b
     return np.where(total > 0, (total - apart) / np.maximum(total + apart, 1), 1.0)
 
 
-def fingerprint_texts(sets: list) -> list[str]:
-    """The sketches of CELLS cells, each cell as count (4 bytes), digests and checks (8 bytes each)."""
+def written_out(sketches: Sketches) -> list[str]:
+    """Each sketch as hexadecimal text: of each cell the count (4 bytes), digests and checks (8 bytes each)."""
     import numpy as np
 
-    owner, keys, _ = flat(sets)
-    sketches = Sketches(np.full(len(sets), CELLS))
-    sketches.add(owner, keys, 1)
-    cells = np.zeros(len(sets) * CELLS, [("n", ">i4"), ("keys", ">u8"), ("checks", ">u8")])
+    cells = np.zeros(len(sketches.count), [("n", ">i4"), ("keys", ">u8"), ("checks", ">u8")])
     cells["n"], cells["keys"], cells["checks"] = sketches.count, sketches.keys, sketches.checks
     raw, step = cells.tobytes(), CELLS * cells.itemsize
     return [raw[i : i + step].hex() for i in range(0, len(raw), step)]
@@ -199,7 +246,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         is_head, F.array(F.struct(F.col("part"), F.lit(False).alias("follows")), F.struct(target.alias("part"), F.lit(True).alias("follows")))
     ).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("follows"))))
     rows = rows.select("doc_id", "text", F.explode(places).alias("at")).select("at.part", "at.follows", "doc_id", "text")
-    return rows.repartition(n, "part").sortWithinPartitions("part", "follows", "doc_id", "text")
+    return rows.repartitionByRange(n, "part").sortWithinPartitions("part", "follows", "doc_id", "text")
 
 
 def edited(text: str, after: str) -> str:
@@ -225,13 +272,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             own = [digests(t) for _, t in rows]
             changed = [edited(a, b) for (_, a), (_, b) in zip(rows, rows[1:], strict=False)]
             new = [digests(t) for t in changed]
-            rows, after, own = rows[:-1], own[1:], own[:-1]
+            n = len(changed)
+            all_own, all_new = sketched(own), sketched(new)
+            mine = all_own.part(0, n)
+            near_new, near_next = likeness(own[:-1], new, mine.minus(all_new)), likeness(own[:-1], own[1:], mine.minus(all_own.part(1, n + 1)))
+            rows, own = rows[:-1], own[:-1]
             columns = [
                 pa.array([d for d, _ in rows], pa.int64()),
                 pa.array([len(t) for _, t in rows], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
-                pa.array(fingerprint_texts(own)), pa.array(fingerprint_texts(new)),
-                pa.array(likeness(own, new)), pa.array(likeness(own, after)),
+                pa.array(written_out(mine)), pa.array(written_out(all_new)), pa.array(near_new), pa.array(near_next),
                 pa.array([len(x) for x in own], pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")])

@@ -10,7 +10,8 @@ same size for any corpus, and more than ``max_languages`` languages are refused.
 
 Defined results: null text, or text without a letter: ``und`` and score 0; rows with a null language teach nothing;
 with nothing to learn from, everything is ``und``; equal shares go to the language first in alphabetical order;
-repeated rows get equal results; an empty table gives no rows; other columns are ignored.
+text in letters that no learned language has still gets the likeliest of them; repeated rows get equal results; a null doc_id
+is not held out (``held_out`` is null); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +50,15 @@ def trigrams(texts: list[str]):
 
     fold, sizes = _letters(), np.array([len(t) + 3 for t in texts], np.int64)
     codes = np.frombuffer("".join(f" {t}  " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    wide = codes >= 1 << 16
-    codes = fold[np.where(wide, 32, codes)] if wide.any() else fold[codes]
+    wide = np.flatnonzero(codes >= 1 << 16)
+    if len(wide):
+        kinds, which = np.unique(codes[wide], return_inverse=True)
+        codes = codes.copy()
+        codes[wide] = 32
+        codes = fold[codes]
+        codes[wide] = np.array([ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in kinds.tolist()], np.uint32)[which]
+    else:
+        codes = fold[codes]
     owner = np.repeat(np.arange(len(texts)), sizes)
     keep = (codes[:-2] != 32) | (codes[1:-1] != 32)
     keep &= owner[:-2] == owner[2:]
@@ -184,35 +192,36 @@ def mixtures(chances, grams, sizes, steps: int = 8, penalty: float = 2.0, least:
     return found
 
 
-def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
-    """lang_pred, score, languages (the chosen set, largest share first) and ``keep`` for each row of ``docs``."""
+def predict(docs: DataFrame, model: LanguageModel, *keep: str, names: tuple[str, str, str] = ("lang_pred", "score", "languages")) -> DataFrame:
+    """``keep`` and, under ``names``, the language, its share, and the chosen set (largest share first) for each row of ``docs``."""
+    if set(names) & set(keep):
+        raise ValueError(f"columns {sorted(set(names) & set(keep))} are there already; give the results other names")
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * languages floats
 
     def infer(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names, chances = shipped.value.names, shipped.value.chances
+        known_names, chances = shipped.value.names, shipped.value.chances
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             langs, scores, sets = [], [], []
             for lo, hi in slices(texts):
                 grams, sizes = trigrams(texts[lo:hi])
-                if not names:
+                if not known_names:
                     shares = np.zeros((hi - lo, 0))
                 else:
                     shares = mixtures(chances, grams, sizes)
                 for row in shares:
                     known = [i for i in np.argsort(-row, kind="stable") if row[i] > 0]
-                    langs.append(names[known[0]] if known else UNDETERMINED)
+                    langs.append(known_names[known[0]] if known else UNDETERMINED)
                     scores.append(min(1.0, float(row[known[0]])) if known else 0.0)
-                    sets.append([names[i] for i in known])
+                    sets.append([known_names[i] for i in known])
             arrays = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))]
-            names_out = ["lang_pred", "score", "languages"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *arrays], [*keep, *names_out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *arrays], [*keep, *names])
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    schema = f"{kinds}, lang_pred string, score double, languages array<string>"
+    kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    schema = f"{kinds}`{names[0]}` string, `{names[1]}` double, `{names[2]}` array<string>"
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(infer, schema)
 
 

@@ -7,13 +7,15 @@ format alone, so equal values have equal pseudonyms in all documents, and withou
 
 Defined results: null text stays null; empty text stays empty; text without findings is returned as it is; repeated
 rows get equal results; an empty table gives no rows; other columns are kept as they are unless ``keep`` says less.
-A value that the permutation would leave as it is goes through it again with another tweak.
+The permutation is one to one within a format, so two values never share a pseudonym; like any permutation drawn at random
+it leaves about one value of each format as it is. Letters outside ASCII have no place in a format and are mapped to ASCII ones.
 """
 
 from __future__ import annotations
 
 import datetime
 import re
+import secrets
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -24,7 +26,7 @@ from .shared import table
 
 ROUNDS = 8
 LONGEST = 64  #: characters permuted together; longer values are permuted in pieces chained by their tweaks
-DEFAULT_KEY = "pitchframe-demonstration-key"
+KEY = "pitchframe.pii.key"  #: the session's setting
 
 _PATTERNS = {
     "assigned": r"(?i:(?<![\w])(?:api[_-]?key|access[_-]?key|auth|bearer|credential|passwd|password|private[_-]?key|pwd|secret|token))"
@@ -90,13 +92,6 @@ class Pseudonyms:
             if value < size:
                 return value
 
-    def moved(self, value: int, size: int, tweak: str) -> int:
-        for again in range(8):
-            got = self.permuted(value, size, f"{tweak}#{again}" if again else tweak)
-            if got != value:
-                return got
-        return value
-
     @staticmethod
     def chained(tweak: str, piece: str) -> str:
         """The tweak of the piece after ``piece``, as long for the last piece as for the second."""
@@ -130,7 +125,7 @@ class Pseudonyms:
                 at = kind.find(c if not hexadecimal or c in kind else c.swapcase())
                 value, size = value * len(kind) + (at if at >= 0 else ord(c) % len(kind)), size * len(kind)
         shape = "".join(str(len(k)) if k else c for c, k in zip(text, kinds, strict=True))
-        value = self.moved(value, size, f"{tweak}|{shape}")
+        value = self.permuted(value, size, f"{tweak}|{shape}")
         out = []
         for c, kind in zip(reversed(text), reversed(kinds), strict=True):
             if kind:
@@ -147,7 +142,7 @@ class Pseudonyms:
         tweak = f"{tweak}|{len(found)}|{''.join(out)}"
         for at in range(0, len(rest), LONGEST):
             part = rest[at : at + LONGEST]
-            piece = str(self.moved(int(part), 10 ** len(part), tweak)).zfill(len(part))
+            piece = str(self.permuted(int(part), 10 ** len(part), tweak)).zfill(len(part))
             out.extend(piece)
             tweak = self.chained(tweak, piece)
         new = iter(out)
@@ -208,7 +203,7 @@ def _date(p: Pseudonyms, text: str) -> str | None:
             continue
         if not 0 <= number < _DAYS:
             continue
-        new = datetime.date.fromordinal(_EPOCH + p.moved(number, _DAYS, "date"))
+        new = datetime.date.fromordinal(_EPOCH + p.permuted(number, _DAYS, "date"))
         padded = all(len(x) > 1 for x in parts)
         show = (lambda x: f"{x:02d}") if padded else str
         if year_first:
@@ -222,7 +217,7 @@ def _address4(p: Pseudonyms, text: str) -> str | None:
     octets = [int(x) for x in text.split(".")]
     if max(octets) > 255:
         return None
-    value = p.moved(int.from_bytes(bytes(octets), "big"), 1 << 32, "address4")
+    value = p.permuted(int.from_bytes(bytes(octets), "big"), 1 << 32, "address4")
     return ".".join(str(x) for x in value.to_bytes(4, "big"))
 
 
@@ -301,6 +296,8 @@ SPANS = "array<struct<kind: string, start: int, length: int>>"
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text", spans: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``column``; ``spans`` names a column for what was found, if wanted."""
+    if spans in docs.columns:
+        raise ValueError(f"the column {spans} is there already; give the spans another name")
 
     def replace(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -318,7 +315,17 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text", spans: str | N
     return docs.mapInArrow(replace, schema + (f", `{spans}` {SPANS}" if spans else ""))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; where it names none, a secret one drawn for this session alone, so that no
+    pseudonym can be undone. Name one to have the same pseudonyms in every run."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY, key)
+    return key
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pseudonymise(docs, spark.conf.get("pitchframe.pii.key", DEFAULT_KEY), spans="spans")
+    found = pseudonymise(docs, session_key(spark), spans="spans")
     return found.select("doc_id", "text", F.size("spans").alias("n_found"))

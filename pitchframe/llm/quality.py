@@ -6,7 +6,8 @@ equations (``features``**2 numbers, whatever its rows), Spark adds the parts, an
 
 Defined results: null or empty text has the statistics of an empty text and a score like any other; rows whose
 label is null teach nothing; with no labels every score is 0.5, and with one class it is that class; repeated
-rows get equal scores; an empty table gives no rows; other columns are ignored.
+rows get equal scores; equal raw scores have equal calibrated ones; a null doc_id is neither held out nor learned from
+(``held_out`` is null); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def pooled(scores, ones, counts):
     for a, n, inside in blocks:
         for s in sorted({inside[0], inside[-1]}):
             edges.append(s)
-            values.append((a + 0.5 * (a / n)) / (n + 0.5))
+            values.append(a / n)
     return edges, values
 
 
@@ -197,6 +198,26 @@ def fit(labelled: DataFrame, features: int = 256, width: float = 4.0, ridge: flo
     return QualityModel(mean, scale, directions, phases, weights, edges, values)
 
 
+def predict(docs: DataFrame, model: QualityModel, *keep: str, name: str = "score") -> DataFrame:
+    """``keep`` and the score, named ``name``, for each row of ``docs``, in one pass over the texts."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    if name in keep:
+        raise ValueError(f"the column {name} is there already; give the score another name")
+
+    def scored(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                stats = np.array([statistics(t or "") for t in batch.column("text").to_pylist()])
+                columns = [*(batch.column(k) for k in keep), pa.array(shipped.value.score(stats))]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, name])
+
+    kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(scored, f"{kinds}`{name}` double")
+
+
 def score(stats: DataFrame, model: QualityModel, *keep: str) -> DataFrame:
     """``keep`` and ``score`` for each row of ``stats``."""
     shipped = stats.sparkSession.sparkContext.broadcast(model)

@@ -16,7 +16,8 @@ Defined results: null text is an empty one, and texts without words have fingerp
 repeated rows are each returned; rows with a null doc_id are fingerprinted but name no component (null if alone);
 an empty table gives no rows; other columns are ignored.
 
-``similar_documents`` links by the similarity of the shingle sets themselves, found by an exact prefix-filtered join.
+``similar_documents`` links by the similarity of the shingle sets themselves. Fingerprints of sets 0.8 alike differ in some 19 of
+128 bits and up to 44, too many for keys of bits alone; keys of least values bring them together, the index compares them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import math
 from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import partitions, table, texts, written
@@ -33,6 +34,10 @@ from .shared import partitions, table, texts, written
 PIECE = 50_000  #: shingles whose bits are counted at once
 FAN = 8  #: children of a node
 PAIRS = 1_000_000  #: node pairs compared at once
+HOT = 10_000  #: a key is sent by broadcast if it has over a HOT-th of the rows
+ROWS = 4  #: least values in a key of ``similar_documents``
+MISS = 1e-5  #: the chance that two sets just as alike as asked for have no key in common
+TOGETHER = 256  #: comparisons for which a set is sent once
 
 
 def shingle_hashes(text: str, shingle: int):
@@ -52,14 +57,11 @@ def shingle_hashes(text: str, shingle: int):
     return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
 
 
-def fingerprint(text: str, shingle: int = 4, words: int = 1) -> list[int]:
-    """The text's SimHash, 64 bits a word: bit k is set if it is in over half of the values of its shingles.
-
-    Words after the first are made from the shingles' values mixed anew.
-    """
+def simhash_of(hashes, words: int = 1) -> list[int]:
+    """A SimHash of 64 bits a word: bit k is set if it is in over half of ``hashes``. Words after the first mix the hashes anew."""
     import numpy as np
 
-    hashes, out = shingle_hashes(text, shingle), []
+    out = []
     for n in range(words):
         total = np.zeros(64, np.int64)
         for lo in range(0, len(hashes), PIECE):
@@ -74,6 +76,11 @@ def fingerprint(text: str, shingle: int = 4, words: int = 1) -> list[int]:
     return out
 
 
+def fingerprint(text: str, shingle: int = 4, words: int = 1) -> list[int]:
+    """The text's SimHash, repeated shingles counted each time."""
+    return simhash_of(shingle_hashes(text, shingle), words)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
     """doc_id and w0, w1, ... (the fingerprint's words as signed longs) for each row of ``docs``."""
     names = [f"w{n}" for n in range(words)]
@@ -117,31 +124,36 @@ def keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("*", F.explode(F.array(*rows)).alias("k")).select(*fps.columns, "k.choice", "k.key")
 
 
-def search_groups(fps, group, distance: int, tight: int):
+def search_groups(fps, group, distance: int, tight: int, label_of=None):
     """(root, pairs): of each fingerprint (row of uint64 words) the position of one that ``tight`` links lead to inside its
     group, and the pairs of positions within ``distance`` bits whose roots differ.
 
-    ``group``: rising numbers. Inside a group rows are reordered by the Gray rank of the first word.
+    ``group``: rising numbers. Inside a group rows are reordered by the Gray rank of the first word. ``label_of``: rows with
+    equal labels are linked already, are sorted together, and nodes of one label are not compared with each other.
     """
     import numpy as np
 
+    known = np.arange(len(fps)) if label_of is None else np.unique(label_of, return_inverse=True)[1]
+
     rank = fps[:, 0].copy()  # the Gray rank: the number whose Gray code the fingerprint is
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
-    order = np.lexsort((rank, group))
-    values, groups = fps[order], group[order]
+    order = np.lexsort((rank, group) if label_of is None else (rank, known, group))
+    values, groups, known = fps[order], group[order], known[order]
     n = len(values)
-    # levels[k]: (bits set by all, bits set by any, group, first member, members) of its nodes; level 0 has the fingerprints.
-    levels = [(values, values, groups, np.arange(n), np.ones(n, np.int64))]
+    # levels[k]: (bits set by all, bits set by any, group, first member, members, least and largest label) of its nodes;
+    # level 0 has the fingerprints.
+    levels = [(values, values, groups, np.arange(n), np.ones(n, np.int64), known, known)]
     while True:
-        every, some, owner, first, size = levels[-1]
+        every, some, owner, first, size, least, largest = levels[-1]
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         counts = np.diff(np.append(starts, len(owner)))
         if counts.max() == 1:
             break
         at = np.flatnonzero((np.arange(len(owner)) - np.repeat(starts, counts)) % FAN == 0)
         every, some = np.bitwise_and.reduceat(every, at, axis=0), np.bitwise_or.reduceat(some, at, axis=0)
-        levels.append((every, some, owner[at], first[at], np.add.reduceat(size, at)))
+        least, largest = np.minimum.reduceat(least, at), np.maximum.reduceat(largest, at)
+        levels.append((every, some, owner[at], first[at], np.add.reduceat(size, at), least, largest))
     label = np.arange(n)
 
     def link(a, b) -> None:
@@ -171,7 +183,10 @@ def search_groups(fps, group, distance: int, tight: int):
         if len(a) > PAIRS:
             todo += [(level, a[i : i + PAIRS], b[i : i + PAIRS]) for i in range(0, len(a), PAIRS)]
             continue
-        every, some, _, first, size = levels[level]
+        every, some, _, first, size, least, largest = levels[level]
+        if label_of is not None:
+            other = (least[a] != largest[a]) | (least[b] != largest[b]) | (least[a] != least[b])
+            a, b = a[other], b[other]
         apart = bits((every[a] & ~some[b]) | (every[b] & ~some[a]))
         near = apart <= distance
         a, b, apart = a[near], b[near], apart[near]
@@ -286,160 +301,197 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
+def joined(rows: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
+    """The inner join of ``rows`` with ``one``, which has each key once and in ``n`` how many of ``rows`` have it.
+
+    Keys with more than a ``HOT``-th of the rows, of which there are fewer than ``HOT``, are broadcast; the others are dealt out.
+    Both sides are read twice, so they are best written tables.
+    """
+    limit = max(1000, (one.agg(F.sum("n")).first()[0] or 0) // HOT)
+    often = rows.join(F.broadcast(one.where(F.col("n") > limit).drop("n")), list(keys))
+    return often.unionByName(rows.join(one.where(F.col("n") <= limit).drop("n"), list(keys)))
+
+
 def _named(marked: DataFrame, distinct: DataFrame, edges: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, words and component_id of each row of ``marked``, from links between the ids of ``distinct``."""
-    found = components(edges)
-    named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(smallest, "label").select(*words, "component_id"), words).select(
-        "doc_id", *words, "component_id"
-    )
+    """doc_id, words and component_id of each row of ``marked``, from links between the ids of ``distinct`` (id, words,
+    first: the smallest doc_id, n: its rows)."""
+    found = written(components(edges).withColumnRenamed("node", "id"), "components")
+    members = written(found.join(distinct.select("id", "first"), "id"), "members")
+    smallest = written(members.groupBy("label").agg(F.min("first").alias("smallest"), F.count("*").alias("n")), "smallest")
+    tied = joined(members, smallest, "label").select("id", "smallest")
+    named = distinct.join(tied, "id", "left").select(*words, "n", F.coalesce("smallest", "first").alias("component_id"))
+    return joined(marked.select("doc_id", *words), written(named, "named"), *words).select("doc_id", *words, "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, group_size: int = 64) -> DataFrame:
     """doc_id, w0 (the fingerprint) and component_id for each row of ``docs``: links are distances of ``distance`` bits or less."""
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = marked.groupBy("w0").agg(F.min("doc_id").alias("first")).withColumn("id", F.col("w0"))
+    distinct = marked.groupBy("w0").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("id", F.col("w0"))
     distinct = written(distinct, "distinct-fingerprints")
     masks = exact_masks(distinct.count(), distance, group_size)
     edges = linked(distinct.select("id", "w0"), masks, distance, distance)
     return _named(marked, distinct, edges.select("a", "b"), ["w0"])
 
 
-def frequent_shingles(docs: DataFrame, shingle: int, rows: int = 10_000, most: int = 200_000):
-    """(hashes, ranks): the commonest shingles of about ``rows`` documents, hashes rising, and how often they occur there.
-
-    They only order a document's shingles, so that common ones are seldom keys; any order finds the same pairs.
-    """
-    import numpy as np
-
-    every = max(1, docs.count() // rows)
-    drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
-
-    def counted(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
-            found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    counts = drawn.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
-    got = counts.orderBy(F.desc("n"), "key").limit(most).toArrow()
-    hashes, ranks = (got.column(c).to_numpy() for c in ("key", "n"))
-    order = np.argsort(hashes.view(np.uint64))
-    return hashes.view(np.uint64)[order], ranks[order]
-
-
-def shingle_sets(docs: DataFrame, similarity: float, shingle: int, common) -> DataFrame:
-    """doc_id, w0, w1 (a 128-bit digest of the text's shingle set), n (its size) and prefix: its first shingles, rarest first.
-
-    Two sets at least ``similarity`` alike have a shingle of both prefixes in common.
-    """
-    hashes, ranks = common
+def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """Of each row: row (a hash of it), doc_id, and of the set of its text's distinct shingles: w0, w1 (a 128-bit digest), f0, f1
+    (a 128-bit SimHash), size and keys: ``bands`` hashes of the least values of ``ROWS`` permutations each; none for an empty set."""
 
     def hashed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import xxhash
 
+        random = np.random.default_rng(17)
+        mask, factor = (random.integers(0, 1 << 32, bands * ROWS, dtype=np.uint32) for _ in range(2))
+        factor |= np.uint32(1)
+        step = max(1, (1 << 20) // (bands * ROWS))
+        salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+        def keys(own):
+            """Two sets have a band's key in common with the chance similarity ** ROWS."""
+            short, least = (own >> np.uint64(32)).astype(np.uint32), np.full(bands * ROWS, 0xFFFFFFFF, np.uint32)
+            for lo in range(0, len(short), step):
+                np.minimum(least, ((short[lo : lo + step, None] ^ mask) * factor).min(axis=0), out=least)
+            key = salt.copy()
+            for k in range(ROWS):
+                key = (key ^ least[k::ROWS]) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(29)
+            return key.view(np.int64)
+
         for batch in batches:
-            words, sizes, prefixes = [], [], []
+            words, found, sizes, lists = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = np.unique(shingle_hashes(text, shingle))
                 words.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64))
+                found.append(simhash_of(own, 2))
                 sizes.append(len(own))
-                if len(own) and len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    rank = np.where(hashes[at] == own, ranks[at], 0)
-                    own = own[np.argsort(rank, kind="stable")]
-                kept = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
-                prefixes.append(own[:kept].view(np.int64))
-            w = np.array(words, np.int64).reshape(-1, 2)
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array(sizes, pa.int32()), keys],
-                ["doc_id", "w0", "w1", "n", "prefix"],
-            )
+                lists.append(keys(own) if len(own) else np.zeros(0, np.int64))
+            w, f = np.array(words, np.int64).reshape(-1, 2), np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            flat = pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))
+            columns = [pa.array(x.copy()) for x in (w[:, 0], w[:, 1], f[:, 0], f[:, 1])]
+            columns += [pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+            names = ["row", "doc_id", "w0", "w1", "f0", "f1", "size", "keys"]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], names)
 
-    return texts(docs).mapInArrow(
-        hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, w0 long, w1 long, n int, prefix array<long>"
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _rows(docs).mapInArrow(hashed, f"row long, doc_id {kind}, w0 long, w1 long, f0 long, f1 long, size int, keys array<long>")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (a hash of doc_id and text), doc_id and text."""
+    return texts(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
 
-def resemblance(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity): the Jaccard similarity of the sets a and b of ``pairs``; ``sets`` has id and shingles."""
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """id, size and shingles of the sets of ``wanted`` (id, row: of a text that has the set, w0)."""
 
-    def compare(batches: Iterator) -> Iterator:
+    def sets(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
-
-    x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(
-        compare, "a long, b long, similarity double"
-    )
-
-
-def _postings(distinct: DataFrame) -> DataFrame:
-    """key, id, n and pos of each prefix shingle that more than one set has; ``pos`` counts the set's shingles before it."""
-    rows = distinct.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
-    return rows.withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1").select("key", "id", "n", "pos")
+            found = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+            digests = [int(np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)[0]) for x in found]
+            took = np.flatnonzero(np.array(digests, np.int64) == batch.column("w0").to_numpy())  # rows of equal hash
+            chosen = [found[i].view(np.int64) for i in took]
+            ends = np.cumsum([0, *map(len, chosen)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*chosen, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(took)), lists], ["id", "shingles"])
 
+    found = _rows(docs).join(wanted, "row").select("id", "w0", "text").mapInArrow(sets, "id long, shingles array<long>")
+    return found.groupBy("id").agg(F.any_value("shingles").alias("shingles"))  # repeated rows
 
-def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of postings x and y of one key that can be ``similarity`` alike if it is the first one they share."""
-    after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    size = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    enough = after >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    return pairs.where(size & enough).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
+def alike(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: ids of ``distinct``) whose sets of shingles are at least ``similarity`` alike.
 
-def _sets_of(docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
-    """id and shingles of the sets of ``named`` (id, first: the doc_id of a text that has the set)."""
+    A set that many others are compared with is sent in copies, one for each ``TOGETHER`` of them.
+    """
+    pairs = written(pairs.distinct(), "possible-pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = distinct.join(ids, "id", "left_semi").select("id", "row", "w0")
+    sets = written(sets_of(docs, wanted, shingle), "shingle-sets")
+    often = written(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / TOGETHER).cast("int")), "compared")
+    dealt = joined(pairs, often, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+    copies = often.select(F.col("b").alias("id"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    y = sets.join(copies, "id").select(F.col("id").alias("b"), "copy", F.col("shingles").alias("y"))
+    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    both = dealt.join(x, "a").join(y, ["b", "copy"])
+    shared = F.size(F.array_intersect("x", "y"))
+    found = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total"))
+    return found.where(F.col("shared") >= similarity * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def _differ(x: str, y: str):
+    """How many bits of the fingerprints of x and y differ."""
+    return F.bit_count(F.col(f"{x}.f0").bitwiseXOR(F.col(f"{y}.f0"))) + F.bit_count(F.col(f"{x}.f1").bitwiseXOR(F.col(f"{y}.f1")))
+
+
+def _sizes_allow(similarity: float):
+    return F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
+
+
+def across_labels(rows: DataFrame, distance: int, similarity: float, most: int = 2048) -> DataFrame:
+    """(a, b): ids of ``rows`` (key, id, label, f0, f1, size) that share a key, have different labels, sizes that allow the
+    similarity and fingerprints within ``distance`` bits. Each key's rows are a Gray-order index; keys of more than ``most``
+    rows are dealt to pairs of chunks, by labels where these are chunks' size."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = written(sizes.where("low <> high").select("key", "n", F.ceil(F.col("n") / most).cast("int").alias("chunks")), "mixed-keys")
+    own = F.pmod(F.xxhash64("label", "id"), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = joined(rows, sizes, "key").withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("key", "id", "label", "f0", "f1", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def sets(batches: Iterator) -> Iterator:
+    def search(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
-            ids = [int(np.frombuffer(xxhash.xxh3_128_digest(x), np.int64)[0]) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "shingles"])
+        held = [b for b in batches if len(b)]  # a partition's groups, each of at most 2 * most rows
+        if not held:
+            return
+        key, i, j, ids, label, f0, f1, size = (
+            np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "i", "j", "id", "label", "f0", "f1", "size")
+        )
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        fps = np.stack([f0, f1], axis=1).view(np.uint64)
+        a, b = search_groups(fps, np.cumsum(new), distance, -1, label)[1]
+        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        near = small >= similarity * large - 1e-9
+        a, b = ids[a[near]], ids[b[near]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    rows = texts(docs).alias("d").join(named.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.first")), "left_semi")
-    return rows.mapInArrow(sets, "id long, shingles binary").join(named, "id", "left_semi").dropDuplicates(["id"])
+    spark = rows.sparkSession
+    parts = max(partitions(spark), -(-rows.count() // 1_000_000))
+    groups = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return groups.mapInArrow(search, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, stars: int = 12) -> DataFrame:
     """doc_id, w0, w1 (the digest of the shingle set) and component_id: documents link if their sets of shingles are at least
     ``similarity`` alike.
 
-    Exact for any number of documents. Equal sets are one entry. Two sets so alike share a shingle of their prefixes, and of
-    the pairs that share one, those that its places and the sizes allow are compared by their whole sets. While that would be
-    many pairs, each key first compares its members with one of them, as long as that leaves clearly fewer pairs; those that
-    links join already need no comparison, and all others are compared in the end.
+    Equal sets are one entry. Candidates share a key of least values (two sets of the similarity sought miss each other
+    with a chance of ``MISS``, whatever the number of documents) and have SimHash fingerprints that differ in at most as many
+    bits as such sets have but for one in a billion. Every link is checked by the whole sets. Dense groups are not listed in
+    pairs: while keys hold many pairs that no link joins yet, each key compares its members with one of them; the pairs left
+    are found by the Gray-order index, which passes over whole nodes that are linked or too far apart.
     """
-    marked = written(shingle_sets(docs, similarity, shingle, frequent_shingles(docs, shingle)), "shingle-sets")
+    alone = math.acos(2 * similarity / (1 + similarity)) / math.pi  # the chance that a bit differs, for sets of one size
+    distance = math.ceil(128 * alone + 6 * math.sqrt(128 * alone * (1 - alone)))
+    bands = 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log(1 - similarity**ROWS))
+    marked = written(sketches(docs, shingle, bands), "sketches")
     words = ["w0", "w1"]
-    distinct = marked.groupBy(*words).agg(F.min("doc_id").alias("first")).withColumn("id", F.col("w0"))
-    distinct = written(distinct, "distinct-sets")
-    if distinct.select("id").distinct().count() < distinct.count():
-        raise RuntimeError("two sets share the first 64 bits of their digests")
-    postings = written(_postings(marked.select(F.col("w0").alias("id"), "n", "prefix").dropDuplicates(["id"])), "postings")
-    named = distinct.join(postings.select("id").distinct(), "id", "left_semi").select("id", "first")
-    sets = written(_sets_of(docs, named, shingle), "shingles")
+    first = [F.any_value(c).alias(c) for c in ("f0", "f1", "size", "keys")]
+    distinct = marked.groupBy(*words).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("row").alias("row"), *first)
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
+    every = distinct.select(F.explode("keys").alias("key"), "id", "f0", "f1", "size")
+    shared = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    postings = written(joined(every, shared, "key"), "postings")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
-    room = 4 * postings.count() + 1000
+    room = 16 * postings.count() + 1000
     rows, before = postings.withColumn("label", F.col("id")), math.inf
     for star in range(stars + 1):
         same = rows.groupBy("key", "label").agg(F.count("*").cast("double").alias("g"))
@@ -450,17 +502,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
         last = star > 0 and (left / 2 <= room or left > 0.75 * before) or star == stars
         before = left
         if last:
-            pairs = rows.alias("x").join(rows.alias("y"), "key").where("x.id < y.id AND x.label <> y.label")
+            pairs = across_labels(rows, distance, similarity)
         else:
-            one = F.min_by(F.struct("id", "n", "pos", "label"), F.struct(F.xxhash64("id", F.lit(star)), "id"))
-            pivots = rows.groupBy("key").agg(one.alias("v")).select("key", "v.*")
-            pairs = rows.alias("x").join(pivots.alias("y"), "key").where("x.label <> y.label")
-        alike = resemblance(sets, _possible(pairs, similarity)).where(F.col("similarity") >= similarity).select("a", "b")
-        links = written(links.union(alike), "similar-pairs")
+            one = F.min_by(F.struct("id", "f0", "f1", "size", "label"), F.struct(F.xxhash64("id", F.lit(star)), "id"))
+            pivots = written(rows.groupBy("key").agg(one.alias("y"), F.count("*").alias("n")), "pivots")
+            near = joined(rows.select("key", F.struct("id", "f0", "f1", "size", "label").alias("x")), pivots, "key")
+            near = near.where((F.col("x.label") != F.col("y.label")) & _sizes_allow(similarity) & (_differ("x", "y") <= distance))
+            pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        links = written(links.unionByName(alike(docs, distinct, pairs, similarity, shingle)), "similar-pairs")
         if last:
             break
         found = components(links).select(F.col("node").alias("id"), F.col("label").alias("joined"))
-        rows = written(postings.join(found, "id", "left").select(*postings.columns, F.coalesce("joined", "id").alias("label")), "postings")
+        rows = postings.join(found, "id", "left").select(*postings.columns, F.coalesce("joined", "id").alias("label"))
+        rows = written(rows, "postings")
     return _named(marked, distinct, links, words)
 
 

@@ -13,17 +13,27 @@ import os
 import re
 
 MAX_CHUNK = 64
-_DOUBLE_SPACE = re.compile(r"\s\s")
+WORD_END = "</w>"
+_SPACE, _DOUBLE_SPACE = re.compile(r"\s"), re.compile(r"\s\s")
 _LAST: dict[tuple, "WordEncoder"] = {}
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below 256, where every library agrees on lower case and normal forms."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """ids of whole texts as little-endian uint32 bytes, equal to the library's own encoding.
 
     ``spaced``: the vocabulary joins a single space to the word after it (byte-level BPE). Texts
     with runs of white space then go to the library whole, as splitting them could change ids;
     so do texts that hold a special token's string, which the library reads as that token.
-    Otherwise white space only separates words, and a word's ids end with the vocabulary's word end.
+    Otherwise the vocabulary is one of lower case, white space only separates words, and a word's ids end with its word end.
     """
 
     def __init__(self, path: str, spaced: bool, max_words: int = 700_000):
@@ -35,15 +45,12 @@ class WordEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaced, self.max_words = spaced, max_words
         self.kept: dict[str, bytes] = {}
-        if spaced:
-            vocab = self.library.get_vocab(with_added_tokens=False)
-            self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-            for token, i in vocab.items():
-                self.id_bytes[i] = len(token)
-        else:
-            self.mark, self.mark_id = next(
-                ((c, ids[0]) for c in "\u20ac\u00a3\u00a7\u00a9|" if len(ids := self._ids([c])[0]) == 1), ("", -1)
-            )
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.id_bytes, self.ends_word = np.zeros(max(vocab.values()) + 1, np.int64), np.full(max(vocab.values()) + 1, spaced)
+        for token, i in vocab.items():  # a character for each byte, and the word end
+            if not spaced and token.endswith(WORD_END):
+                self.ends_word[i], token = True, token[: -len(WORD_END)]
+            self.id_bytes[i] = len(token)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -53,7 +60,7 @@ class WordEncoder:
         if any(token in text for token in self.special):
             return None
         if not self.spaced:
-            return text.replace("\n", " ").split(" ")
+            return (text.lower() if _latin(text) else text).replace("\n", " ").split(" ")
         # "\r" marks the start of the text in a key.
         if "\r" in text or _DOUBLE_SPACE.search(text):
             return None
@@ -64,30 +71,33 @@ class WordEncoder:
             return key
         return key[1:] if key[:1] == "\r" else " " + key
 
+    def _cut(self, chunks: list[str], ids: list[int]) -> list[bytes]:
+        """The ids of each of the joined ``chunks``; none at all unless each chunk ends where an id does that can end it."""
+        import numpy as np
+
+        found = np.array(ids, dtype="<u4")
+        ends = np.cumsum(np.fromiter((len(x.encode()) for x in chunks), np.int64, len(chunks)))
+        reached = np.cumsum(self.id_bytes[found])
+        last = np.searchsorted(reached, ends)
+        if not len(found) or reached[-1] != ends[-1] or (reached[last] != ends).any() or not self.ends_word[found[last]].all():
+            return []
+        raw, cuts = found.tobytes(), (4 * (last + 1)).tolist()
+        return [raw[lo:hi] for lo, hi in zip([0, *cuts], cuts, strict=False)]
+
     def _encode_new(self, keys: list[str]) -> dict[str, bytes]:
-        """ids by chunk. Most chunks are encoded joined, as they stand in texts, and cut apart again."""
+        """ids by chunk. Most chunks are encoded joined, as they stand in texts, and cut apart again by their bytes."""
         import numpy as np
 
         if self.spaced:
             together = [k for k in keys if k[:1] != "\r" and k.strip()]
-        else:
-            together = [k for k in keys if self.mark and self.mark not in k and k.strip()]
+        else:  # in lower case, as keys of such texts are, and without white space, which the vocabulary drops
+            together = [k for k in keys if k and _latin(k) and k == k.lower() and not _SPACE.search(k)]
         found: dict[str, bytes] = {}
         groups = [together[i : i + 2000] for i in range(0, len(together), 2000)]
         texts = [[self._chunk_text(k) for k in g] for g in groups]
-        joined = ["".join(t) if self.spaced else f" {self.mark} ".join([*t, ""]) for t in texts]
-        for group, text, ids in zip(groups, texts, self._ids(joined), strict=True):
-            ids = np.array(ids, dtype="<u4")
-            if self.spaced:
-                ends = np.cumsum(np.fromiter((len(x.encode()) for x in text), np.int64, len(text)))
-                cuts = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1
-                starts = np.concatenate([[0], cuts[:-1]])
-            else:
-                cuts = np.flatnonzero(ids == self.mark_id)
-                starts = np.concatenate([[0], cuts[:-1] + 1])
-            raw = ids.tobytes()
-            for k, lo, hi in zip(group, (starts * 4).tolist(), (cuts * 4).tolist(), strict=True):
-                found[k] = raw[lo:hi]
+        between = "" if self.spaced else " "
+        for group, text, ids in zip(groups, texts, self._ids([between.join(t) for t in texts]), strict=True):
+            found.update(zip(group, self._cut(text, ids), strict=False))
         alone = [k for k in keys if k not in found]
         for k, ids in zip(alone, self._ids([self._chunk_text(k) for k in alone]), strict=True):
             found[k] = np.array(ids, dtype="<u4").tobytes()
