@@ -11,24 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm import language, packing, pii, quality, simhash
-from pitchframe.llm.shared import table, written
+from pitchframe.llm.shared import free_name, table, written
 
 #: Documents below this chance of being of good quality go.
 LEAST_QUALITY = 0.3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language cannot be told: without letters, or in no learned language."""
+    """Documents go whose language cannot be told: those without letters."""
     model = language.learn(table(spark, sf_dir, "documents").where(~F.coalesce(language.held_out(), F.lit(False))))
-    found = language.predict(docs, model, *docs.columns)
-    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    names = tuple(free_name(docs, c) for c in ("lang_pred", "score", "languages"))
+    found = language.predict(docs, model, *docs.columns, names=names)
+    return found.where(F.col(names[0]) != language.UNDETERMINED).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that the classifier, fitted on the labelled documents of this stage's input, scores too low."""
-    stats = written(quality.measured(docs, *docs.columns), "quality-statistics")
-    model = quality.fit(quality.labelled(stats, table(spark, sf_dir, "labels")))
-    return quality.score(stats, model, *docs.columns).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    labelled = quality.labelled(quality.measured(docs, "doc_id"), table(spark, sf_dir, "labels"))
+    model, name = quality.fit(written(labelled, "labelled-statistics")), free_name(docs, "score")
+    return quality.predict(docs, model, *docs.columns, name=name).where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = pii.pseudonymise(docs, spark.conf.get("pitchframe.pii.key", pii.DEFAULT_KEY))
+    """Personal data and secrets become pseudonyms under the session's key."""
+    kept = pii.pseudonymise(docs, pii.session_key(spark))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
