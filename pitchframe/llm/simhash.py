@@ -434,39 +434,131 @@ def _sizes_allow(similarity: float):
     return F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
 
 
-def across_labels(rows: DataFrame, distance: int, similarity: float, most: int = 2048) -> DataFrame:
-    """(a, b): ids of ``rows`` (key, id, label, f0, f1, size) that share a key, have different labels, sizes that allow the
-    similarity and fingerprints within ``distance`` bits. Each key's rows are a Gray-order index; keys of more than ``most``
-    rows are dealt to pairs of chunks, by labels where these are chunks' size."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    sizes = written(sizes.where("low <> high").select("key", "n", F.ceil(F.col("n") / most).cast("int").alias("chunks")), "mixed-keys")
+def _groups(batches: Iterator, *by: str) -> Iterator:
+    """The rows of each group, one after the other, of sorted batches: tables with equal values of ``by``."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, key = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(c).to_numpy() for c in by]
+        edges = np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in columns])) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)], strict=True):
+            own = tuple(int(c[lo]) for c in columns)
+            if own != key and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = own
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _by_chunks(rows: DataFrame, most: int, shingles: int) -> DataFrame:
+    """The rows of ``rows`` (key, id, label, size, ...) whose key has several labels, with i and j: once for each pair of chunks of
+    its key that its own is in. A chunk has about ``most`` rows or ``shingles`` shingles."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"))
+    chunks = F.ceil(F.greatest(F.col("n") / most, F.col("total") / shingles)).cast("int")
+    sizes = written(sizes.where("low <> high").select("key", "n", chunks.alias("chunks")), "mixed-keys")
     own = F.pmod(F.xxhash64("label", "id"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = joined(rows, sizes, "key").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("key", "id", "label", "f0", "f1", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = joined(rows, sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def search(batches: Iterator) -> Iterator:
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """The rows of each key and pair of chunks one after the other, in one partition."""
+    return rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _candidates(group, distance: int, similarity: float):
+    """Pairs of positions in ``group`` of different labels, sizes that allow the similarity and fingerprints near each other."""
+    import numpy as np
+
+    label, f0, f1, size = (group.column(c).to_numpy() for c in ("label", "f0", "f1", "size"))
+    a, b = search_groups(np.stack([f0, f1], axis=1).view(np.uint64), np.zeros(len(label), np.int64), distance, -1, label)[1]
+    allowed = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+    return a[allowed], b[allowed]
+
+
+def _confirmed(group, similarity: float, distance: int):
+    """(a, b): ids of ``group`` (one key's rows, with their keys and shingles) that join all that pairs of sets at least
+    ``similarity`` alike join: a forest. A pair is compared under the first key it shares, and only if nothing joins it yet."""
+    import numpy as np
+
+    ids, key = group.column("id").to_numpy(), group.column("key")[0].as_py()
+    keys = group.column("keys").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
+    a, b = _candidates(group, distance, similarity)
+    first = [np.zeros(0, bool)]
+    for lo in range(0, len(a), PIECE):
+        x, y = keys[a[lo : lo + PIECE]], keys[b[lo : lo + PIECE]]
+        at = (x == y).argmax(axis=1)
+        first.append(x[np.arange(len(x)), at] == key)
+    first = np.concatenate(first)
+    a, b = a[first], b[first]
+    if not len(a):
+        return ids[:0], ids[:0]
+    shingles = group.column("shingles").chunk(0)
+    size = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    local = np.unique(shingles.flatten().to_numpy(), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    root, there = np.unique(group.column("label").to_numpy(), return_inverse=True)[1], np.zeros(int(local.max(initial=0)) + 1, bool)
+    order = np.lexsort((b, a))
+    a, b, out = a[order], b[order], []
+    for lo, hi in zip(*_runs(a), strict=True):
+        one, others = a[lo], b[lo:hi]
+        others = others[root[others] != root[one]]
+        if not len(others):
+            continue
+        own = local[start[one] : start[one] + size[one]]
+        there[own] = True
+        n = size[others]
+        at = np.repeat(start[others] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.add.reduceat(there[local[at]], np.cumsum(n) - n, dtype=np.int64)
+        there[own] = False
+        for other in others[shared >= similarity * (size[one] + n - shared) - 1e-9].tolist():
+            if root[other] != root[one]:
+                root[root == root[other]] = root[one]
+                out.append((one, other))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return ids[pairs[:, 0]], ids[pairs[:, 1]]
+
+
+def _runs(sorted_values):
+    """Where each run of equal values starts and ends."""
+    import numpy as np
+
+    edges = (np.flatnonzero(np.diff(sorted_values)) + 1).tolist()
+    return [0, *edges], [*edges, len(sorted_values)]
+
+
+def across_labels(docs: DataFrame, distinct: DataFrame, rows: DataFrame, distance: int, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): links between ids of ``rows`` (key, id, label, f0, f1, size) that share a key and have different labels, as a
+    forest for each key or pair of its chunks. A first search finds the rows with any candidate; their sets are sent to a second,
+    which confirms in place, so that pairs that turn out unlike are never listed."""
+
+    def nearby(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held = [b for b in batches if len(b)]  # a partition's groups, each of at most 2 * most rows
-        if not held:
-            return
-        key, i, j, ids, label, f0, f1, size = (
-            np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "i", "j", "id", "label", "f0", "f1", "size")
-        )
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        fps = np.stack([f0, f1], axis=1).view(np.uint64)
-        a, b = search_groups(fps, np.cumsum(new), distance, -1, label)[1]
-        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        near = small >= similarity * large - 1e-9
-        a, b = ids[a[near]], ids[b[near]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for group in _groups(batches, "key", "i", "j"):
+            found = pa.array(np.unique(np.concatenate(_candidates(group, distance, similarity))))
+            yield from group.select(["key", "id"]).take(found).to_batches()
 
-    spark = rows.sparkSession
-    parts = max(partitions(spark), -(-rows.count() // 1_000_000))
-    groups = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return groups.mapInArrow(search, "a long, b long").distinct()
+    def confirm(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for group in _groups(batches, "key", "i", "j"):
+            a, b = _confirmed(group, similarity, distance)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    near = written(_grouped(_by_chunks(rows, 4096, 1 << 40)).mapInArrow(nearby, "key long, id long").distinct(), "nearby")
+    wanted = distinct.join(near.select("id").distinct(), "id", "left_semi")
+    sets = written(sets_of(docs, wanted.select("id", "row", "w0"), shingle).join(wanted.select("id", "keys"), "id"), "shingle-sets")
+    chosen = written(rows.join(near, ["key", "id"]), "chosen")
+    full = _grouped(_by_chunks(chosen, 1024, 400_000).join(sets, "id"))
+    return full.mapInArrow(confirm, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, stars: int = 12) -> DataFrame:
@@ -475,9 +567,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     Equal sets are one entry. Candidates share a key of least values (two sets of the similarity sought miss each other
     with a chance of ``MISS``, whatever the number of documents) and have SimHash fingerprints that differ in at most as many
-    bits as such sets have but for one in a billion. Every link is checked by the whole sets. Dense groups are not listed in
-    pairs: while keys hold many pairs that no link joins yet, each key compares its members with one of them; the pairs left
-    are found by the Gray-order index, which passes over whole nodes that are linked or too far apart.
+    bits as such sets have but for one in a billion. Every link is checked by the whole sets. Groups are never listed in pairs:
+    while keys hold many pairs that no link joins yet, each key compares its members with one of them; the pairs left are found
+    by the Gray-order index, which passes over whole nodes that are linked or too far apart, and confirmed where they are found.
     """
     alone = math.acos(2 * similarity / (1 + similarity)) / math.pi  # the chance that a bit differs, for sets of one size
     distance = math.ceil(128 * alone + 6 * math.sqrt(128 * alone * (1 - alone)))
@@ -489,9 +581,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
     every = distinct.select(F.explode("keys").alias("key"), "id", "f0", "f1", "size")
     shared = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    postings = written(joined(every, shared, "key"), "postings")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    room = 16 * postings.count() + 1000
+    others = joined(every.select("key", "id"), shared.withColumn("others", F.col("n")), "key")
+    company = written(others.groupBy("id").agg(F.sum("others").alias("company")), "company")
+    postings = written(joined(every, shared, "key").join(company, "id"), "postings")
+    links, spent = (docs.sparkSession.createDataFrame([], kinds) for kinds in ("a long, b long", "id long"))
+    room = 64 * postings.count() + 1000
     rows, before = postings.withColumn("label", F.col("id")), math.inf
     for star in range(stars + 1):
         same = rows.groupBy("key", "label").agg(F.count("*").cast("double").alias("g"))
@@ -502,16 +596,17 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
         last = star > 0 and (left / 2 <= room or left > 0.75 * before) or star == stars
         before = left
         if last:
-            pairs = across_labels(rows, distance, similarity)
-        else:
-            one = F.min_by(F.struct("id", "f0", "f1", "size", "label"), F.struct(F.xxhash64("id", F.lit(star)), "id"))
-            pivots = written(rows.groupBy("key").agg(one.alias("y"), F.count("*").alias("n")), "pivots")
-            near = joined(rows.select("key", F.struct("id", "f0", "f1", "size", "label").alias("x")), pivots, "key")
-            near = near.where((F.col("x.label") != F.col("y.label")) & _sizes_allow(similarity) & (_differ("x", "y") <= distance))
-            pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        links = written(links.unionByName(alike(docs, distinct, pairs, similarity, shingle)), "similar-pairs")
-        if last:
+            links = written(links.unionByName(across_labels(docs, distinct, rows, distance, similarity, shingle)), "similar-pairs")
             break
+        # The members with most company under all their keys are likely to be what the others are copies of.
+        one = F.max_by(F.struct("id", "f0", "f1", "size", "label"), F.struct("company", F.xxhash64("id", F.lit(star)), "id"))
+        fresh = rows.join(spent, "id", "left_anti")
+        pivots = written(fresh.groupBy("key").agg(one.alias("y")).join(shared, "key"), "pivots")
+        spent = written(spent.unionByName(pivots.select("y.id")).distinct(), "spent-pivots")
+        near = joined(rows.select("key", F.struct("id", "f0", "f1", "size", "label").alias("x")), pivots, "key")
+        near = near.where((F.col("x.label") != F.col("y.label")) & _sizes_allow(similarity) & (_differ("x", "y") <= distance))
+        pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        links = written(links.unionByName(alike(docs, distinct, pairs, similarity, shingle)), "similar-pairs")
         found = components(links).select(F.col("node").alias("id"), F.col("label").alias("joined"))
         rows = postings.join(found, "id", "left").select(*postings.columns, F.coalesce("joined", "id").alias("label"))
         rows = written(rows, "postings")
