@@ -45,7 +45,7 @@ _MOVES = " UNION ALL ".join(f"SELECT '{c}' AS metric, max({c}) FILTER (season_id
 query("q_season_compare", lambda b: M.season_compare(A.season_overview(b), VALIDATION, SEASON), f", o AS ({OVERVIEW}) SELECT *, after - before AS shift FROM ({_MOVES})")
 
 # --- contextual models --------------------------------------------------------------------------------------------------
-CONTEXTS = ("batter", "bowler", "batter_bowler", "batter_bowler_type", "bowler_batter_type", "types", "phase", "team_batting", "team_bowling", "venue", "legal_phase", "global")
+CONTEXTS = ("batter", "bowler", "batter_bowler", "batter_bowler_type", "bowler_batter_type", "types", "phase", "team_batting", "team_bowling", "venue", "season", "legal_phase", "global")
 
 
 def _similar(level: int) -> str:
@@ -59,9 +59,9 @@ def _similar(level: int) -> str:
     sums = ", ".join(f"coalesce(sum({c}) OVER w, 0) AS {c}" for c in COUNTS)
     zero = ", ".join(f"0 AS {c}" for c in COUNTS)
     totals = ", ".join(f"sum({c})::BIGINT AS s{level}_{c}" for c in COUNTS)
-    return f""", every{level} AS (SELECT {cols}, {at} AS place, 0 AS asks, {facts} FROM phased UNION ALL SELECT {cols}, {probes}, {zero} FROM phased),
+    return f""", every{level} AS MATERIALIZED (SELECT {cols}, {at} AS place, 0 AS asks, {facts} FROM phased UNION ALL SELECT {cols}, {probes}, {zero} FROM phased),
   run{level} AS (SELECT {cols}, asks, {sums} FROM every{level} WINDOW w AS (PARTITION BY {', '.join(keys)}, place ORDER BY {BALL}, asks DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  sim{level} AS (SELECT {BALL}, {totals} FROM run{level} WHERE asks = 1 AND batsman_type IS NOT NULL AND bowler_type IS NOT NULL GROUP BY {BALL})"""
+  sim{level} AS MATERIALIZED (SELECT {BALL}, {totals} FROM run{level} WHERE asks = 1 AND batsman_type IS NOT NULL AND bowler_type IS NOT NULL GROUP BY {BALL})"""
 
 
 _NS = [f"coalesce({_size([f's{i}_{c}' for c in COUNTS])}, 0)" for i in range(2)]
@@ -72,7 +72,8 @@ query("q_similar_situations", lambda b: H.similar_situations(H.labelled(b)).sele
 
 _RECENT = ", ".join(f"recent_{x.replace('+', 'p')} AS recent_{c}" for x, c in zip(LABELS, COUNTS, strict=True))
 FRAME_CTE = f"""{STATE_CTE}{SIMILAR_CTE}{_histories(*CONTEXTS)}{R.HIER_CTE}, striker AS ({R.STRIKER}), spell AS ({R.SPELL}), rec AS ({R.RECENT}), win AS ({R.WINDOW}), pair AS ({R.PAIR}), chase AS ({R.CHASE}),
-frame AS (SELECT hier.*, {_SIMS}, {_RECENT}, recent_4 + recent_6 AS fours, recent_wicket, striker_balls, striker_rate, spell_balls, spell_economy, partnership_balls, partnership_rate, window_legal, window_rate, gap
+frame AS (SELECT hier.*, {_SIMS}, {_RECENT}, recent_4 + recent_6 AS fours, recent_4, recent_6, recent_wicket, recent, striker_runs, striker_balls, striker_rate, spell_conceded, spell_balls, spell_economy,
+  partnership_runs, partnership_balls, partnership_rate, window_runs, window_wickets, window_legal, window_rate, target, required_rate, gap, RATIO(score_before, legal_before, 6) AS current_rate
   FROM hier LEFT JOIN sim0 USING ({BALL}) LEFT JOIN sim1 USING ({BALL}) LEFT JOIN sim2 USING ({BALL}) JOIN striker USING ({BALL}) JOIN spell USING ({BALL}) JOIN rec USING ({BALL}) JOIN win USING ({BALL}) JOIN pair USING ({BALL}) LEFT JOIN chase USING ({BALL}))"""
 
 

@@ -131,7 +131,8 @@ def with_play(rows: DataFrame) -> DataFrame:
     bat, bowl, pair = (_innings(k).rowsBetween(*BEFORE) for k in ("batter", "bowler", "wickets_before"))
     label = outcome()
     rows = rows.select("*", *(_sum(F.when(label == x, 1).otherwise(0), last6, f"recent_{x.replace('+', 'p')}") for x in LABELS),
-                       _sum("total_runs", last12, "window_runs"), _sum("legal_ball", last12, "window_legal"))
+                       F.array_join(F.collect_list(label).over(last6), " ").alias("recent"), _sum("total_runs", last12, "window_runs"),
+                       _sum("legal_ball", last12, "window_legal"), _sum("is_wicket", last12, "window_wickets"))
     rows = rows.select("*", _sum("batter_runs", bat, "striker_runs"), _sum(1 - F.col("is_wide_ball"), bat, "striker_balls"))
     rows = rows.select("*", _sum(conceded(), bowl, "spell_conceded"), _sum("legal_ball", bowl, "spell_balls"))
     rows = rows.select("*", _sum("total_runs", pair, "partnership_runs"), _sum("legal_ball", pair, "partnership_balls"))
