@@ -60,7 +60,7 @@ query("q_family_adjust", lambda b: _families(b).where(f"family NOT IN ({_HISTORY
 _FSCORED = f", scored AS (SELECT *, {Q._scores(list(PROBS))} FROM families)"
 query("q_family_coverage", lambda b: X.family_coverage(_families(b)), f"{FAMILY_SQL}{_FSCORED} SELECT *, R6(available / samples::DOUBLE) AS coverage FROM (SELECT family, {Q._MEANS}, ISUM(available) AS available FROM scored GROUP BY 1)")
 
-_CONTEXT = Q.CONTEXT_SQL + f", judged AS (SELECT *, label AS actual FROM final WHERE season_id = {SEASON})"
+_CONTEXT = Q.CONTEXT_SQL + f", judged AS MATERIALIZED (SELECT *, label AS actual FROM final WHERE season_id = {SEASON})"
 _CPS = [f"c_{p}" for p in PROBS]
 _PRESSURE = "CASE WHEN gap >= 2 THEN 'high' WHEN gap <= -1.5 THEN 'low' ELSE 'balanced' END"
 query("q_eval_pressure", lambda b: X.by_pressure(X.frame_of(b, SEASON)), f"{_CONTEXT} SELECT pressure, {Q._MEANS} FROM (SELECT {_PRESSURE} AS pressure, {Q._scores(_CPS)} FROM judged) GROUP BY 1")

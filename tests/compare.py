@@ -15,7 +15,7 @@ TABLES = (
 def duck(sf_dir: str):
     import duckdb
 
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "6GB"})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
