@@ -142,12 +142,13 @@ query("q_candidate_blends", lambda b: P.candidate_blends(P.feature_frame(b)), f"
 _PHASED = [f"CASE WHEN {_size(_counts('legal_phase'))} > 0 THEN {c} ELSE {g} END" for c, g in zip(_counts("legal_phase"), _counts("global"), strict=True)]
 
 
-def _trace(cutoff: int, season: int) -> str:
+def _trace(cutoff: int, season: int, hist: str | None = None) -> str:
     probs = {"global": _smooth(_counts("global")), "phase": _smooth([f"u_{c}" for c in COUNTS]), "hierarchical": R.HIERS}
     cols = ", ".join(f"{v} AS {m}_{p}" for m, vs in probs.items() for p, v in zip(PROBS, vs, strict=True))
     span = f", span AS (SELECT * FROM phased WHERE season_id <= {cutoff} OR season_id = {season})"
     used = ", used AS (SELECT *, " + ", ".join(f"{u} AS u_{c}" for u, c in zip(_PHASED, COUNTS, strict=True)) + " FROM hier)"
-    return f"{STATE_CTE}{span}{_histories('batter_bowler', 'batter_bowler_type', 'bowler_batter_type', 'types', 'legal_phase', 'global', source='span')}{R.HIER_CTE}{used}, trace AS (SELECT {BALL}, label AS actual, phase AS legal_phase, level, sample, reliability, {cols} FROM used WHERE season_id = {season})"
+    hist = hist or span + _histories(*E.READ, source="span")
+    return f"{STATE_CTE}{hist}{R.HIER_CTE}{used}, trace AS (SELECT {BALL}, label AS actual, phase AS legal_phase, level, sample, reliability, {cols} FROM used WHERE season_id = {season})"
 
 
 _LONG = ", long AS (" + " UNION ALL ".join(f"SELECT actual, legal_phase, reliability, '{m}' AS model, {_as([f'{m}_{p}' for p in PROBS])} FROM trace" for m in E.MODELS) + ")"
@@ -184,7 +185,49 @@ _TUNED = f"{_trace(CUTOFF, VALIDATION)}, grid AS ({_GRID.format(u=10)}), mixed A
 query("q_mixture", lambda b: E.tune(E.trace(b, CUTOFF, VALIDATION), 0.1), f"{_TUNED} SELECT * FROM tuned")
 query("q_tune_mixture", lambda b: E.best_weights(E.tune(E.trace(b, CUTOFF, VALIDATION), 0.1)), f"{_TUNED} SELECT * FROM tuned ORDER BY log_loss, brier, w_phase DESC, w_hierarchical DESC, w_global DESC LIMIT 1")
 query("q_leakage_audit", lambda b: E.leakage_audit(b, CUTOFF, SEASON), f"SELECT count(*) FILTER (season_id <= {CUTOFF}) AS train_rows, count(*) FILTER (season_id = {SEASON}) AS eval_rows, (max(season_id) FILTER (season_id <= {CUTOFF}) < {SEASON})::INT AS no_leak FROM balls")
-query("q_decayed_counts", E.decayed_counts)
+_STEP = f"SELECT *, row_number() OVER (ORDER BY {BALL}) - 1 AS step FROM balls"
+# Powers are taken within blocks of a thousand balls, to which the totals of all earlier blocks are added.
+_BLOCKS = ", ".join(f"sum((label = '{x}')::INT * pow(0.995, (999 - step % 1000)::DOUBLE)) AS b_{c}" for x, c in zip(LABELS, COUNTS, strict=True))
+_FAR = ", ".join(f"coalesce((SELECT sum(b_{c} * pow(0.995, ((s.block - b.block - 1) * 1000)::DOUBLE)) FROM blocks b WHERE b.block < s.block), 0) AS f_{c}" for c in COUNTS)
+_NEAR = ", ".join(
+    f"(floor((coalesce(sum((label = '{x}')::INT * pow(0.995, -(step % 1000)::DOUBLE)) OVER w, 0) * pow(0.995, (step % 1000 - 1)::DOUBLE) + f_{c} * pow(0.995, (step % 1000)::DOUBLE)) * 10000.0 + 0.5) / 10000.0) AS {c.replace('n_', 'd_')}"
+    for x, c in zip(LABELS, COUNTS, strict=True)
+)
+query("q_decayed_counts", E.decayed_counts, f", steps AS ({_STEP}), blocks AS (SELECT step // 1000 AS block, {_BLOCKS} FROM steps GROUP BY 1), far AS (SELECT s.block, {_FAR} FROM (SELECT DISTINCT block FROM blocks) s) SELECT {BALL}, step, {_NEAR} FROM (SELECT *, step // 1000 AS block FROM steps) JOIN far USING (block) WINDOW w AS (PARTITION BY block ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+
+
+def _aged(decay: float, cutoff: int, season: int) -> str:
+    """The trace's CTEs with decayed counts in place of plain ones: powers of the step since the first ball."""
+    spans = f", span AS (SELECT *, row_number() OVER (ORDER BY {BALL}) - 1 AS step FROM phased WHERE season_id <= {cutoff} OR season_id = {season})"
+    out, last = "", "span"
+    for i, context in enumerate(E.READ):
+        keys, name = R.SQL_KEYS.get(context, H.CONTEXTS[context]), "all_" if context == "global" else context + "_"
+        known = " AND ".join(f"{k} IS NOT NULL" for k in keys) or "true"
+        part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+        sums = ", ".join(f"CASE WHEN {known} THEN coalesce(sum((label = '{x}')::INT * pow({decay}, -step::DOUBLE)) OVER {name}, 0) * pow({decay}, (step - 1)::DOUBLE) ELSE 0 END AS {name}_{c}" for x, c in zip(LABELS, COUNTS, strict=True))
+        out += f", h{i} AS (SELECT *, {sums} FROM {last} WINDOW {name} AS ({part}ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+        last = f"h{i}"
+    return _trace(cutoff, season, f"{spans}{out}, hist AS (SELECT * FROM {last})")
+
+
+def _tuned(decay: float) -> str:
+    plain = _trace(CUTOFF, VALIDATION) if decay == 1.0 else _aged(decay, CUTOFF, VALIDATION)
+    return f"SELECT {decay}::DOUBLE AS recency_decay, * FROM ({plain.replace(STATE_CTE, 'WITH z AS (SELECT 1)', 1)}, grid AS ({_GRID.format(u=20)}), mixed AS (SELECT actual, w_global, w_phase, w_hierarchical, {_MIXED} FROM trace CROSS JOIN grid) SELECT w_global, w_phase, w_hierarchical, R6(avg(log_loss)) AS log_loss, R6(avg(brier)) AS brier FROM (SELECT *, {_MIX} FROM mixed) GROUP BY 1, 2, 3 ORDER BY log_loss, brier, w_phase DESC, w_hierarchical DESC, w_global DESC LIMIT 1)"
+
+
+query("q_tune_decay", lambda b: E.tune_decay(b, VALIDATION, SEASON), f"{STATE_CTE} SELECT *, (row_number() OVER (ORDER BY log_loss, brier, abs(1.0 - recency_decay), w_phase DESC, w_hierarchical DESC, w_global DESC))::INT AS position FROM ({_tuned(1.0)} UNION ALL {_tuned(0.995)})")
+_VARIANTS = " UNION ALL ".join(f"SELECT *, '{n}' AS variant FROM tuned WHERE {' AND '.join(f'w_{m} = 0' for m in E.MODELS if m not in v) or 'true'}" for n, v in E.VARIANTS.items())
+query("q_mixture_variants", lambda b: E.variants(E.tune(E.trace(b, CUTOFF, VALIDATION), 0.1)), f"{_TUNED} SELECT * FROM ({_VARIANTS}) QUALIFY row_number() OVER (PARTITION BY variant ORDER BY log_loss, brier, w_phase DESC, w_hierarchical DESC, w_global DESC) = 1")
+
+
+def _mixture(decay: float, name: str) -> str:
+    plain = _trace(VALIDATION, SEASON) if decay == 1.0 else _aged(decay, VALIDATION, SEASON)
+    shares = _as([f"R6(m_{p} / {_size([f'm_{q}' for q in PROBS])})" for p in PROBS])
+    return f"SELECT '{name}' AS model, actual, {shares} FROM (SELECT actual, {_MIXED} FROM ({plain.replace(STATE_CTE, 'WITH z AS (SELECT 1)', 1)} SELECT * FROM trace) CROSS JOIN ({_tuned(decay)}))"
+
+
+_BASES = f"SELECT model, actual, {', '.join(PROBS)} FROM ({_trace(VALIDATION, SEASON).replace(STATE_CTE, 'WITH z AS (SELECT 1)', 1)}{_LONG} SELECT * FROM long)"
+query("q_eval_report", lambda b: E.report(b, VALIDATION, SEASON), f"{STATE_CTE} SELECT model, {_MEANS} FROM (SELECT *, {_scores(list(PROBS))} FROM ({_BASES} UNION ALL {_mixture(1.0, 'calibrated_mixture')} UNION ALL {_mixture(0.995, 'time_decayed_mixture')})) GROUP BY 1")
 
 # --- trust --------------------------------------------------------------------------------------------------------------
 # The second source of these queries: every ten-day span of the seasons is expected, and one season counts six more sixes.

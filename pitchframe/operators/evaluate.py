@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import LABELS, PROBS, SAMPLE_BUCKET, tier, total
+from ..functions.expr import COUNTS, LABELS, PROBS, SAMPLE_BUCKET, tier, total
+from .decay import decayed, decayed_histories, numbered
 from .evidence import CHRONOLOGY, histories, labelled
-from .models import counts, hierarchical, rounded, size, smoothed
+from .models import counts, hierarchical, normalised, rounded, size, smoothed
 
 MODELS = ("global", "phase", "hierarchical")
 SMALLEST = 1e-15
 
 
-def trace(balls: DataFrame, cutoff: int, season: int) -> DataFrame:
+#: The histories that the three base models read.
+READ = ("batter_bowler", "batter_bowler_type", "bowler_batter_type", "types", "legal_phase", "global")
+
+
+def trace(balls: DataFrame, cutoff: int, season: int, decay: float = 1.0) -> DataFrame:
     """Each ball of ``season`` with the three base models' probabilities from seasons up to ``cutoff`` and its own earlier balls.
 
     Predicting with what came before and then learning the ball is the same as exclusive running sums over both spans.
+    ``decay``: what a ball weighs less with every ball after it.
     """
-    rows = balls.where((F.col("season_id") <= cutoff) | (F.col("season_id") == season))
-    rows = hierarchical(histories(labelled(rows), "batter_bowler", "batter_bowler_type", "bowler_batter_type", "types", "legal_phase", "global"))
+    rows = labelled(balls.where((F.col("season_id") <= cutoff) | (F.col("season_id") == season)))
+    if decay == 1.0:
+        rows = hierarchical(histories(rows, *READ))
+    else:
+        rows = hierarchical(decayed_histories(rows, decay, *READ))
     rows = rows.where(F.col("season_id") == season)
     phase = [F.when(size(counts("legal_phase")) > 0, c).otherwise(g) for c, g in zip(counts("legal_phase"), counts("global"), strict=True)]
     models = {"global": smoothed(counts("global")), "phase": smoothed(phase), "hierarchical": [F.col(f"hier_{p}") for p in PROBS]}
@@ -116,37 +127,59 @@ def leakage_audit(balls: DataFrame, cutoff: int, season: int) -> DataFrame:
     return found.select("train_rows", "eval_rows", (F.col("last") < F.col("first")).cast("int").alias("no_leak"))
 
 
-def decayed_counts(balls: DataFrame, decay: float = 0.995, block: int = 1000) -> DataFrame:
-    """The outcome counts before each ball, each earlier ball weighted by decay ** its age in balls.
+def decayed_counts(balls: DataFrame, decay: float = 0.995, context: str = "global") -> DataFrame:
+    """The outcome counts of ``context`` before each ball, each earlier ball weighted by decay ** its age in balls."""
+    rows = decayed(numbered(labelled(balls)), context, decay, "d")
+    return rows.select(*CHRONOLOGY, "step", *(rounded(F.col(f"d_{c}"), 4).alias(c.replace("n_", "d_")) for c in COUNTS))
 
-    Balls are numbered by two levels of running counts and cut into blocks; a block's weighted total is carried on to the next
-    ones, so that every power has a small exponent.
-    """
-    rows = histories(labelled(balls), "global")
-    rows = rows.withColumn("step", size(counts("global")))
-    rows = rows.withColumn("block", F.floor(F.col("step") / block)).withColumn("inside", F.col("step") % block)
-    names = [c.replace("n_", "d_") for c in _count_names()]
-    weights = [F.sum(F.col(c) * F.pow(F.lit(decay), (block - 1 - F.col("inside")).cast("double"))) for c in _count_names()]
-    blocks = rows.groupBy("block").agg(*(w.alias(f"b_{n}") for w, n in zip(weights, names, strict=True)))
-    # A block holds all balls of 1000 steps; weights of blocks 40 and more back are below 1e-80 and add nothing to a double.
-    carried = blocks.select(F.explode(F.sequence(F.col("block") + 1, F.col("block") + 40)).alias("to"), "block", *(f"b_{n}" for n in names))
-    scale = F.pow(F.lit(decay), ((F.col("to") - F.col("block") - 1) * block).cast("double"))
-    carried = carried.groupBy("to").agg(*(F.sum(F.col(f"b_{n}") * scale).alias(f"c_{n}") for n in names)).withColumnRenamed("to", "block")
-    w = Window.partitionBy("block").orderBy("inside").rowsBetween(Window.unboundedPreceding, -1)
-    lift = F.pow(F.lit(decay), F.col("inside").cast("double"))
-    local = [
-        F.coalesce(F.sum(F.col(c) * F.pow(F.lit(decay), -F.col("inside").cast("double"))).over(w), F.lit(0.0)) * F.pow(F.lit(decay), F.col("inside") - 1.0)
-        for c in _count_names()
-    ]
-    rows = rows.select(*CHRONOLOGY, "step", "block", "inside", *(x.alias(f"l_{n}") for x, n in zip(local, names, strict=True)))
-    joined = rows.join(carried, "block", "left")
-    return joined.select(*CHRONOLOGY, "step", *(rounded(F.col(f"l_{n}") + F.coalesce(F.col(f"c_{n}"), F.lit(0.0)) * lift).alias(n) for n in names))
-
-
-def _count_names() -> tuple[str, ...]:
-    from ..functions.expr import COUNTS
-
-    return COUNTS
+
+def nested_split(cutoff: int, evaluated: int, validation: int | None = None) -> tuple[int, int]:
+    """(last season to learn from, season to tune on) inside the seasons up to ``cutoff``; the tuning season comes before the evaluated one."""
+    validation = cutoff if validation is None else validation
+    if validation >= evaluated:
+        raise ValueError(f"the validation season {validation} is not before the evaluated season {evaluated}")
+    return validation - 1, validation
+
+
+def tune_decay(balls: DataFrame, cutoff: int, evaluated: int, decays: tuple[float, ...] = (1.0, 0.995), step: float = 0.05) -> DataFrame:
+    """The best weights for each decay on the validation season, in order of preference: scores first, then no decay, then simpler weights."""
+    learned, validation = nested_split(cutoff, evaluated)
+    runs = [best_weights(tune(trace(balls, learned, validation, d), step)).withColumn("recency_decay", F.lit(float(d))) for d in dict.fromkeys(decays)]
+    rows = reduce(DataFrame.unionByName, runs)  # a row for each decay
+    order = Window.orderBy("log_loss", "brier", F.abs(1.0 - F.col("recency_decay")), F.desc("w_phase"), F.desc("w_hierarchical"), F.desc("w_global"))
+    return rows.withColumn("position", F.row_number().over(order))
+
+
+#: Mixtures of some of the base models: the weights that may be above zero.
+VARIANTS = {
+    "global_only": ("global",), "phase_only": ("phase",), "hierarchical_only": ("hierarchical",), "global_phase": ("global", "phase"),
+    "phase_hierarchical": ("phase", "hierarchical"), "global_phase_hierarchical": MODELS,
+}
+
+
+def variants(tuned: DataFrame) -> DataFrame:
+    """The best weighting of each of VARIANTS among all weightings tried."""
+    allowed = [F.when(F.lit(True) if len(v) == len(MODELS) else size([F.col(f"w_{m}") for m in MODELS if m not in v]) == 0, F.lit(n)) for n, v in VARIANTS.items()]
+    rows = tuned.select("*", F.explode(F.filter(F.array(*allowed), lambda x: x.isNotNull())).alias("variant"))
+    order = Window.partitionBy("variant").orderBy("log_loss", "brier", F.desc("w_phase"), F.desc("w_hierarchical"), F.desc("w_global"))
+    return rows.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+
+
+def mixed(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """The trace ``rows`` with the probabilities of the mixture of the one row of ``weights``: shares, rounded."""
+    rows = rows.crossJoin(F.broadcast(weights.select(*(f"w_{m}" for m in MODELS))))  # one row
+    rows = rows.withColumns({f"m_{p}": size([F.col(f"w_{m}") * F.col(f"{m}_{p}") for m in MODELS]) for p in PROBS})
+    return rows.withColumns({f"mixture_{p}": rounded(v) for p, v in zip(PROBS, normalised([F.col(f"m_{p}") for p in PROBS]), strict=True)})
+
+
+def report(balls: DataFrame, cutoff: int, evaluated: int, decay: float = 0.995, step: float = 0.05) -> DataFrame:
+    """Scores on the evaluated season of the base models, of the mixture tuned on the validation season, and of its decayed twin."""
+    learned, validation = nested_split(cutoff, evaluated)
+    plain, aged = (mixed(trace(balls, cutoff, evaluated, d), best_weights(tune(trace(balls, learned, validation, d), step))) for d in (1.0, decay))
+    probs = [F.col(f"mixture_{p}").alias(p) for p in PROBS]
+    rows = long_trace(plain.drop(*(f"{k}_{p}" for k in ("m", "mixture") for p in PROBS))).select("model", "actual", *PROBS)
+    rows = rows.unionByName(plain.select(F.lit("calibrated_mixture").alias("model"), "actual", *probs))
+    return metrics(rows.unionByName(aged.select(F.lit("time_decayed_mixture").alias("model"), "actual", *probs)), "model")
 
 
 def deltas(by_model: DataFrame) -> DataFrame:
