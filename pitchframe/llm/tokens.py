@@ -36,7 +36,7 @@ class WordEncoder:
     Otherwise the vocabulary is one of lower case, white space only separates words, and a word's ids end with its word end.
     """
 
-    def __init__(self, path: str, spaced: bool, max_words: int = 700_000):
+    def __init__(self, path: str, spaced: bool, max_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -130,7 +130,7 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, spaced: bool, max_words: int = 700_000) -> WordEncoder:
+def encoder(path: str, spaced: bool, max_words: int = 500_000) -> WordEncoder:
     """The worker's encoder of this vocabulary: a reused Python worker keeps its cache between tasks."""
     key = (path, spaced, max_words)
     if key not in _LAST:
