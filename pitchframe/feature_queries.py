@@ -55,31 +55,31 @@ def _families(balls: DataFrame) -> DataFrame:
     return X.families(X.family_frame(balls, SEASON))
 
 
-query("q_family_source", lambda b: _families(b).where(f"family IN ({_HISTORY})"), f"{FAMILY_SQL} SELECT * FROM families WHERE family IN ({_HISTORY})")
-query("q_family_adjust", lambda b: _families(b).where(f"family NOT IN ({_HISTORY})"), f"{FAMILY_SQL} SELECT * FROM families WHERE family NOT IN ({_HISTORY})")
+query("q_family_source", lambda b: _families(b).where(f"family IN ({_HISTORY})"), f"{FAMILY_SQL} SELECT * FROM families WHERE family IN ({_HISTORY})", venue=True)
+query("q_family_adjust", lambda b: _families(b).where(f"family NOT IN ({_HISTORY})"), f"{FAMILY_SQL} SELECT * FROM families WHERE family NOT IN ({_HISTORY})", venue=True)
 _FSCORED = f", scored AS (SELECT *, {Q._scores(list(PROBS))} FROM families)"
-query("q_family_coverage", lambda b: X.family_coverage(_families(b)), f"{FAMILY_SQL}{_FSCORED} SELECT *, R6(available / samples::DOUBLE) AS coverage FROM (SELECT family, {Q._MEANS}, ISUM(available) AS available FROM scored GROUP BY 1)")
+query("q_family_coverage", lambda b: X.family_coverage(_families(b)), f"{FAMILY_SQL}{_FSCORED} SELECT *, R6(available / samples::DOUBLE) AS coverage FROM (SELECT family, {Q._MEANS}, ISUM(available) AS available FROM scored GROUP BY 1)", venue=True)
 
 _CONTEXT = Q.CONTEXT_SQL + f", judged AS MATERIALIZED (SELECT *, label AS actual FROM final WHERE season_id = {SEASON})"
 _CPS = [f"c_{p}" for p in PROBS]
 _PRESSURE = "CASE WHEN gap >= 2 THEN 'high' WHEN gap <= -1.5 THEN 'low' ELSE 'balanced' END"
-query("q_eval_pressure", lambda b: X.by_pressure(X.frame_of(b, SEASON)), f"{_CONTEXT} SELECT pressure, {Q._MEANS} FROM (SELECT {_PRESSURE} AS pressure, {Q._scores(_CPS)} FROM judged) GROUP BY 1")
+query("q_eval_pressure", lambda b: X.by_pressure(X.frame_of(b, SEASON)), f"{_CONTEXT} SELECT pressure, {Q._MEANS} FROM (SELECT {_PRESSURE} AS pressure, {Q._scores(_CPS)} FROM judged) GROUP BY 1", venue=True)
 _CANDS = " UNION ALL ".join(
     [f"SELECT phase AS legal_phase, label AS actual, '{name}' AS candidate, " + _as([f"R6(({x}) / {_size([f'({y})' for y in xs])})" for x in xs]) + " FROM judged"
      for name, parts in X.evaluate_parts().items() for xs in [Q._blend([(f"{w}::DOUBLE", Q._part(c)) for c, w in parts], _size([f"{w}::DOUBLE" for _, w in parts]))]]
     + [f"SELECT phase AS legal_phase, label AS actual, 'combined_context' AS candidate, {_as([f'R6({c})' for c in _CPS])} FROM judged"]
 )
-query("q_eval_candidates", lambda b: E.metrics(X.evaluated_candidates(X.frame_of(b, SEASON)), "candidate", "legal_phase"), f"{_CONTEXT}, cands AS ({_CANDS}) SELECT candidate, legal_phase, {Q._MEANS} FROM (SELECT *, {Q._scores(list(PROBS))} FROM cands) GROUP BY 1, 2")
+query("q_eval_candidates", lambda b: E.metrics(X.evaluated_candidates(X.frame_of(b, SEASON)), "candidate", "legal_phase"), f"{_CONTEXT}, cands AS ({_CANDS}) SELECT candidate, legal_phase, {Q._MEANS} FROM (SELECT *, {Q._scores(list(PROBS))} FROM cands) GROUP BY 1, 2", venue=True)
 
 _SNAP = f"""{Q.FRAME_CTE}, snap AS (SELECT {BALL}, phase, score_before, wickets_before, legal_before, current_rate, required_rate, gap,
   CASE WHEN target IS NOT NULL AND innings = 2 THEN greatest(target - score_before, 0) END AS runs_required, greatest(120 - legal_before, 0) AS balls_remaining,
   greatest(10 - wickets_before, 0) AS wickets_remaining, striker_runs, striker_balls, spell_conceded, spell_balls, partnership_runs, partnership_balls, window_runs,
   window_wickets, team_batting, team_bowling, 'Venue' || (match_id % 12) AS venue, {_size(R._counts('venue'))} AS venue_sample,
   {_size(R._counts('batter_bowler'))} AS matchup_sample, {_size(Q._hc('similar'))}::BIGINT AS similar_sample, recent FROM frame)"""
-query("q_feature_snapshot", lambda b: X.snapshot(Q.P.feature_frame(b)), f"{_SNAP} SELECT * FROM snap")
+query("q_feature_snapshot", lambda b: X.snapshot(Q.P.feature_frame(b)), f"{_SNAP} SELECT * FROM snap", venue=True)
 _FIELDS = (*X.TRACKED, "recent")
 _CHANGED = ", ".join(f"CASE WHEN row_number() OVER w = 1 THEN 0 ELSE (lag({c}) OVER w IS DISTINCT FROM {c})::INT END AS {c}_changed" for c in _FIELDS)
-query("q_snapshot_difference", lambda b: X.snapshot_difference(X.snapshot(Q.P.feature_frame(b))), f"{_SNAP} SELECT *, ({' + '.join(f'{c}_changed' for c in _FIELDS)})::INT AS n_changed FROM (SELECT {BALL}, {_CHANGED} FROM snap WINDOW w AS (PARTITION BY {KEYS} ORDER BY over_number, ball_number, source_row_number))")
+query("q_snapshot_difference", lambda b: X.snapshot_difference(X.snapshot(Q.P.feature_frame(b))), f"{_SNAP} SELECT *, ({' + '.join(f'{c}_changed' for c in _FIELDS)})::INT AS n_changed FROM (SELECT {BALL}, {_CHANGED} FROM snap WINDOW w AS (PARTITION BY {KEYS} ORDER BY over_number, ball_number, source_row_number))", venue=True)
 _STRENGTH = "CASE WHEN {n} >= 1200 THEN 'high' WHEN {n} >= 250 THEN 'medium' WHEN {n} >= 40 THEN 'low' ELSE 'very_low' END"
 _VENUE = "CASE WHEN {n} >= 2500 THEN 'high' WHEN {n} >= 600 THEN 'medium' WHEN {n} >= 120 THEN 'low' ELSE 'very_low' END"
 
@@ -92,10 +92,10 @@ def _ledger_row(feature: str, source: str, origin: str, influence: str) -> str:
     return f"SELECT {BALL}, '{feature}' AS feature, {'NULL' if held else source}::DOUBLE AS value, {_as(probs)}, '{origin}' AS source, {n}::BIGINT AS sample_size, {_STRENGTH.format(n=n)} AS strength, {shown} AS influence FROM played"
 
 
-query("q_feature_ledger", lambda b: X.ledger(X.frame_of(b, SEASON)), f"{_SEASON_FRAME} {' UNION ALL '.join(_ledger_row(*x) for x in X.LEDGER)}")
+query("q_feature_ledger", lambda b: X.ledger(X.frame_of(b, SEASON)), f"{_SEASON_FRAME} {' UNION ALL '.join(_ledger_row(*x) for x in X.LEDGER)}", venue=True)
 _MATCHUP, _SIMILAR = _size(R._counts("batter_bowler")), _size(Q._hc("similar"))
 _RELIABLE = "CASE WHEN e >= 180 THEN 'high' WHEN e >= 60 THEN 'medium' WHEN e >= 20 THEN 'low' ELSE 'very_low' END"
-query("q_evidence_strength", lambda b: X.evidence_strength(Q.P.feature_frame(b)), f"{Q.FRAME_CTE} SELECT * EXCLUDE (e), e AS evidence_sample, CASE WHEN e < 40 OR matchup = 0 OR comparable = 0 OR {_RELIABLE} = 'low' THEN 'LIMITED EVIDENCE' WHEN e < 120 OR {_RELIABLE} = 'medium' THEN 'MODERATE SIGNAL' ELSE 'STRONG SIGNAL' END AS strength FROM (SELECT {BALL}, {Q._EVIDENCE} AS e, {_MATCHUP} AS matchup, {_SIMILAR}::BIGINT AS comparable FROM frame)")
+query("q_evidence_strength", lambda b: X.evidence_strength(Q.P.feature_frame(b)), f"{Q.FRAME_CTE} SELECT * EXCLUDE (e), e AS evidence_sample, CASE WHEN e < 40 OR matchup = 0 OR comparable = 0 OR {_RELIABLE} = 'low' THEN 'LIMITED EVIDENCE' WHEN e < 120 OR {_RELIABLE} = 'medium' THEN 'MODERATE SIGNAL' ELSE 'STRONG SIGNAL' END AS strength FROM (SELECT {BALL}, {Q._EVIDENCE} AS e, {_MATCHUP} AS matchup, {_SIMILAR}::BIGINT AS comparable FROM frame)", venue=True)
 
 
 def _selection(balls: DataFrame) -> DataFrame:

@@ -118,9 +118,9 @@ _EVIDENCE = f"({_size(_hc('batter_bowler'))} + {_size(_hc('similar'))} + least({
 CONTEXT_SQL = f"""{FRAME_CTE}, weighted AS (SELECT *, {_W} FROM frame), summed AS (SELECT *, {_TOTAL} AS w_total FROM weighted),
 raw AS (SELECT *, {_as(_BLENDED, [f'x_{p}' for p in PROBS])} FROM summed), shares AS (SELECT *, {_as([f"x_{p} / {_size([f'x_{q}' for q in PROBS])}" for p in PROBS], [f'b_{p}' for p in PROBS])} FROM raw),
 changed AS (SELECT *, {_as(_adjusted([f'b_{p}' for p in PROBS]), [f'y_{p}' for p in PROBS])} FROM shares), final AS (SELECT *, {_as([f"y_{p} / {_size([f'y_{q}' for q in PROBS])}" for p in PROBS], [f'c_{p}' for p in PROBS])} FROM changed)"""
-query("q_model_contextual", P.model_contextual, f"{CONTEXT_SQL} SELECT {BALL}, {_as([f'R6(c_{p})' for p in PROBS])}, {_EVIDENCE} AS evidence_sample, label AS actual FROM final")
-query("q_contextual_blend", lambda b: P.contextual(P.feature_frame(b)).select(*H.CHRONOLOGY, *(P.rounded(F.col(f"b_{p}")).alias(p) for p in PROBS)), f"{CONTEXT_SQL} SELECT {BALL}, {_as([f'R6(b_{p})' for p in PROBS])} FROM final")
-query("q_context_multipliers", lambda b: P.contextual(P.feature_frame(b)).select(*H.CHRONOLOGY, *(P.rounded(F.col(f"c_{p}") / F.col(f"b_{p}")).alias(f"factor_{p}") for p in PROBS)), f"{CONTEXT_SQL} SELECT {BALL}, {_as([f'R6(c_{p} / b_{p})' for p in PROBS], [f'factor_{p}' for p in PROBS])} FROM final")
+query("q_model_contextual", P.model_contextual, f"{CONTEXT_SQL} SELECT {BALL}, {_as([f'R6(c_{p})' for p in PROBS])}, {_EVIDENCE} AS evidence_sample, label AS actual FROM final", venue=True)
+query("q_contextual_blend", lambda b: P.contextual(P.feature_frame(b)).select(*H.CHRONOLOGY, *(P.rounded(F.col(f"b_{p}")).alias(p) for p in PROBS)), f"{CONTEXT_SQL} SELECT {BALL}, {_as([f'R6(b_{p})' for p in PROBS])} FROM final", venue=True)
+query("q_context_multipliers", lambda b: P.contextual(P.feature_frame(b)).select(*H.CHRONOLOGY, *(P.rounded(F.col(f"c_{p}") / F.col(f"b_{p}")).alias(f"factor_{p}") for p in PROBS)), f"{CONTEXT_SQL} SELECT {BALL}, {_as([f'R6(c_{p} / b_{p})' for p in PROBS], [f'factor_{p}' for p in PROBS])} FROM final", venue=True)
 _STRENGTH = "CASE WHEN evidence_sample >= 1200 THEN 'high' WHEN evidence_sample >= 250 THEN 'medium' WHEN evidence_sample >= 40 THEN 'low' ELSE 'very_low' END"
 
 
@@ -130,13 +130,13 @@ def _strength(balls: DataFrame) -> DataFrame:
     return P.contextual(P.feature_frame(balls)).select(*H.CHRONOLOGY, "evidence_sample", tier("evidence_sample", *FEATURE_STRENGTH).alias("strength"))
 
 
-query("q_evidence_sample", _strength, f"{FRAME_CTE} SELECT *, {_STRENGTH} AS strength FROM (SELECT {BALL}, {_EVIDENCE} AS evidence_sample FROM frame)")
+query("q_evidence_sample", _strength, f"{FRAME_CTE} SELECT *, {_STRENGTH} AS strength FROM (SELECT {BALL}, {_EVIDENCE} AS evidence_sample FROM frame)", venue=True)
 _CANDIDATE_SQL = " UNION ALL ".join(
     f"SELECT {BALL}, label, '{name}' AS candidate, " + _as([f"R6(({x}) / {_size([f'({y})' for y in xs])})" for x in xs]) + " FROM frame"
     for name, parts in P.CANDIDATES.items()
     for xs in [_blend([(f"{w}::DOUBLE", _part(c)) for c, w in parts], _size([f"{w}::DOUBLE" for _, w in parts]))]
 )
-query("q_candidate_blends", lambda b: P.candidate_blends(P.feature_frame(b)), f"{FRAME_CTE} {_CANDIDATE_SQL}")
+query("q_candidate_blends", lambda b: P.candidate_blends(P.feature_frame(b)), f"{FRAME_CTE} {_CANDIDATE_SQL}", venue=True)
 
 # --- evaluation ---------------------------------------------------------------------------------------------------------
 _PHASED = [f"CASE WHEN {_size(_counts('legal_phase'))} > 0 THEN {c} ELSE {g} END" for c, g in zip(_counts("legal_phase"), _counts("global"), strict=True)]

@@ -1,8 +1,7 @@
 """Leak-free histories: what was known strictly before each ball, for all balls at once.
 
-A history keyed by players is an exclusive running sum in chronological order. Keys with few values (the whole game, the
-season, the phase, a team, a venue) would put a large share of all rows in one window, so they take two levels: totals of
-each (key, innings) are summed over earlier innings, a small table, and added to the running sum inside the innings.
+A history is an exclusive running sum in chronological order. As a key may have a large share of all balls, sums take two
+levels: totals of each (key, innings) are summed over earlier innings, a small table, and added to the running sum inside the innings.
 """
 
 from __future__ import annotations
@@ -33,13 +32,17 @@ CONTEXTS = {
     "venue": ("venue",),
     "global": (),
 }
-FEW = ("types", "phase", "team_batting", "team_bowling", "season", "legal_phase", "venue", "global")
+
+
+def with_venue(balls: DataFrame, matches: DataFrame) -> DataFrame:
+    """``balls`` with the venue of their match's record; null where there is none."""
+    return balls.join(matches.select("season_id", "match_id", "venue"), ["season_id", "match_id"], "left")
 
 
 def labelled(balls: DataFrame) -> DataFrame:
-    """Deliveries with state before, both phases, venue, label and its seven indicators."""
+    """Deliveries with state before, both phases, venue (null if ``balls`` have none), label and its seven indicators."""
     rows = with_state(balls).withColumns({"label": outcome(), "over_phase": phase_over(), "legal_phase": phase_legal()})
-    rows = rows.withColumn("venue", F.concat(F.lit("Venue"), (F.col("match_id") % 12).cast("string")))
+    rows = rows if "venue" in balls.columns else rows.withColumn("venue", F.lit(None).cast("string"))
     return rows.withColumns({c: F.when(F.col("label") == x, 1).otherwise(0) for x, c in zip(LABELS, COUNTS, strict=True)})
 
 
@@ -47,50 +50,49 @@ def _known(keys: tuple[str, ...]) -> Column:
     return reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
 
 
-def innings_totals(rows: DataFrame) -> DataFrame:
-    """The counts of each innings by everything that a context with few values is made of: a small table that serves all of them."""
-    keys = dict.fromkeys((*INNINGS, *(k for c in FEW for k in CONTEXTS[c])))
-    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in COUNTS))
-
-
-def history(rows: DataFrame, context: str, prefix: str | None = None, totals: DataFrame | None = None) -> DataFrame:
-    """``rows`` with the seven counts of ``context`` before each ball, named ``prefix`` and the label.
+def earlier_totals(rows: DataFrame, *contexts: str) -> DataFrame:
+    """INNINGS, context, key_0, key_1 and the seven counts of that key of the context in all earlier innings.
 
-    ``totals``: the ``innings_totals`` of the balls, so that a chain of histories does not read its own input twice a link.
+    One pass: each ball counts once for each context, partly summed before the shuffle; keys are text, '' where there is none.
     """
-    keys, prefix = CONTEXTS[context], prefix or context
-    names = [f"{prefix}_{c}" for c in COUNTS]
-    if context not in FEW:
-        w = Window.partitionBy(*keys).orderBy(*CHRONOLOGY).rowsBetween(*BEFORE)
-        return rows.select(
-            "*", *(F.when(_known(keys), F.coalesce(F.sum(c).over(w), F.lit(0))).otherwise(0).cast("bigint").alias(n) for c, n in zip(COUNTS, names, strict=True))
-        )
-    at = [k for k in keys if k not in INNINGS]
-    totals = totals if totals is not None else innings_totals(rows)
-    totals = totals.groupBy(*INNINGS, *at).agg(*(F.sum(c).alias(c) for c in COUNTS))
-    earlier = Window.partitionBy(*keys).orderBy(*INNINGS).rowsBetween(*BEFORE)  # a row for each innings and key
-    totals = totals.select(*INNINGS, *at, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"earlier_{c}") for c in COUNTS))
-    inside = Window.partitionBy(*INNINGS, *at).orderBy(*BALL).rowsBetween(*BEFORE)
-    # Keys are made non-null for the join; null keys then get zero counts.
-    safe = lambda df: df.withColumns({f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in at})
-    totals = safe(totals).drop(*at)
-    joined = safe(rows).join(totals, [*INNINGS, *(f"_{k}" for k in at)])
-    counts = [
-        F.when(_known(keys), F.col(f"earlier_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).otherwise(0).cast("bigint").alias(n)
-        for c, n in zip(COUNTS, names, strict=True)
-    ]
-    return joined.select(*rows.columns, *counts)
+    pairs = []
+    for name in contexts:
+        keys = [F.col(k).cast("string") for k in CONTEXTS[name]] + [F.lit("")] * (2 - len(CONTEXTS[name]))
+        pairs.append(F.struct(F.lit(name).alias("context"), *(k.alias(f"key_{i}") for i, k in enumerate(keys))))
+    every = rows.select(*INNINGS, *COUNTS, F.explode(F.array(*pairs)).alias("k")).select(*INNINGS, *COUNTS, "k.*")
+    totals = every.where("key_0 IS NOT NULL AND key_1 IS NOT NULL").groupBy(*INNINGS, "context", "key_0", "key_1").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    before = Window.partitionBy("context", "key_0", "key_1").orderBy(*INNINGS).rowsBetween(*BEFORE)  # a row for each innings of a key
+    return totals.select(*INNINGS, "context", "key_0", "key_1", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in COUNTS))
 
 
 def histories(rows: DataFrame, *contexts: str) -> DataFrame:
-    totals = innings_totals(rows)
-    return reduce(lambda df, context: history(df, context, totals=totals), contexts, rows)
+    """``rows`` with the seven counts of each of ``contexts`` before each ball, named by the context and the label.
+
+    What a key has from earlier innings is put in front of the innings as a row of its own, so that one exchange by innings serves
+    the running sums of all contexts, and no window holds more than an innings.
+    """
+    carried = earlier_totals(rows, *contexts)
+    kinds = dict(rows.dtypes)
+    values = {c: F.lit(None).cast(kinds[c]).alias(c) for c in rows.columns} | {c: F.col(c) for c in (*INNINGS, *COUNTS)}
+    for key in dict.fromkeys(k for c in contexts for k in CONTEXTS[c] if k not in INNINGS):
+        places = [(c, CONTEXTS[c].index(key)) for c in contexts if key in CONTEXTS[c]]
+        text = reduce(lambda out, x: out.when(F.col("context") == x[0], F.col(f"key_{x[1]}")), places[1:], F.when(F.col("context") == places[0][0], F.col(f"key_{places[0][1]}")))
+        values[key] = text.cast(kinds[key]).alias(key)
+    both = rows.withColumn("context", F.lit(None).cast("string")).unionByName(carried.select(*values.values(), "context"))
+    both = both.repartition(*INNINGS)
+    for name in contexts:
+        keys, at = CONTEXTS[name], [k for k in CONTEXTS[name] if k not in INNINGS]
+        w = Window.partitionBy(*INNINGS, *at).orderBy(*(F.asc_nulls_first(c) for c in BALL)).rowsBetween(*BEFORE)
+        mine = F.col("context").isNull() | (F.col("context") == name)
+        sums = [F.coalesce(F.sum(F.when(mine, F.col(c))).over(w), F.lit(0)) for c in COUNTS]
+        both = both.select("*", *(F.when(_known(keys), x).otherwise(0).cast("bigint").alias(f"{name}_{c}") for x, c in zip(sums, COUNTS, strict=True)))
+    return both.where("context IS NULL").drop("context")
 
 
 def asof(balls: DataFrame, context: str) -> DataFrame:
     """Identity of each ball and the context's seven counts before it."""
-    got = history(labelled(balls), context, "h")
-    return got.select(*CHRONOLOGY, *(F.col(f"h_{c}").alias(c) for c in COUNTS))
+    got = histories(labelled(balls), context)
+    return got.select(*CHRONOLOGY, *(F.col(f"{context}_{c}").alias(c) for c in COUNTS))
 
 
 def batter_history(balls: DataFrame) -> DataFrame:

@@ -41,11 +41,14 @@ def exact(sql: str) -> str:
     return sql
 
 
-def query(name: str, f: Callable, sql: str | None = None, meta: bool = False) -> None:
-    """``f`` takes the deliveries, and the match records too with ``meta``; ``sql`` follows the deliveries' CTEs."""
+def query(name: str, f: Callable, sql: str | None = None, meta: bool = False, venue: bool = False) -> None:
+    """``f`` takes the deliveries (with ``venue``, of the match record), and the match records too with ``meta``; ``sql`` follows
+    the deliveries' CTEs."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         balls = deliveries(spark, sf_dir)
+        if venue:
+            balls = H.with_venue(balls, match_meta(balls))
         return f(balls, match_meta(balls)) if meta else f(balls)
 
     QUERIES[name] = run
@@ -204,7 +207,7 @@ def _counts(context: str) -> list[str]:
 
 for _context in H.CONTEXTS:
     _named = ", ".join(f"{h} AS {c}" for h, c in zip(_counts(_context), COUNTS, strict=True))
-    query(f"q_asof_{_context}", lambda b, c=_context: H.asof(b, c), f"{STATE_CTE}{_histories(_context)} SELECT {BALL}, {_named} FROM hist")
+    query(f"q_asof_{_context}", lambda b, c=_context: H.asof(b, c), f"{STATE_CTE}{_histories(_context)} SELECT {BALL}, {_named} FROM hist", venue=_context == "venue")
 CAREER = "ORDER BY " + BALL + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 query("q_batter_history_asof", H.batter_history, f"SELECT *, RATIO(career_runs, career_balls, 100) AS career_rate FROM (SELECT {BALL}, batter, {_sums(career_runs='batter_runs', career_balls='1 - is_wide_ball', career_outs='coalesce((player_out = batter)::INT, 0)')} FROM balls WINDOW w AS (PARTITION BY batter {CAREER}))")
 query("q_bowler_history_asof", H.bowler_history, f"SELECT *, RATIO(career_conceded, career_balls, 6) AS career_economy FROM (SELECT {BALL}, bowler, {_sums(career_conceded='total_runs - bye_runs - leg_bye_runs', career_balls='legal_ball', career_wickets='is_wicket')} FROM balls WINDOW w AS (PARTITION BY bowler {CAREER}))")
