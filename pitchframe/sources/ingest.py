@@ -6,7 +6,6 @@ import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The columns of the file by kind, in the order in which their errors are reported.
 INTEGERS = ("season_id", "match_id", "over_number", "ball_number", "batter_runs", "extras", "total_runs", "wide_ball_runs",
@@ -20,20 +19,29 @@ IDENTITY = ("season_id", "match_id", "innings", "over_number", "ball_number")
 COLUMNS = (*INTEGERS, *BOOLEANS, *TEXTS)
 
 
+def header_problems(columns: list[str]) -> tuple[list[str], list[str]]:
+    """Columns of the contract that a header lacks, which is fatal, and those beyond it, which are left out."""
+    return [c for c in COLUMNS if c not in columns], [c for c in columns if c not in COLUMNS]
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns of the file as text, with ``source_row_number`` counted from 2 in the order of the file.
 
-    A missing column is an error; columns beyond the contract are left out. Rows are numbered by their place in the scan
-    (partition sizes first, then an offset inside), not by one task.
+    A missing column is an error; columns beyond the contract are left out. Rows are numbered inside the file's splits and by
+    an offset for each split, so no task sees them all.
     """
     rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
-    missing = [c for c in COLUMNS if c not in rows.columns]
+    place = ["_split", "_start", "_at"]
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_split"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
+    missing, _ = header_problems([c for c in rows.columns if c not in place])
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    kept = rows.select(*COLUMNS)
-    numbered = kept.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 2))
-    return spark.createDataFrame(numbered, T.StructType([*kept.schema.fields, T.StructField("source_row_number", T.LongType())]))
+    rows = rows.select(*COLUMNS, *place)
+    splits = rows.groupBy("_split", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_split", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = splits.select("_split", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(splits, ["_split", "_start"]).select(*COLUMNS, (F.col("_before") + F.col("_at") - F.col("_first") + 2).alias("source_row_number"))
 
 
 def _text(c: str) -> Column:
@@ -100,12 +108,17 @@ def duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def profile(raw: DataFrame) -> DataFrame:
-    """One row: rows, exact repeats, repeated identities, and of each column its blanks and values that do not parse."""
+    """One row: rows, exact repeats, kinds of errors, of each column its blanks and values that do not parse, balls in a match, super overs."""
     rows = validated(raw)
     blank = [F.sum(F.when(F.coalesce(F.trim(f"raw.{c}"), F.lit("")) == "", 1).otherwise(0)).alias(f"blank_{c}") for c in COLUMNS]
     has = lambda code: F.sum(F.when(F.exists("errors", lambda e: e.startswith(code)), 1).otherwise(0))
-    codes = ("not_integer", "invalid_boolean", "run_total_mismatch", "extras_breakdown_mismatch", "wicket_flag_without_detail", "duplicate_delivery_identity")
-    return rows.agg(F.count("*").alias("rows"), *(has(c).alias(c) for c in codes), *blank)
+    codes = ("not_integer", "invalid_boolean", "run_total_mismatch", "extras_breakdown_mismatch", "wicket_flag_without_detail", "wicket_detail_without_flag", "duplicate_delivery_identity")
+    bad = [has(f"not_integer:{c}=").alias(f"bad_{c}") for c in INTEGERS] + [has(f"invalid_boolean:{c}=").alias(f"bad_{c}") for c in BOOLEANS]
+    whole = rows.agg(F.count("*").alias("rows"), *(has(c).alias(c) for c in codes), *blank, *bad, F.sum("is_super_over").alias("super_over_rows"))
+    repeats = raw.groupBy(*COLUMNS).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("exact_repeats"))
+    match = rows.where("match_id IS NOT NULL").groupBy("season_id", "match_id").agg(F.count("*").alias("n"))
+    match = match.agg(F.min("n").alias("least_balls"), F.max("n").alias("most_balls"), F.avg("n").alias("mean_balls"))
+    return whole.crossJoin(repeats).crossJoin(match)  # one row each
 
 
 def latest(rows: DataFrame, keys: list[str], batch: str) -> DataFrame:
@@ -121,6 +134,12 @@ def filled(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, *(F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in values))
 
 
+def better_known(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Upsert of identities (``key``, full_name, confidence): an old name stays, the confidence is the larger one."""
+    joined = new.alias("n").join(old.alias("o"), key, "full")
+    return joined.select(key, F.coalesce("o.full_name", "n.full_name").alias("full_name"), F.greatest("o.confidence", "n.confidence").alias("confidence"))
+
+
 def season_of(raw: Column) -> Column:
     """The season of a label: 2020/21 is 2020, other spans end in their second year, else the latest year named."""
     spans = F.regexp_extract(raw, r"^(\d{4})/(\d{2})$", 2)
@@ -129,7 +148,8 @@ def season_of(raw: Column) -> Column:
 
 
 MATCH_JSON = (
-    "info struct<season:string, dates:array<string>, teams:array<string>, venue:string, outcome:struct<winner:string>>, "
+    "info struct<season:string, dates:array<string>, teams:array<string>, venue:string, toss:struct<winner:string, decision:string>, "
+    "outcome:struct<winner:string, result:string, by:struct<runs:int, wickets:int>>>, "
     "innings array<struct<team:string, super_over:boolean, overs:array<struct<over:int, deliveries:array<struct<batter:string, "
     "bowler:string, non_striker:string, runs:struct<batter:int, extras:int, total:int>, extras:struct<wides:int, noballs:int, "
     "legbyes:int, byes:int, penalty:int>, wickets:array<struct<player_out:string, kind:string, fielders:array<struct<name:string>>>>>>>>>>"
@@ -153,3 +173,35 @@ def flattened(matches: DataFrame) -> DataFrame:
         F.array_join(F.transform(wicket["fielders"], lambda f: f["name"]), ", ").alias("fielders_involved"),
         wicket.isNotNull().cast("int").alias("is_wicket"), F.coalesce("super_over", F.lit(False)).cast("int").alias("is_super_over"),
     )
+
+
+def match_records(matches: DataFrame) -> DataFrame:
+    """One row per nested record: season, date, venue, teams, toss, winner, and how the match was won (runs before wickets)."""
+    i = lambda path: F.col(f"info.{path}")
+    runs, wickets = i("outcome.by.runs"), i("outcome.by.wickets")
+    return matches.select(
+        "match_id", season_of(i("season")).alias("season_id"), F.try_element_at(i("dates"), F.lit(1)).cast("date").alias("match_date"), i("venue").alias("venue"),
+        F.try_element_at(i("teams"), F.lit(1)).alias("team_a"), F.try_element_at(i("teams"), F.lit(2)).alias("team_b"),
+        i("toss.winner").alias("toss_winner"), i("toss.decision").alias("toss_decision"), i("outcome.winner").alias("winner"),
+        F.when(runs.isNotNull(), "runs").when(wickets.isNotNull(), "wickets").alias("result_type"), F.coalesce(runs, wickets).alias("margin"),
+    )
+
+
+def backfill(matches: DataFrame, balls: DataFrame) -> DataFrame:
+    """Balls of the latest season's nested records whose matches ``balls`` do not have."""
+    found = flattened(matches)
+    newest = found.agg(F.max("season_id").alias("season_id"))
+    return found.join(F.broadcast(newest), "season_id", "left_semi").join(balls.select("match_id").distinct(), "match_id", "left_anti")  # newest: one row
+
+
+def team_codes(matches: DataFrame, balls: DataFrame) -> DataFrame:
+    """(match_id, code, team): the i-th innings of the nested record and of ``balls`` name the same side."""
+    theirs = matches.select("match_id", F.posexplode("innings").alias("i", "x")).select("match_id", (F.col("i") + 1).alias("innings"), F.col("x.team").alias("team"))
+    ours = balls.groupBy("match_id", "innings").agg(F.min("team_batting").alias("code"))
+    return theirs.join(ours, ["match_id", "innings"]).groupBy("match_id", "code").agg(F.min("team").alias("team"))
+
+
+def named_teams(balls: DataFrame, codes: DataFrame) -> DataFrame:
+    """``balls`` with batting_name: the side's name by match and code, the code itself where there is none."""
+    names = codes.select("match_id", F.col("code").alias("team_batting"), "team")
+    return balls.join(names, ["match_id", "team_batting"], "left").withColumn("batting_name", F.coalesce("team", "team_batting")).drop("team")
