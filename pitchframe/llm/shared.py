@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,14 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of this machine."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of this machine if all tasks run on it (as in
+    tests), and an error on a cluster, whose machines would each have their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)  # set by setCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pitchframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

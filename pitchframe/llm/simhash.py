@@ -33,7 +33,7 @@ from .shared import partitions, table, texts, written
 
 PIECE = 50_000  #: shingles whose bits are counted at once
 FAN = 8  #: children of a node
-PAIRS = 1_000_000  #: node pairs compared at once
+PAIRS = 1 << 18  #: node pairs compared at once
 HOT = 10_000  #: a key is sent by broadcast if it has over a HOT-th of the rows
 ROWS = 4  #: least values in a key of ``similar_documents``
 MISS = 1e-5  #: the chance that two sets just as alike as asked for have no key in common
@@ -124,12 +124,13 @@ def keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("*", F.explode(F.array(*rows)).alias("k")).select(*fps.columns, "k.choice", "k.key")
 
 
-def search_groups(fps, group, distance: int, tight: int, label_of=None):
+def search_groups(fps, group, distance: int, tight: int, label_of=None, visit=None):
     """(root, pairs): of each fingerprint (row of uint64 words) the position of one that ``tight`` links lead to inside its
     group, and the pairs of positions within ``distance`` bits whose roots differ.
 
     ``group``: rising numbers. Inside a group rows are reordered by the Gray rank of the first word. ``label_of``: rows with
     equal labels are linked already, are sorted together, and nodes of one label are not compared with each other.
+    ``visit``: is called with pairs, at most ``PAIRS`` at a time, in place of returning them.
     """
     import numpy as np
 
@@ -194,7 +195,10 @@ def search_groups(fps, group, distance: int, tight: int, label_of=None):
             close = apart <= tight
             link(a[close], b[close])
             rest = ~close & (label[a] != label[b])
-            loose.append(np.stack([a[rest], b[rest]]))
+            if visit is None:
+                loose.append(np.stack([a[rest], b[rest]]))
+            elif rest.any():
+                visit(order[a[rest]], order[b[rest]])
             continue
         whole = bits((some[a] | some[b]) & ~(every[a] & every[b])) <= tight
         for x in (a[whole], b[whole]):  # all members of the node are within the distance of its first
@@ -359,7 +363,7 @@ def sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
                 key ^= key >> np.uint64(29)
             return key.view(np.int64)
 
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, len(b), 1000)):
             words, found, sizes, lists = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = np.unique(shingle_hashes(text, shingle))
@@ -472,14 +476,18 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _candidates(group, distance: int, similarity: float):
-    """Pairs of positions in ``group`` of different labels, sizes that allow the similarity and fingerprints near each other."""
+def _candidates(group, distance: int, similarity: float, visit) -> None:
+    """Calls ``visit`` with pairs of positions in ``group`` of different labels, sizes that allow the similarity and fingerprints near
+    each other, block by block, so that a large group's pairs are never held together."""
     import numpy as np
 
     label, f0, f1, size = (group.column(c).to_numpy() for c in ("label", "f0", "f1", "size"))
-    a, b = search_groups(np.stack([f0, f1], axis=1).view(np.uint64), np.zeros(len(label), np.int64), distance, -1, label)[1]
-    allowed = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
-    return a[allowed], b[allowed]
+
+    def allowed(a, b) -> None:
+        near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+        visit(a[near], b[near])
+
+    search_groups(np.stack([f0, f1], axis=1).view(np.uint64), np.zeros(len(label), np.int64), distance, -1, label, allowed)
 
 
 def _confirmed(group, similarity: float, distance: int):
@@ -489,38 +497,38 @@ def _confirmed(group, similarity: float, distance: int):
 
     ids, key = group.column("id").to_numpy(), group.column("key")[0].as_py()
     keys = group.column("keys").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
-    a, b = _candidates(group, distance, similarity)
-    first = [np.zeros(0, bool)]
-    for lo in range(0, len(a), PIECE):
-        x, y = keys[a[lo : lo + PIECE]], keys[b[lo : lo + PIECE]]
-        at = (x == y).argmax(axis=1)
-        first.append(x[np.arange(len(x)), at] == key)
-    first = np.concatenate(first)
-    a, b = a[first], b[first]
-    if not len(a):
-        return ids[:0], ids[:0]
     shingles = group.column("shingles").chunk(0)
     size = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     local = np.unique(shingles.flatten().to_numpy(), return_inverse=True)[1]
     start = np.cumsum(size) - size
     root, there = np.unique(group.column("label").to_numpy(), return_inverse=True)[1], np.zeros(int(local.max(initial=0)) + 1, bool)
-    order = np.lexsort((b, a))
-    a, b, out = a[order], b[order], []
-    for lo, hi in zip(*_runs(a), strict=True):
-        one, others = a[lo], b[lo:hi]
-        others = others[root[others] != root[one]]
-        if not len(others):
-            continue
-        own = local[start[one] : start[one] + size[one]]
-        there[own] = True
-        n = size[others]
-        at = np.repeat(start[others] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = np.add.reduceat(there[local[at]], np.cumsum(n) - n, dtype=np.int64)
-        there[own] = False
-        for other in others[shared >= similarity * (size[one] + n - shared) - 1e-9].tolist():
-            if root[other] != root[one]:
-                root[root == root[other]] = root[one]
-                out.append((one, other))
+    out: list[tuple[int, int]] = []
+
+    def compare(a, b) -> None:
+        for lo in range(0, len(a), PIECE):
+            x, y = a[lo : lo + PIECE], b[lo : lo + PIECE]
+            same = keys[x] == keys[y]
+            first = keys[x, same.argmax(axis=1)] == key
+            x, y = x[first], y[first]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            for lo_, hi in zip(*_runs(x), strict=True):
+                one, others = x[lo_], y[lo_:hi]
+                others = others[root[others] != root[one]]
+                if not len(others):
+                    continue
+                own = local[start[one] : start[one] + size[one]]
+                there[own] = True
+                n = size[others]
+                at = np.repeat(start[others] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.add.reduceat(there[local[at]], np.cumsum(n) - n, dtype=np.int64)
+                there[own] = False
+                for other in others[shared >= similarity * (size[one] + n - shared) - 1e-9].tolist():
+                    if root[other] != root[one]:
+                        root[root == root[other]] = root[one]
+                        out.append((one, other))
+
+    _candidates(group, distance, similarity, compare)
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
@@ -530,7 +538,7 @@ def _runs(sorted_values):
     import numpy as np
 
     edges = (np.flatnonzero(np.diff(sorted_values)) + 1).tolist()
-    return [0, *edges], [*edges, len(sorted_values)]
+    return ([0, *edges], [*edges, len(sorted_values)]) if len(sorted_values) else ([], [])
 
 
 def across_labels(docs: DataFrame, distinct: DataFrame, rows: DataFrame, distance: int, similarity: float, shingle: int) -> DataFrame:
@@ -543,8 +551,13 @@ def across_labels(docs: DataFrame, distinct: DataFrame, rows: DataFrame, distanc
         import pyarrow as pa
 
         for group in _groups(batches, "key", "i", "j"):
-            found = pa.array(np.unique(np.concatenate(_candidates(group, distance, similarity))))
-            yield from group.select(["key", "id"]).take(found).to_batches()
+            near = np.zeros(len(group), bool)
+
+            def mark(a, b, near=near) -> None:
+                near[a] = near[b] = True
+
+            _candidates(group, distance, similarity, mark)
+            yield from group.select(["key", "id"]).filter(pa.array(near)).to_batches()
 
     def confirm(batches: Iterator) -> Iterator:
         import pyarrow as pa
