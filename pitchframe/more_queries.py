@@ -91,6 +91,7 @@ def _blend(parts: list[tuple[str, list[str]]], total: str) -> list[str]:
 
 _WEIGHTS = {n: (f"{cap}::DOUBLE" if enough is None else f"least({cap}::DOUBLE, {_size(_hc(n))} * {cap}::DOUBLE / {float(enough)}::DOUBLE)") for n, cap, enough in P.BLEND}
 _SHARES = {"n": "", "v": _size(_smooth(_hc("venue"))), "m": ""}
+# The limits and factors of the contextual model, for the SQL.
 _CHANGES = [
     ("gap >= 2.0", {"4": 1.12, "6": 1.10, "wicket": 1.08, "0": 0.92}), ("gap <= -1.5", {"0": 1.06, "1": 1.08, "4": 0.95, "6": 0.90}),
     ("10 - wickets_before <= 3", {"wicket": 1.08, "0": 1.04, "6": 0.95}), ("striker_balls >= 6 AND striker_rate >= 150", {"4": 1.08, "6": 1.10}),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import COUNTS, LABELS, conceded, credited_wicket, flag, outcome, phase_legal, ratio, summed, total
@@ -232,4 +232,12 @@ def dot_gap(balls: DataFrame) -> DataFrame:
 def median_delivery(balls: DataFrame, season: int, order: tuple[str, ...]) -> DataFrame:
     """The middle row of a season in chronological order."""
     own = balls.where(F.col("season_id") == season)
-    return own.orderBy(*order).offset(own.count() // 2).limit(1).select(*order, "batter", "bowler", "total_runs")
+    innings, within = list(order[:3]), order[3:]
+    sizes = own.groupBy(*innings).agg(F.count("*").alias("n"))  # a row for each innings: the middle one is found among these
+    running = Window.orderBy(*innings).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = sizes.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0))).withColumn("middle", F.floor(F.sum("n").over(every) / 2))
+    chosen = sizes.where("middle >= start AND middle < start + n").select(*innings, (F.col("middle") - F.col("start") + 1).alias("place"))
+    rows = own.join(F.broadcast(chosen), innings)  # one innings
+    place = F.row_number().over(Window.partitionBy(*innings).orderBy(*within))
+    return rows.withColumn("k", place).where("k = place").select(*order, "batter", "bowler", "total_runs")

@@ -136,7 +136,7 @@ def recent_form(balls: DataFrame, role: str, n: int = 5) -> DataFrame:
     )
 
 
-#: Keys of similar situations, strictest first, and how many such balls are enough.
+# Keys of similar situations, strictest first, and how many such balls are enough.
 SIMILAR = (
     (("batsman_type", "bowler_type", "innings", "team_batting", "team_bowling"), 120),
     (("batsman_type", "bowler_type", "innings"), 220),

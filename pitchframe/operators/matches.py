@@ -38,7 +38,7 @@ def points_table(balls: DataFrame, meta: DataFrame) -> DataFrame:
         summed(F.when(won, 2).when(none, 1).otherwise(0), "points"),
     )
     rates = net_run_rate(balls).select("season_id", "team", "nrr")
-    return table.join(rates, ["season_id", "team"], "left").withColumn("nrr", F.coalesce("nrr", F.lit(0.0)))
+    return table.join(rates, ["season_id", "team"], "left").withColumn("nrr", F.coalesce("nrr", F.lit(0.0))).orderBy("season_id", F.desc("points"), F.desc("nrr"), "team")
 
 
 def scorecard_batting(balls: DataFrame) -> DataFrame:

@@ -117,6 +117,7 @@ def blended(rows: DataFrame) -> DataFrame:
 
 def multipliers() -> list[tuple[Column, dict[str, float]]]:
     """Conditions on the state of play and the factors they put on labels; all that hold apply."""
+    # The conditions' limits and the factors.
     col, fours = F.col, F.col("recent_4") + F.col("recent_6")
     striker, spell = col("striker_balls") >= 6, col("spell_balls") >= 6
     pair, window = col("partnership_balls") >= 12, col("window_legal") >= 6

@@ -49,6 +49,7 @@ def trust_gate(covered: DataFrame, reconciled: DataFrame) -> DataFrame:
         total(F.col("status") == "UNAVAILABLE", "unavailable"), total(F.col("status") == "PASS", "passed"),
     )
     rows = covered.select("season_id", "coverage").join(counts, "season_id", "full")
+    # The names of the gates.
     gate = (
         F.when(F.coalesce("coverage", F.lit("incomplete")) != "complete", "BLOCKED_COVERAGE").when(F.col("failed") > 0, "BLOCKED_RECONCILIATION")
         .when(F.col("noted") > 0, "PASS_WITH_DEFINITION_NOTE").when(F.coalesce("passed", F.lit(0)) == 0, "UNAVAILABLE").otherwise("PASS")
