@@ -121,3 +121,21 @@ SELECT *, CASE WHEN winner IS NOT NULL THEN winner || ' won by ' || margin || '
 query("q_best_phase", X.best_phase, f"{STATE_CTE}, sums AS (SELECT batter, phase, ISUM(batter_runs) AS runs, ISUM(1 - is_wide_ball) AS balls FROM phased GROUP BY 1, 2), rated AS (SELECT *, RATIO(runs, balls, 100) AS strike_rate FROM sums) SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY batter ORDER BY strike_rate DESC, CASE phase WHEN 'powerplay' THEN 1 WHEN 'middle' THEN 2 ELSE 3 END) = 1")
 query("q_longest_innings", X.longest_innings, f"SELECT {KEYS}, count(*) AS deliveries FROM balls GROUP BY ALL ORDER BY deliveries DESC, {KEYS} LIMIT 1")
 query("q_venue_matches", lambda b, m: X.venue_matches(b, m, "Venue3"), "SELECT season_id, count(*) AS deliveries, ISUM(total_runs) AS runs, ISUM(is_wicket) AS wickets FROM balls WHERE match_id IN (SELECT match_id FROM meta WHERE venue = 'Venue3') GROUP BY 1", meta=True)
+
+# --- keyed decay, joins of traces, and lookups --------------------------------------------------------------------------
+for _context, _keys in (("legal_phase", "phase"), ("batter_bowler", "batter, bowler")):
+    _own = ", ".join(
+        f"(floor(coalesce(sum((label = '{x}')::INT * pow(0.995, -step::DOUBLE)) OVER w, 0) * pow(0.995, (step - 1)::DOUBLE) * 10000.0 + 0.5) / 10000.0) AS {c.replace('n_', 'd_')}"
+        for x, c in zip(LABELS, COUNTS, strict=True)
+    )
+    query(f"q_decayed_{_context}", lambda b, c=_context: E.decayed_counts(b, 0.995, c), f"{STATE_CTE}, steps AS (SELECT *, row_number() OVER (ORDER BY {BALL}) - 1 AS step FROM phased) SELECT {BALL}, step, {_own} FROM steps WINDOW w AS (PARTITION BY {_keys} ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+_CAME = "CASE actual " + " ".join(f"WHEN '{x}' THEN hierarchical_{p}" for x, p in zip(LABELS, PROBS, strict=True)) + " END"
+_INNER = "WITH z AS (SELECT 1)"
+query(
+    "q_trace_join", lambda b: X.trace_join(E.trace(b, CUTOFF, VALIDATION), E.trace(b, CUTOFF, VALIDATION, 0.995)),
+    f"{STATE_CTE} SELECT legal_phase, count(*) AS n, R6(avg(after - before)) AS change FROM (SELECT * FROM ({Q._trace(CUTOFF, VALIDATION).replace(STATE_CTE, _INNER, 1)} SELECT {BALL}, legal_phase, {_CAME} AS before FROM trace)) JOIN (SELECT * FROM ({Q._aged(0.995, CUTOFF, VALIDATION).replace(STATE_CTE, _INNER, 1)} SELECT {BALL}, {_CAME} AS after FROM trace)) USING ({BALL}) GROUP BY 1",
+)
+query("q_innings_with_player", lambda b: X.innings_with(b, "Bat1"), f"{STATE_CTE} SELECT season_id, phase, count(*) AS n, ISUM(total_runs) AS runs, ISUM(is_wicket) AS wickets FROM phased WHERE ({KEYS}) IN (SELECT ({KEYS}) FROM balls WHERE batter = 'Bat1') GROUP BY 1, 2")
+query("q_phases_in_order", lambda b: X.phases_in_order(b, SEASON), f"{STATE_CTE} SELECT (CASE phase WHEN 'powerplay' THEN 1 WHEN 'middle' THEN 2 ELSE 3 END)::INT AS place, phase, count(*) AS n, ISUM(total_runs) AS runs FROM phased WHERE season_id = {SEASON} GROUP BY 2 ORDER BY 1")
+query("q_first_match", lambda b, m: X.first_match(m, "Team1"), "SELECT season_id, match_id, venue, team_a, team_b, winner, match_type, match_date FROM meta WHERE team_a = 'Team1' OR team_b = 'Team1' ORDER BY match_date, match_id LIMIT 1", meta=True)
+query("q_without_matches", lambda b: X.without_matches(b, [199501, 199602]), "SELECT season_id, count(*) AS deliveries FROM balls WHERE match_id NOT IN (199501, 199602) GROUP BY 1")

@@ -250,3 +250,38 @@ def venue_matches(balls: DataFrame, meta: DataFrame, venue: str) -> DataFrame:
 
 def frame_of(balls: DataFrame, season: int) -> DataFrame:
     return feature_frame(balls).where(F.col("season_id") == season)
+
+
+def trace_join(plain: DataFrame, aged: DataFrame) -> DataFrame:
+    """By phase of the innings: balls that both traces hold, and the mean change of the hierarchical model's chance of what came."""
+    keys = list(CHRONOLOGY)
+    own = [F.col(f"hierarchical_{p}") for p in PROBS]
+    a = plain.select(*keys, "legal_phase", evaluate.of_actual(own).alias("before"))
+    b = aged.select(*keys, evaluate.of_actual(own).alias("after"))
+    return a.join(b, keys).groupBy("legal_phase").agg(F.count("*").alias("n"), rounded(F.avg(F.col("after") - F.col("before"))).alias("change"))
+
+
+def innings_with(balls: DataFrame, batter: str) -> DataFrame:
+    """Runs and balls of the whole side by phase, in the innings in which ``batter`` batted: a semi-join, then the state of those innings."""
+    own = balls.where(F.col("batter") == batter).select(*state.INNINGS).distinct()
+    rows = state.with_state(balls.join(own, list(state.INNINGS), "left_semi")).withColumn("phase", phase_legal())
+    return rows.groupBy("season_id", "phase").agg(F.count("*").alias("n"), F.sum("total_runs").cast("bigint").alias("runs"), F.sum("is_wicket").cast("bigint").alias("wickets"))
+
+
+def phases_in_order(balls: DataFrame, season: int) -> DataFrame:
+    """A season's phases in the order of play, with their place in it."""
+    place = F.when(F.col("phase") == "powerplay", 1).when(F.col("phase") == "middle", 2).otherwise(3)
+    rows = state.with_state(balls.where(F.col("season_id") == season)).withColumn("phase", phase_legal())
+    rows = rows.groupBy("phase").agg(F.count("*").alias("n"), F.sum("total_runs").cast("bigint").alias("runs"))
+    return rows.select(place.alias("place"), "phase", "n", "runs").orderBy("place")
+
+
+def first_match(meta: DataFrame, team: str) -> DataFrame:
+    """The record of a team's earliest match."""
+    return meta.where((F.col("team_a") == team) | (F.col("team_b") == team)).orderBy("match_date", "match_id").limit(1)
+
+
+def without_matches(balls: DataFrame, dropped: list[int]) -> DataFrame:
+    """Seasons' balls after the matches named are taken away: an anti-join on the match."""
+    gone = balls.sparkSession.createDataFrame([(m,) for m in dropped], "match_id int")
+    return balls.join(F.broadcast(gone), "match_id", "left_anti").groupBy("season_id").agg(F.count("*").alias("deliveries"))  # as many rows as are named
