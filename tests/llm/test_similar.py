@@ -84,3 +84,36 @@ def test_repeated_lines_count_once(spark):
     want = _components(rows)
     assert [want[d] for d, _ in rows] == [0, 0, 2, 2, 4, 4, 6, 6, 100, 101]
     assert _found(spark, rows) == want
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id long, text string, row long, size int, keys string, label long, id long, w0 long"
+    rows = [(None, text), (None, None), (4, text + " tail"), (4, text + " tail"), (9, ""), (2, None), (7, "x " * 50_000)]
+    got = simhash.similar_documents(spark.createDataFrame([(*r, 1, 1, "k", 1, 1, 1) for r in rows], schema)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got) == sorted(
+        [(True, 0, 4), (True, 0, 2), (False, 4, 4), (False, 4, 4), (False, 9, 2), (False, 2, 2), (False, 7, 7)]
+    )
+    alone = simhash.similar_documents(spark.createDataFrame([(None, "only one")], DOCS)).collect()
+    assert [r.component_id for r in alone] == [None]
+    assert simhash.similar_documents(spark.createDataFrame([], DOCS)).count() == 0
+    narrow = spark.createDataFrame([(3, "a b"), (1, "A B")], "doc_id int, text string")
+    assert {r.component_id for r in simhash.similar_documents(narrow).collect()} == {1}
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    schema = "doc_id long, text string, id long, n long, label long, choice int, key long"
+    rows = [(None, "a b"), (3, "a b"), (3, "a b"), (5, ""), (6, None)]
+    got = simhash.near_duplicates(spark.createDataFrame([(*r, 1, 1, 1, 1, 1) for r in rows], schema)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 3), (3, 3), (3, 3), (5, 5), (6, 5)]
+
+
+def test_recall_of_pairs_of_any_size(spark):
+    draw = random.Random(9)
+    rows = []
+    for n in (5, 9, 20, 50, 120, 400, 2000):
+        for _ in range(25):
+            words = [f"v{draw.randrange(30_000)}" for _ in range(n + 4)]
+            more = [f"n{draw.random()}" for _ in range(n // 4)]  # n of n + n // 4 shingles: 0.8 or a little more
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words + more))]
+    assert _found(spark, rows) == {d: d - d % 2 for d, _ in rows}
