@@ -139,3 +139,13 @@ query("q_innings_with_player", lambda b: X.innings_with(b, "Bat1"), f"{STATE_CTE
 query("q_phases_in_order", lambda b: X.phases_in_order(b, SEASON), f"{STATE_CTE} SELECT (CASE phase WHEN 'powerplay' THEN 1 WHEN 'middle' THEN 2 ELSE 3 END)::INT AS place, phase, count(*) AS n, ISUM(total_runs) AS runs FROM phased WHERE season_id = {SEASON} GROUP BY 2 ORDER BY 1")
 query("q_first_match", lambda b, m: X.first_match(m, "Team1"), "SELECT season_id, match_id, venue, team_a, team_b, winner, match_type, match_date FROM meta WHERE team_a = 'Team1' OR team_b = 'Team1' ORDER BY match_date, match_id LIMIT 1", meta=True)
 query("q_without_matches", lambda b: X.without_matches(b, [199501, 199602]), "SELECT season_id, count(*) AS deliveries FROM balls WHERE match_id NOT IN (199501, 199602) GROUP BY 1")
+_PARTS = " UNION ALL ".join(f"SELECT {BALL}, '{n}' AS component, R6(w_{n} / w_total) AS share FROM judged" for n in Q._WEIGHTS)
+query("q_blend_contributions", lambda b: X.blend_contributions(X.frame_of(b, SEASON)), f"{_CONTEXT} SELECT * FROM ({_PARTS}) WHERE share > 0", venue=True)
+_RS = [f"R6(b_{p})" for p in PROBS]
+_FIXED = ", ".join(f"r_{p} + CASE WHEN top_of = '{x}' THEN rest ELSE 0.0 END AS {p}" for p, x in zip(PROBS, LABELS, strict=True))
+_RP = [f"r_{p}" for p in PROBS]
+query(
+    "q_exact_blend", lambda b: X.exact_blend(X.frame_of(b, SEASON)),
+    f"{_CONTEXT}, rounded AS (SELECT {BALL}, {_as(_RS, _RP)} FROM judged), fixed AS (SELECT {BALL}, {_FIXED} FROM (SELECT *, {R._top(_RP)} AS top_of, R6(1.0::DOUBLE - {_size(_RP)}) AS rest FROM rounded)) SELECT *, {R._top(list(PROBS))} AS top FROM fixed",
+    venue=True,
+)

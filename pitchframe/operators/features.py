@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import FEATURE_STRENGTH, LABELS, PROBS, VENUE_TIER, phase_legal, ratio, tier
+from ..functions.expr import FEATURE_STRENGTH, LABELS, PROBS, VENUE_TIER, phase_legal, ratio, tier, top_label
 from . import evaluate, state
 from .evidence import CHRONOLOGY, recent_form
-from .models import CANDIDATES, candidate_blends, component, contextual, counts, feature_frame, named, normalised, rounded, size
+from .models import BLEND, CANDIDATES, blended, candidate_blends, component, contextual, counts, feature_frame, named, normalised, rounded, size
 
 # Families made of a history: the histories blended in equal parts, a sample that earns the full weight, and that weight.
 HISTORY_FAMILIES = {
@@ -285,3 +285,25 @@ def without_matches(balls: DataFrame, dropped: list[int]) -> DataFrame:
     """Seasons' balls after the matches named are taken away: an anti-join on the match."""
     gone = balls.sparkSession.createDataFrame([(m,) for m in dropped], "match_id int")
     return balls.join(F.broadcast(gone), "match_id", "left_anti").groupBy("season_id").agg(F.count("*").alias("deliveries"))  # as many rows as are named
+
+
+def with_residue(values: list[Column]) -> list[Column]:
+    """Shares to six places that add up to one: what rounding leaves goes to the largest, the first in label order where equal."""
+    shares = [rounded(v) for v in values]
+    rest = rounded(F.lit(1.0) - size(shares))
+    top = top_label(shares)
+    return [s + F.when(top == label, rest).otherwise(0.0) for s, label in zip(shares, LABELS, strict=True)]
+
+
+def blend_contributions(frame: DataFrame) -> DataFrame:
+    """By ball and component of the contextual blend: its share of the weights; components without weight are left out."""
+    rows = blended(frame)
+    parts = [F.struct(F.lit(n).alias("component"), rounded(F.col(f"w_{n}") / F.col("w_total")).alias("share")) for n, _, _ in BLEND]
+    return rows.select(*CHRONOLOGY, F.explode(F.array(*parts)).alias("c")).select(*CHRONOLOGY, "c.*").where("share > 0")
+
+
+def exact_blend(frame: DataFrame) -> DataFrame:
+    """The contextual blend as shares to six places that add up to one, with its most likely label."""
+    probs = with_residue([F.col(f"b_{p}") for p in PROBS])
+    rows = blended(frame).select(*CHRONOLOGY, *named(probs))
+    return rows.withColumn("top", top_label([F.col(p) for p in PROBS]))
