@@ -9,6 +9,7 @@ from . import registry as R
 from .functions.expr import COUNTS, LABELS, PROBS
 from .operators import evaluate as E
 from .operators import features as X
+from .operators import identity as N
 from .registry import BALL, CUTOFF, KEYS, SEASON, STATE_CTE, VALIDATION, _as, _size, query
 
 
@@ -149,3 +150,32 @@ query(
     f"{_CONTEXT}, rounded AS (SELECT {BALL}, {_as(_RS, _RP)} FROM judged), fixed AS (SELECT {BALL}, {_FIXED} FROM (SELECT *, {R._top(_RP)} AS top_of, R6(1.0::DOUBLE - {_size(_RP)}) AS rest FROM rounded)) SELECT *, {R._top(list(PROBS))} AS top FROM fixed",
     venue=True,
 )
+
+# --- names --------------------------------------------------------------------------------------------------------------
+_QUESTIONS = ("Bat1", "bat", "OWL2", "Bowl12", "nobody", "bowl 3", "b", "")
+_PLAYERS = "SELECT batter AS player FROM balls UNION SELECT bowler FROM balls"
+_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_ALIASES = f"""SELECT DISTINCT alias, player, 'derived' AS status FROM (SELECT player, unnest([player, {_NORM.format('player')}, replace({_NORM.format('player')}, ' ', ''),
+  string_split({_NORM.format('player')}, ' ')[-1]]) AS alias FROM ({_PLAYERS})) WHERE alias <> ''"""
+
+
+def _players(balls: DataFrame) -> DataFrame:
+    return balls.select("batter").union(balls.select("bowler")).toDF("player").distinct()
+
+
+def _asked(balls: DataFrame) -> DataFrame:
+    return balls.sparkSession.createDataFrame([(q,) for q in _QUESTIONS], "query string")
+
+
+query("q_alias_index", lambda b: N.aliases(_players(b)), _ALIASES.replace("SELECT DISTINCT", "SELECT DISTINCT", 1))
+query(
+    "q_resolve_players", lambda b: N.resolved(_asked(b), N.aliases(_players(b)), R.A.player_activity(b)),
+    f""", asked AS (SELECT DISTINCT query, {_NORM.format('query')} AS asked FROM (SELECT unnest({list(_QUESTIONS)!r}) AS query)),
+activity AS (SELECT player, count(*) AS n FROM (SELECT batter AS player FROM balls UNION ALL SELECT bowler FROM balls) GROUP BY 1),
+met AS (SELECT query, asked, player, {_NORM.format('alias')} AS form FROM ({_ALIASES}) JOIN asked ON asked <> '' AND contains({_NORM.format('alias')}, asked)),
+scores AS (SELECT query, player, max(25.0::DOUBLE + CASE WHEN form = asked THEN 120 WHEN starts_with(form, asked) THEN 35 ELSE 18 END
+  + 16 * len(list_intersect(string_split(asked, ' '), string_split({_NORM.format('player')}, ' '))) + least(coalesce(n, 0), 5000) / 250.0::DOUBLE) AS score FROM met LEFT JOIN activity USING (player) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, player) AS k FROM scores),
+best AS (SELECT query, max(score) FILTER (k = 1) AS top, max(score) FILTER (k = 2) AS second, max(player) FILTER (k = 1) AS first, string_agg(player, '|' ORDER BY k) FILTER (k <= 8) AS candidates FROM ranked GROUP BY 1)
+SELECT a.query, CASE WHEN second IS NULL OR (top >= 130 AND top >= second + 24) THEN first END AS player, candidates FROM asked a LEFT JOIN best b ON b.query = a.query""",
+)
