@@ -3,8 +3,8 @@
 A vocabulary's encoder works word by word, and most words of a corpus repeat. ``WordEncoder``
 therefore splits a text where the vocabulary's own pre-tokeniser always splits, encodes each new
 chunk with the library and keeps its ids; a text's ids are the joined ids of its chunks.
-The cache holds about ``max_words`` chunks of at most ``MAX_CHUNK`` characters; when full, only those in
-use stay, so a worker's memory is bounded whatever the corpus.
+The cache holds about ``max_words`` chunks of at most ``MAX_CHUNK`` characters in two halves; when one is full, the other is
+emptied, and what was met since stays, so a worker's memory is bounded whatever the corpus.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import os
 import re
 
 MAX_CHUNK = 64
+TOGETHER = 250  #: chunks encoded as one text
 WORD_END = "</w>"
 _SPACE, _DOUBLE_SPACE = re.compile(r"\s"), re.compile(r"\s\s")
 _LAST: dict[tuple, "WordEncoder"] = {}
@@ -36,7 +37,7 @@ class WordEncoder:
     Otherwise the vocabulary is one of lower case, white space only separates words, and a word's ids end with its word end.
     """
 
-    def __init__(self, path: str, spaced: bool, max_words: int = 500_000):
+    def __init__(self, path: str, spaced: bool, max_words: int = 640_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -45,6 +46,7 @@ class WordEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaced, self.max_words = spaced, max_words
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the chunks kept before these; those met again are kept on
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.id_bytes, self.ends_word = np.zeros(max(vocab.values()) + 1, np.int64), np.full(max(vocab.values()) + 1, spaced)
         for token, i in vocab.items():  # a character for each byte, and the word end
@@ -93,7 +95,7 @@ class WordEncoder:
         else:  # in lower case, as keys of such texts are, and without white space, which the vocabulary drops
             together = [k for k in keys if k and _latin(k) and k == k.lower() and not _SPACE.search(k)]
         found: dict[str, bytes] = {}
-        groups = [together[i : i + 2000] for i in range(0, len(together), 2000)]
+        groups = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
         texts = [[self._chunk_text(k) for k in g] for g in groups]
         between = "" if self.spaced else " "
         for group, text, ids in zip(groups, texts, self._ids([between.join(t) for t in texts]), strict=True):
@@ -112,8 +114,10 @@ class WordEncoder:
             split = [self._chunks(t) for t in part]
             words = set().union(*(c for c in split if c is not None))
             new = [w for w in words if w not in self.kept]
-            if len(self.kept) + len(new) > self.max_words:
-                self.kept = {w: ids for w in words if (ids := self.kept.get(w)) is not None}
+            if len(self.kept) + len(new) > self.max_words // 2:
+                self.kept, self.before, new = {}, self.kept, list(words)
+            self.kept.update((w, ids) for w in new if (ids := self.before.get(w)) is not None)
+            new = [w for w in new if w not in self.kept]
             found = self._encode_new(new)
             self.kept.update((w, ids) for w, ids in found.items() if len(w) <= MAX_CHUNK)
             long = {w: ids for w, ids in found.items() if len(w) > MAX_CHUNK}
@@ -130,7 +134,7 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, spaced: bool, max_words: int = 500_000) -> WordEncoder:
+def encoder(path: str, spaced: bool, max_words: int = 640_000) -> WordEncoder:
     """The worker's encoder of this vocabulary: a reused Python worker keeps its cache between tasks."""
     key = (path, spaced, max_words)
     if key not in _LAST:
