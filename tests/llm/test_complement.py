@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pitchframe.llm import complement, queries
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+KEPT: dict = {}  #: encoders of both vocabularies, made once
 
 
 def _fewest(sizes, capacity):
@@ -102,3 +103,16 @@ def test_odd_rows(spark):
     twice = complement.pack(docs.where("doc_id = 3").union(docs.where("doc_id = 3")), VOCABULARY).collect()
     assert len(twice) == 2 and {r.offset for r in twice} == {0, twice[0].length}
     assert complement.pack(docs.where("doc_id = 99"), VOCABULARY).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBcé9'.,;:!? \n\t\rªµß中Ꮿ·́"), max_size=30), max_size=4))
+def test_words_with_signs_behind_them_are_the_librarys(texts):
+    from tokenizers import Tokenizer
+
+    from pitchframe.llm.tokens import WordEncoder
+
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        lib, mine = KEPT.setdefault(name, (Tokenizer.from_file(path), WordEncoder(path, spaced, max_words=50)))
+        assert mine.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
