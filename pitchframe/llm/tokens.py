@@ -14,7 +14,7 @@ import re
 
 MAX_CHUNK = 64
 TOGETHER = 250  #: chunks encoded as one text
-TEXTS, CHARACTERS = 10_000, 16_000_000  #: texts split at once, at most (a longer one alone)
+TEXTS, CHARACTERS = 10_000, 8_000_000  #: texts split at once, at most (a longer one alone)
 WORD_END = "</w>"
 ENDS = ".,;:!?"  #: signs that may end a word's chunk
 _SPACE, _DOUBLE_SPACE = re.compile(r"\s"), re.compile(r"\s\s")
