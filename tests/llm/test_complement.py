@@ -114,5 +114,7 @@ def test_words_with_signs_behind_them_are_the_librarys(texts):
 
     for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         path = public_tokenizers.path(name)
-        lib, mine = KEPT.setdefault(name, (Tokenizer.from_file(path), WordEncoder(path, spaced, max_words=50)))
+        if name not in KEPT:
+            KEPT[name] = Tokenizer.from_file(path), WordEncoder(path, spaced, max_words=50)
+        lib, mine = KEPT[name]
         assert mine.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
