@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns a DataFrame; all but
 the last return the columns of documents. ``run`` writes each stage's result to the shared folder and reads it again.
+
+Defined results: null and empty texts go in the first stage, as they have no language; a very long text is one row in memory and is
+worked on whole; rows, not ids, are kept or go, so equal ids hide nothing; a null doc_id is kept like any other; of equal rows
+one stays; an empty table gives no rows at every stage; columns beyond those of documents are carried along up to packing.
 """
 
 from __future__ import annotations
@@ -33,10 +37,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similarities of 0.8 or more, over sets of five words, the smallest doc_id stays."""
-    found = simhash.similar_documents(docs, similarity=0.8, shingle=5)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of documents linked by similarities of 0.8 or more, over sets of five words, one row stays: that of the smallest
+    doc_id, null after all others, and of the smallest digest among equal ids. Rows equal in both are copies, of which one stays."""
+    own, mark = (free_name(docs, c) for c in ("identity", "mark"))
+    digests = (F.xxhash64("text").alias("d0"), F.xxhash64("text", F.lit(1)).alias("d1"))
+    rows = docs.withColumn(own, F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), *digests))
+    found = simhash.similar_documents(rows.select(F.col(own).alias("doc_id"), "text"), similarity=0.8, shingle=5)
+    held = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("first"))
+    # Only rows that go, or that are there several times, have a mark; all others pass without a second look.
+    goes = F.col("doc_id") != F.col("first")
+    marks = held.where(goes | (F.col("n") > 1)).select(F.col("doc_id").alias(own), F.when(goes, "goes").otherwise("repeated").alias(mark))
+    marked = rows.join(marks, own, "left").where(F.coalesce(F.col(mark), F.lit("")) != "goes")
+    single = marked.where(F.col(mark).isNull()).select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    one = marked.where(F.col(mark) == "repeated").groupBy(own).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias(mark))  # in each task first
+    return single.unionByName(one.select(f"{mark}.*"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +61,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces, in sequences of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
