@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import records
+
 # The columns of the file by kind, in the order in which their errors are reported.
 INTEGERS = ("season_id", "match_id", "over_number", "ball_number", "batter_runs", "extras", "total_runs", "wide_ball_runs",
             "no_ball_runs", "leg_bye_runs", "bye_runs", "penalty_runs", "innings")
@@ -25,23 +27,17 @@ def header_problems(columns: list[str]) -> tuple[list[str], list[str]]:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of the file as text, with ``source_row_number`` counted from 2 in the order of the file.
+    """All columns of the file as text, with ``source_row_number`` counted from 2 in the order of the file, and ``problem``.
 
-    A missing column is an error; columns beyond the contract are left out. Rows are numbered inside the file's splits and by
-    an offset for each split, so no task sees them all.
+    Quoted commas, quotes and line breaks are read in splits (``records``). A record that cannot be read, or has too few or too many
+    fields, has a problem, which rejects it. A missing column is an error; columns beyond the contract are left out.
     """
-    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    place = ["_split", "_start", "_at"]
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_split"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
-    rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
-    missing, _ = header_problems([c for c in rows.columns if c not in place])
+    names = records.header(spark, path)
+    missing, _ = header_problems(names)
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    rows = rows.select(*COLUMNS, *place)
-    splits = rows.groupBy("_split", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.orderBy("_split", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
-    splits = splits.select("_split", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(splits, ["_split", "_start"]).select(*COLUMNS, (F.col("_before") + F.col("_at") - F.col("_first") + 2).alias("source_row_number"))
+    rows = records.parsed(records.records(records.lines(spark, path)), names, COLUMNS)
+    return rows.select(*COLUMNS, F.col("row").alias("source_row_number"), "problem")
 
 
 def _text(c: str) -> Column:
@@ -61,13 +57,15 @@ def _boolean(c: str) -> Column:
 
 def validated(raw: DataFrame) -> DataFrame:
     """``raw`` normalised, with ``legal_ball`` and ``errors``: the codes of all that is wrong with a row, in fixed order."""
+    problem = F.col("problem") if "problem" in raw.columns else F.lit(None).cast("string")
     parsed = raw.select(
         *(_integer(c).alias(c) for c in INTEGERS), *(_boolean(c).alias(c) for c in BOOLEANS), *(_text(c).alias(c) for c in TEXTS),
-        "source_row_number", F.struct(*(F.col(c) for c in COLUMNS)).alias("raw"),
+        "source_row_number", F.struct(*(F.col(c) for c in COLUMNS)).alias("raw"), problem.alias("problem"),
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     given = lambda c: F.col(f"raw.{c}")
-    errors = [
+    errors = [F.col("problem")]
+    errors += [
         F.when(F.coalesce(F.trim(given(c)), F.lit("")) == "", f"missing:{c}").when(F.col(c).isNull(), F.concat(F.lit(f"not_integer:{c}="), given(c)))
         for c in INTEGERS
     ]
@@ -82,7 +80,7 @@ def validated(raw: DataFrame) -> DataFrame:
         F.when(n("over_number") < 0, "negative_over_number"), F.when(n("ball_number") < 0, "negative_ball_number"),
     ]
     legal = F.when((n("is_wide_ball") == 1) | (n("is_no_ball") == 1), 0).otherwise(1)
-    rows = parsed.withColumns({"legal_ball": legal, "errors": F.array_compact(F.array(*errors))})
+    rows = parsed.withColumns({"legal_ball": legal, "errors": F.array_compact(F.array(*errors))}).drop("problem")
     # An earlier row claims its identity, whether it is valid or not.
     known = functools.reduce(lambda a, c: a & F.col(c).isNotNull(), IDENTITY, F.lit(True))
     again = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy("source_row_number")) > 1
