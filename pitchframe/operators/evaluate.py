@@ -31,7 +31,11 @@ def trace(balls: DataFrame, cutoff: int, season: int, decay: float = 1.0) -> Dat
         rows = hierarchical(histories(rows, *READ))
     else:
         rows = hierarchical(decayed_histories(rows, decay, *READ))
-    rows = rows.where(F.col("season_id") == season)
+    return judged(rows.where(F.col("season_id") == season))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """The three base models' probabilities of ``rows`` with the histories READ, ``hierarchical``, a label and a legal phase."""
     phase = [F.when(size(counts("legal_phase")) > 0, c).otherwise(g) for c, g in zip(counts("legal_phase"), counts("global"), strict=True)]
     models = {"global": smoothed(counts("global")), "phase": smoothed(phase), "hierarchical": [F.col(f"hier_{p}") for p in PROBS]}
     probs = [v.alias(f"{m}_{p}") for m, values in models.items() for p, v in zip(PROBS, values, strict=True)]
