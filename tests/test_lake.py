@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from test_ingest import BALL
 
 from pitchframe.functions.expr import overs_notation, timeline_key
@@ -110,3 +111,72 @@ def test_small_columns_and_guards(spark):
     assert evaluate.nested_split(2019, 2020) == (2018, 2019)
     with pytest.raises(ValueError):
         evaluate.nested_split(2020, 2020)
+
+
+def test_the_content_hash_knows_the_order_and_not_the_splits(spark, tmp_path):
+    lines = [f"line {i} {'x' * (i % 50)}" for i in range(3000)]
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    whole = lake.content_hash(spark, str(tmp_path / "a.csv"))
+    found = set()
+    for cut in ("3000", "777", "50000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        found.add(lake.content_hash(spark, str(tmp_path / "a.csv")))
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == {whole}
+    others = {whole}
+    for k, other in enumerate(([*lines[1:], lines[0]], [lines[1], lines[0], *lines[2:]], lines[:-1], [*lines, ""], [*lines[:9], "", *lines[9:]])):
+        (tmp_path / f"b{k}.csv").write_text("\n".join(other) + "\n")
+        others.add(lake.content_hash(spark, str(tmp_path / f"b{k}.csv")))
+    assert len(others) == 6
+    (tmp_path / "none.csv").write_text("")
+    assert lake.content_hash(spark, str(tmp_path / "none.csv")) == "0" * 16
+
+
+def test_equal_contents_with_a_new_time_stamp_are_not_loaded_again(spark, tmp_path):
+    base, path = str(tmp_path / "lake"), tmp_path / "balls.csv"
+    _file(path, {"ball_number": "0"}, {"ball_number": "1"})
+    first = lake.load(spark, str(path), base)
+    os.utime(path, (2_000_000_000, 2_000_000_000))
+    again = lake.load(spark, str(path), base)
+    assert again.skipped and again.version == first.version and lake.table(spark, base, "raw").count() == 2
+    _file(path, {"ball_number": "1"}, {"ball_number": "0"})
+    os.utime(path, (2_000_000_001, 2_000_000_001))
+    assert not lake.load(spark, str(path), base).skipped
+
+
+def _seasons_held(spark, base):
+    return lake.latest_loads(spark, base).first()["seasons"]
+
+
+def test_merges_write_the_seasons_they_touch_and_switch_by_the_manifest(spark, tmp_path):
+    base, path = str(tmp_path / "lake"), tmp_path / "balls.csv"
+    _file(path, *({"season_id": s, "match_id": s, "ball_number": str(i)} for s in ("2019", "2020", "2021") for i in range(3)))
+    first = lake.load(spark, str(path), base)
+    whole = lambda: sorted(tuple(r) for r in lake.table(spark, base, "deliveries").select(*ingest.IDENTITY, "batter", "total_runs").collect())
+    before = whole()
+    # Backfill: new balls of a match, one of them twice, one that is there already, one without a match.
+    new = [(2020, 2020, 1, 0, 2, "Other", 4), (2020, 77, 1, 0, 1, "New", 1), (2020, 77, 1, 0, 1, "Later", 2), (2022, 5, 1, 0, 0, "Next", 0), (2020, None, 1, 0, 0, "Lost", 0)]
+    kinds = "season_id int, match_id long, innings int, over_number int, ball_number int, batter string, total_runs int, weather string, source_row_number long"
+    rows = spark.createDataFrame([(*r, "sun", k) for k, r in enumerate(new)], kinds)
+    got = lake.merge(spark, base, "balls.csv", rows)
+    want = sorted([*before, (2020, 77, 1, 0, 1, "New", 1), (2022, 5, 1, 0, 0, "Next", 0)])
+    assert whole() == want and got.n_accepted == 11 and lake.table(spark, base, "raw").count() == 9
+    held = _seasons_held(spark, base)
+    assert held == {2019: first.version, 2021: first.version, 2020: got.version, 2022: got.version}
+    assert sorted(p for p in os.listdir(f"{base}/versions/{got.version}/deliveries") if p.startswith("season")) == ["season_id=2020", "season_id=2022"]
+    # Done again, the table is the same and no season is written.
+    again = lake.merge(spark, base, "balls.csv", rows)
+    assert whole() == want and again.n_accepted == 11 and _seasons_held(spark, base) == held
+    # Replace: the rows that are there give way, of equal ones the last counts.
+    lake.merge(spark, base, "balls.csv", rows, replace=True)
+    want = sorted([r for r in want if r[:5] not in {n[:5] for n in new}] + [new[0], new[2], new[3]])
+    assert whole() == want and _seasons_held(spark, base)[2019] == first.version
+    # A merge that fails leaves the last version.
+    with pytest.raises(Exception, match="[Dd]ivi"):
+        lake.merge(spark, base, "balls.csv", rows.withColumn("total_runs", F.expr("1 div (ball_number - ball_number)")))
+    assert whole() == want and lake.status(spark, base).first().last_status == "failed"
+    assert lake.load(spark, str(path), base).skipped  # the file itself has not changed
+    with pytest.raises(ValueError, match="0 sources"):
+        lake.merge(spark, base, "none.csv", rows)
