@@ -2,8 +2,8 @@
 
 Balls are numbered in chronological order over the whole game. A key's balls inside a unit (an innings, or a part of one short
 enough for the powers) take a running sum; totals of (key, unit) are carried on by a second running sum inside blocks of steps, and
-totals of (key, block) to the few blocks after which they weigh under 1e-15. So no window holds a key's whole history unless
-nothing decays, no power overflows, and the result does not depend on where units and blocks are cut.
+totals of (key, block) to the few blocks after which they weigh under 1e-15. So no window holds a key's whole history,
+no power overflows, and the result does not depend on where units and blocks are cut.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import COUNTS
 from .evidence import CONTEXTS, _known
+from .scan import exclusive, ranged
 from .state import BALL, BEFORE, INNINGS
 
 FORGOTTEN = 1e-15  #: a total that weighs less is dropped
@@ -23,10 +24,9 @@ REACH = 16  #: blocks that a total is carried over, about
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with step: how many balls were bowled before, over two levels of counts."""
-    sizes = rows.groupBy(*INNINGS).agg(F.count("*").alias("n_balls"))
-    before = Window.orderBy(*INNINGS).rowsBetween(*BEFORE)  # a row for each innings
-    starts = sizes.select(*INNINGS, F.coalesce(F.sum("n_balls").over(before), F.lit(0)).alias("first_step"))
+    """``rows`` with step: how many balls were bowled before, over ranges of matches."""
+    sizes = ranged(rows.groupBy(*INNINGS).agg(F.count("*").alias("first_step")))
+    starts = exclusive(sizes, [], ["first_step"], ("match_id", "innings")).select(*INNINGS, "first_step")
     inside = Window.partitionBy(*INNINGS).orderBy(*BALL)
     return rows.join(starts, list(INNINGS)).withColumn("step", F.col("first_step") + F.row_number().over(inside) - 1)
 
@@ -61,12 +61,13 @@ def _earlier(totals: DataFrame, at: list[str], decay: float) -> DataFrame:
     """Of each (unit, key): earlier_* counts of the key's earlier units, brought to the unit's first step."""
     place, block, rate = [*INNINGS, "unit"], _cuts(decay)[1], -math.log(decay)
     totals = totals.groupBy(*place, *at, "unit_start").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    if block == 1 << 60:  # nothing decays: plain sums over ranges of matches
+        found = exclusive(ranged(totals), at, list(COUNTS), ("match_id", "innings", "unit"))
+        return found.select(*place, *at, *(F.col(c).alias(f"earlier_{c}") for c in COUNTS))
     totals = totals.withColumn("block", F.floor(F.col("unit_start") / block)).withColumn("ahead", F.col("unit_start") - F.col("block") * block)
     before = Window.partitionBy(*at, "block").orderBy("unit_start").rowsBetween(*BEFORE)
     near = [F.coalesce(F.sum(F.col(c) * _power(decay, -F.col("ahead"))).over(before), F.lit(0.0)) * _power(decay, F.col("ahead")) for c in COUNTS]
     found = totals.select(*place, *at, "block", "ahead", *(x.alias(f"earlier_{c}") for x, c in zip(near, COUNTS, strict=True)))
-    if block == 1 << 60:
-        return found.drop("block", "ahead")
     reach = math.ceil(math.log(1 / FORGOTTEN * 1e3 * block) / (rate * block)) + 1
     sums = totals.groupBy(*at, "block").agg(*(F.sum(F.col(c) * _power(decay, block - F.col("ahead"))).alias(c) for c in COUNTS))
     on = sums.select(*at, "block", *COUNTS, F.explode(F.sequence(F.lit(0), F.lit(reach - 1))).alias("later"))

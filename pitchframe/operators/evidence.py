@@ -1,7 +1,7 @@
 """Leak-free histories: what was known strictly before each ball, for all balls at once.
 
-A history is an exclusive running sum in chronological order. As a key may have a large share of all balls, sums take two
-levels: totals of each (key, innings) are summed over earlier innings, a small table, and added to the running sum inside the innings.
+A history is an exclusive running sum in chronological order. As a key may have a large share of all balls, sums take ranges
+(``scan``): totals of each key and block of matches are summed over earlier blocks, a small table, and added to the running sum inside the block.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import COUNTS, LABELS, conceded, outcome, phase_legal, phase_over, ratio
+from . import scan
 from .state import BALL, BEFORE, INNINGS, with_state
 
 CHRONOLOGY = (*INNINGS, *BALL)
@@ -51,42 +52,44 @@ def _known(keys: tuple[str, ...]) -> Column:
 
 
 def earlier_totals(rows: DataFrame, *contexts: str) -> DataFrame:
-    """INNINGS, context, key_0, key_1 and the seven counts of that key of the context in all earlier innings.
+    """RANGE, context, key_0, key_1 and the seven counts of that key of the context in all earlier blocks.
 
-    One pass: each ball counts once for each context, partly summed before the shuffle; keys are text, '' where there is none.
+    One pass over ``rows`` (``ranged``): each ball counts once for each context, partly summed before the shuffle; keys are text, '' where
+    there is none.
     """
     pairs = []
     for name in contexts:
         keys = [F.col(k).cast("string") for k in CONTEXTS[name]] + [F.lit("")] * (2 - len(CONTEXTS[name]))
         pairs.append(F.struct(F.lit(name).alias("context"), *(k.alias(f"key_{i}") for i, k in enumerate(keys))))
-    every = rows.select(*INNINGS, *COUNTS, F.explode(F.array(*pairs)).alias("k")).select(*INNINGS, *COUNTS, "k.*")
-    totals = every.where("key_0 IS NOT NULL AND key_1 IS NOT NULL").groupBy(*INNINGS, "context", "key_0", "key_1").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    before = Window.partitionBy("context", "key_0", "key_1").orderBy(*INNINGS).rowsBetween(*BEFORE)  # a row for each innings of a key
-    return totals.select(*INNINGS, "context", "key_0", "key_1", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in COUNTS))
+    every = rows.select(*scan.RANGE, *COUNTS, F.explode(F.array(*pairs)).alias("k")).select(*scan.RANGE, *COUNTS, "k.*")
+    by = ["context", "key_0", "key_1"]
+    totals = every.where("key_0 IS NOT NULL AND key_1 IS NOT NULL").groupBy(*scan.RANGE, *by).agg(*(F.sum(c).alias(c) for c in COUNTS))
+    return scan.exclusive(totals, by, list(COUNTS))
 
 
 def histories(rows: DataFrame, *contexts: str) -> DataFrame:
     """``rows`` with the seven counts of each of ``contexts`` before each ball, named by the context and the label.
 
-    What a key has from earlier innings is put in front of the innings as a row of its own, so that one exchange by innings serves
-    the running sums of all contexts, and no window holds more than an innings.
+    What a key has from earlier blocks is put in front of the block as a row of its own, so that one exchange by blocks serves
+    the running sums of all contexts, and no window holds more than a block of matches.
     """
+    kept, rows = rows.columns, scan.ranged(rows)
     carried = earlier_totals(rows, *contexts)
-    kinds = dict(rows.dtypes)
-    values = {c: F.lit(None).cast(kinds[c]).alias(c) for c in rows.columns} | {c: F.col(c) for c in (*INNINGS, *COUNTS)}
-    for key in dict.fromkeys(k for c in contexts for k in CONTEXTS[c] if k not in INNINGS):
+    kinds, place = dict(rows.dtypes), scan.RANGE
+    values = {c: F.lit(None).cast(kinds[c]).alias(c) for c in rows.columns} | {c: F.col(c) for c in (*place, *COUNTS)}
+    for key in dict.fromkeys(k for c in contexts for k in CONTEXTS[c] if k not in place):
         places = [(c, CONTEXTS[c].index(key)) for c in contexts if key in CONTEXTS[c]]
         text = reduce(lambda out, x: out.when(F.col("context") == x[0], F.col(f"key_{x[1]}")), places[1:], F.when(F.col("context") == places[0][0], F.col(f"key_{places[0][1]}")))
         values[key] = text.cast(kinds[key]).alias(key)
     both = rows.withColumn("context", F.lit(None).cast("string")).unionByName(carried.select(*values.values(), "context"))
-    both = both.repartition(*INNINGS)
+    both = both.repartition(*place)
     for name in contexts:
-        keys, at = CONTEXTS[name], [k for k in CONTEXTS[name] if k not in INNINGS]
-        w = Window.partitionBy(*INNINGS, *at).orderBy(*(F.asc_nulls_first(c) for c in BALL)).rowsBetween(*BEFORE)
+        keys, at = CONTEXTS[name], [k for k in CONTEXTS[name] if k not in place]
+        w = Window.partitionBy(*place, *at).orderBy(*(F.asc_nulls_first(c) for c in ("match_id", "innings", *BALL))).rowsBetween(*BEFORE)
         mine = F.col("context").isNull() | (F.col("context") == name)
         sums = [F.coalesce(F.sum(F.when(mine, F.col(c))).over(w), F.lit(0)) for c in COUNTS]
         both = both.select("*", *(F.when(_known(keys), x).otherwise(0).cast("bigint").alias(f"{name}_{c}") for x, c in zip(sums, COUNTS, strict=True)))
-    return both.where("context IS NULL").drop("context")
+    return both.where("context IS NULL").select(*kept, *(f"{name}_{c}" for name in contexts for c in COUNTS))
 
 
 def asof(balls: DataFrame, context: str) -> DataFrame:
@@ -96,28 +99,15 @@ def asof(balls: DataFrame, context: str) -> DataFrame:
 
 
 def batter_history(balls: DataFrame) -> DataFrame:
-    w = Window.partitionBy("batter").orderBy(*CHRONOLOGY).rowsBetween(*BEFORE)
-
-    def s(c, name):
-        return F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint").alias(name)
-
-    rows = balls.select(
-        *CHRONOLOGY, "batter", s(F.col("batter_runs"), "career_runs"), s(1 - F.col("is_wide_ball"), "career_balls"),
-        s(F.when(F.col("player_out") == F.col("batter"), 1).otherwise(0), "career_outs"),
-    )
+    out = F.when(F.col("player_out") == F.col("batter"), 1).otherwise(0)
+    sums = {"career_runs": F.col("batter_runs"), "career_balls": 1 - F.col("is_wide_ball"), "career_outs": out}
+    rows = scan.running(balls, ["batter"], CHRONOLOGY, sums).select(*CHRONOLOGY, "batter", *sums)
     return rows.withColumn("career_rate", ratio("career_runs", "career_balls", 100))
 
 
 def bowler_history(balls: DataFrame) -> DataFrame:
-    w = Window.partitionBy("bowler").orderBy(*CHRONOLOGY).rowsBetween(*BEFORE)
-
-    def s(c, name):
-        return F.coalesce(F.sum(c).over(w), F.lit(0)).cast("bigint").alias(name)
-
-    rows = balls.select(
-        *CHRONOLOGY, "bowler", s(conceded(), "career_conceded"), s(F.col("legal_ball"), "career_balls"),
-        s(F.col("is_wicket"), "career_wickets"),
-    )
+    sums = {"career_conceded": conceded(), "career_balls": F.col("legal_ball"), "career_wickets": F.col("is_wicket")}
+    rows = scan.running(balls, ["bowler"], CHRONOLOGY, sums).select(*CHRONOLOGY, "bowler", *sums)
     return rows.withColumn("career_economy", ratio("career_conceded", "career_balls", 6))
 
 
