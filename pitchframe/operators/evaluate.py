@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -104,19 +105,40 @@ def weight_grid(spark: SparkSession, step: float) -> DataFrame:
 
 
 def tune(rows: DataFrame, step: float = 0.1) -> DataFrame:
-    """Mean log loss and Brier score of every weighting of the base models over the trace: a small grid beside every row.
+    """Mean log loss and Brier score of every weighting of the base models over the trace.
 
-    The grid is a constant of (1/step + 1)(1/step + 2)/2 rows, packed in an array, so the trace is read once and not joined.
+    The grid has (1/step + 1)(1/step + 2)/2 weightings. A task adds up an array of each score, an element for each weighting, over its rows, and
+    gives one row; so the trace is read once, and no row is copied for a weighting. Weights sum to one, so the Brier scores of all
+    weightings come from one sum of products of the models' errors.
     """
     units = round(1 / step)
     grid = [(i / units, j / units, (units - i - j) / units) for i in range(units + 1) for j in range(units + 1 - i)]
-    literal = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(w, ("w_global", "w_phase", "w_hierarchical"), strict=True))) for w in grid))
-    every = rows.select("actual", *(f"{m}_{p}" for m in MODELS for p in PROBS), F.explode(literal).alias("w")).select("*", "w.*")
-    mixed = [size([F.col(f"w_{m}") * F.col(f"{m}_{p}") for m in MODELS]) for p in PROBS]
-    got = scored(mixed)
-    return every.groupBy("w_global", "w_phase", "w_hierarchical").agg(
-        rounded(F.avg(got["log_loss"])).alias("log_loss"), rounded(F.avg(got["brier"])).alias("brier")
-    )
+
+    def summed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        weights, n = np.array(grid).T, 0
+        loss, errors = np.zeros(len(grid)), np.zeros((len(MODELS), len(MODELS)))
+        for batch in batches:
+            for part in (batch.slice(lo, 4096) for lo in range(0, batch.num_rows, 4096)):
+                p = np.stack([part.column(f"{m}_{x}").to_numpy() for m in MODELS for x in PROBS], axis=1).reshape(-1, len(MODELS), len(PROBS))
+                at = np.arange(len(p)), slice(None), np.array([LABELS.index(x) for x in part.column("actual").to_pylist()], np.int64)
+                loss -= np.log(np.maximum(p[at] @ weights, SMALLEST)).sum(axis=0)
+                e = p.copy()
+                e[at] -= 1.0
+                errors += np.einsum("nil,njl->ij", e, e)
+                n += len(p)
+        brier = np.einsum("ig,ij,jg->g", weights, errors, weights) / len(LABELS)
+        kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((n, loss, brier), kinds, strict=True)], ["n", "loss", "brier"])
+
+    sums = rows.select("actual", *(f"{m}_{p}" for m in MODELS for p in PROBS)).mapInArrow(summed, "n long, loss array<double>, brier array<double>")
+    each = sums.where("n > 0").select("n", F.posexplode(F.arrays_zip("loss", "brier")).alias("i", "s"))  # a row for each task and weighting
+    got = each.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s.loss").alias("loss"), F.sum("s.brier").alias("brier"))
+    w = F.get(F.array(*(F.struct(*(F.lit(v).alias(f"w_{m}") for v, m in zip(x, MODELS, strict=True))) for x in grid)), F.col("i"))
+    scores = (rounded(F.col(c) / F.col("n")).alias(name) for c, name in (("loss", "log_loss"), ("brier", "brier")))
+    return got.select(w.alias("w"), *scores).select("w.*", "log_loss", "brier")
 
 
 def best_weights(tuned: DataFrame) -> DataFrame:

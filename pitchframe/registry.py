@@ -15,6 +15,7 @@ from .operators import matches as M
 from .operators import models as P
 from .operators import state as S
 from .operators import trust as T
+from .sources import ingest
 from .sources.adapter import DELIVERIES_SQL, META_SQL, deliveries, match_meta
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +121,7 @@ for _board, _from, _value, _order in (
     query(f"q_lb_{_board}", lambda b, k=_board: A.leaderboards(b, SEASON)[k], f"SELECT * FROM ({_from}) ORDER BY value {_order}, player LIMIT 10")
 QUALITY = "SELECT season_id, count(DISTINCT match_id) AS matches, count(*) AS deliveries, count(*) FILTER (batter_runs = 4) AS fours, count(*) FILTER (batter_runs = 6) AS sixes, ISUM(is_wicket) AS wickets, count(*) FILTER (legal_ball = 1 AND total_runs = 0) AS dots, count(*) FILTER (legal_ball = 1 AND batter_runs = 0) AS batter_dots FROM balls GROUP BY 1"
 query("q_season_quality", A.season_quality, QUALITY)
+query("q_nested_quality", lambda b: ingest.nested_quality(ingest.nested(b)), QUALITY)
 query("q_malformed", A.malformed, "SELECT season_id, count(*) FILTER (batter_runs + extras <> total_runs OR trim(batter) = '' OR trim(bowler) = '') AS malformed, count(*) AS deliveries FROM balls GROUP BY 1")
 query("q_dot_gap_forensics", A.dot_gap, "SELECT concat_ws('+', CASE WHEN is_bye = 1 THEN 'bye' END, CASE WHEN is_leg_bye = 1 THEN 'leg_bye' END) AS kinds, total_runs, is_super_over, count(*) AS n FROM balls WHERE legal_ball = 1 AND batter_runs = 0 AND total_runs > 0 GROUP BY ALL")
 query("q_median_delivery", lambda b: A.median_delivery(b, SEASON, H.CHRONOLOGY), f"SELECT {BALL}, batter, bowler, total_runs FROM (SELECT *, row_number() OVER (ORDER BY {BALL}) - 1 AS k, count(*) OVER () AS n FROM balls WHERE season_id = {SEASON}) WHERE k = n // 2")

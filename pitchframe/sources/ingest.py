@@ -203,3 +203,45 @@ def named_teams(balls: DataFrame, codes: DataFrame) -> DataFrame:
     """``balls`` with batting_name: the side's name by match and code, the code itself where there is none."""
     names = codes.select("match_id", F.col("code").alias("team_batting"), "team")
     return balls.join(names, ["match_id", "team_batting"], "left").withColumn("batting_name", F.coalesce("team", "team_batting")).drop("team")
+
+
+def nested(balls: DataFrame) -> DataFrame:
+    """Match records (``MATCH_JSON``, with match_id and its season as text) made of deliveries: innings, overs and balls in order."""
+    extras = F.struct(*(F.col(c).cast("int").alias(n) for c, n in (("wide_ball_runs", "wides"), ("no_ball_runs", "noballs"), ("leg_bye_runs", "legbyes"), ("bye_runs", "byes"), ("penalty_runs", "penalty"))))
+    runs = F.struct(F.col("batter_runs").cast("int").alias("batter"), F.col("extras").cast("int").alias("extras"), F.col("total_runs").cast("int").alias("total"))
+    fielders = F.transform(F.split("fielders_involved", ", "), lambda f: F.struct(f.alias("name")))
+    wicket = F.when(F.col("is_wicket") == 1, F.array(F.struct("player_out", F.col("wicket_kind").alias("kind"), fielders.alias("fielders"))))
+    ball = F.struct("ball_number", "source_row_number", F.struct("batter", "bowler", "non_striker", runs.alias("runs"), extras.alias("extras"), wicket.alias("wickets")).alias("d"))
+    place = ["season_id", "match_id", "innings", "team_batting", "is_super_over"]
+    in_order = lambda rows, field: F.transform(F.sort_array(F.collect_list(rows)), lambda x: x[field])
+    overs = balls.groupBy(*place, "over_number").agg(in_order(ball, "d").alias("deliveries"))  # a match at most, at each step
+    over = F.struct("over_number", F.struct(F.col("over_number").alias("over"), "deliveries").alias("o"))
+    innings = overs.groupBy(*place).agg(in_order(over, "o").alias("overs"))
+    one = F.struct("innings", F.struct(F.col("team_batting").alias("team"), (F.col("is_super_over") == 1).alias("super_over"), "overs").alias("i"))
+    found = innings.groupBy("season_id", "match_id").agg(in_order(one, "i").alias("innings"))
+    return found.select("match_id", F.struct(F.col("season_id").cast("string").alias("season")).alias("info"), "innings")
+
+
+def nested_quality(matches: DataFrame) -> DataFrame:
+    """By season of nested records, without a row for a ball: matches, balls, fours, sixes, wickets and dots, as ``season_quality`` has them.
+
+    A fold goes through a record's innings, overs and balls and carries the counts along; records are summed by season. Missing or
+    null lists hold nothing; a record without a season is left out.
+    """
+    names = ("deliveries", "fours", "sixes", "wickets", "dots", "batter_dots")
+
+    def add(n: Column, d: Column) -> Column:
+        runs = lambda c: F.coalesce(d["runs"][c], F.lit(0))
+        legal = (F.coalesce(d["extras"]["wides"], F.lit(0)) == 0) & (F.coalesce(d["extras"]["noballs"], F.lit(0)) == 0)
+        out = F.coalesce(F.size(d["wickets"]) > 0, F.lit(False))
+        tests = (F.lit(True), runs("batter") == 4, runs("batter") == 6, out, legal & (runs("total") == 0), legal & (runs("batter") == 0))
+        return F.struct(*((n[c] + F.when(t, 1).otherwise(0)).alias(c) for c, t in zip(names, tests, strict=True)))
+
+    def fold(rows: Column, n: Column, step) -> Column:
+        return F.coalesce(F.aggregate(rows, n, step), n)
+
+    zero = F.struct(*(F.lit(0).alias(c) for c in names))
+    counted = fold(F.col("innings"), zero, lambda n, i: fold(i["overs"], n, lambda m, o: fold(o["deliveries"], m, add)))
+    rows = matches.select(season_of(F.col("info.season")).alias("season_id"), "match_id", counted.alias("n")).where("season_id IS NOT NULL")
+    sums = (F.sum(f"n.{c}").cast("bigint").alias(c) for c in names)
+    return rows.groupBy("season_id").agg(F.countDistinct("match_id").alias("matches"), *sums)

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from pitchframe.functions.expr import COUNTS
-from pitchframe.operators import evidence
+from pitchframe.operators import aggregates, evidence
 from pitchframe.sources import ingest
 from pitchframe.sources.adapter import deliveries
 from pitchframe.streaming import events
@@ -72,3 +72,16 @@ def test_streamed_windows_equal_static(spark, tmp_path):
     query = events.hourly(stream).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("hours").count() == events.hourly(static).count()
+
+
+def test_nested_records_give_the_deliveries_again_and_their_counts(spark):
+    balls = deliveries(spark, "/root/testdata/sf0.001").where("season_id < 1998")
+    matches = ingest.nested(balls)
+    same = ["season_id", "match_id", "team_batting", "over_number", "batter", "bowler", "batter_runs", "extras", "total_runs", "wide_ball_runs", "player_out", "wicket_kind", "is_wicket"]
+    a, b = ingest.flattened(matches).select(*same), balls.select(*same)
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 < b.count()
+    a, b = ingest.nested_quality(matches), aggregates.season_quality(balls)
+    assert {tuple(r) for r in a.select(*b.columns).collect()} == {tuple(r) for r in b.collect()}
+    odd = [(1, '{"info": {"season": "2020/21"}}'), (2, '{"info": {"season": "2020"}, "innings": [{"overs": null}, null, {"overs": [{"deliveries": [{}, {"runs": {"batter": 4}, "extras": {"wides": 1}, "wickets": []}]}]}]}'), (3, '{"innings": []}')]
+    rows = spark.createDataFrame(odd, "match_id long, j string").selectExpr("match_id", f"from_json(j, '{ingest.MATCH_JSON}') AS m").select("match_id", "m.*")
+    assert [tuple(r) for r in ingest.nested_quality(rows).collect()] == [(2020, 2, 2, 1, 0, 0, 1, 1)]
