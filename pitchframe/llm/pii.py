@@ -7,12 +7,16 @@ format alone, so equal values have equal pseudonyms in all documents, and withou
 
 Defined results: null text stays null; empty text stays empty; text without findings is returned as it is; repeated
 rows get equal results; an empty table gives no rows; other columns are kept as they are unless ``keep`` says less.
-The permutation is one to one within a format, so two values never share a pseudonym; like any permutation drawn at random
-it leaves about one value of each format as it is. Letters outside ASCII have no place in a format and are mapped to ASCII ones.
+The permutation is one to one within a format, so two values never share a pseudonym: values that pass a check (national numbers, cards,
+dates by how they can be read) are permuted among themselves, and those that fail among theirs. Like any permutation drawn at random
+it leaves about one value of each format as it is. One date written with and without zeros is one value. Letters and digits outside ASCII
+have no place in a format and are mapped to ASCII ones. A very long text is one row in memory and is searched whole; very long values are
+permuted in pieces. Where two kinds fit, the first of ``_PATTERNS`` counts. Dates with years of two digits are not looked for.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import re
 import secrets
@@ -26,7 +30,7 @@ from .shared import table
 
 ROUNDS = 8
 LONGEST = 64  #: characters permuted together; longer values are permuted in pieces chained by their tweaks
-KEY = "pitchframe.pii.key"  #: the session's setting
+KEY = "pitchframe.pii.secret"  #: the session's setting, by a name that Spark keeps out of its logs and pages
 
 _PATTERNS = {
     "assigned": r"(?i:(?<![\w])(?:api[_-]?key|access[_-]?key|auth|bearer|credential|passwd|password|private[_-]?key|pwd|secret|token))"
@@ -34,8 +38,11 @@ _PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
     "hexadecimal": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "secret": r"(?<![\w])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|rk|ghp|gho|glpat|xox[abprs])[-_][A-Za-z0-9_\-]{16,}|AIza[\w\-]{35})(?![\w])",
+    "pem": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<body>[A-Za-z0-9+/=\s]{16,}?)-----END",
+    "signed": r"(?<![\w.-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "short6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])",
     "mac": r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])",
     "address4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d/.-])(?:\d{4}(?P<by1>[-/.])\d{1,2}(?P=by1)\d{1,2}|\d{1,2}(?P<by2>[-/.])\d{1,2}(?P=by2)\d{4})(?![\d/-]|\.\d)",
@@ -47,7 +54,7 @@ _PATTERNS = {
 _FINDER = None
 #: In every text with a value of any kind: most kinds need one of the first characters, the others are spelled out.
 _HINT = re.compile(
-    r"[\d@=:]|AKIA|ASIA|AIza|(?:sk|pk|rk|ghp|gho|glpat|xox[abprs])[-_]|[a-f]{32}|[A-F]{32}|[A-Fa-f]{2}-[A-Fa-f]{2}-"
+    r"[\d@=:]|eyJ|-----BEGIN |AKIA|ASIA|AIza|(?:sk|pk|rk|ghp|gho|glpat|xox[abprs])[-_]|[a-f]{32}|[A-F]{32}|[A-Fa-f]{2}-[A-Fa-f]{2}-"
 )
 #: Characters of an IBAN by country.
 _IBAN_LENGTHS = {
@@ -166,7 +173,11 @@ def iban_check(country: str, account: str) -> str:
 def _card(p: Pseudonyms, text: str) -> str:
     digits = "".join(c for c in text if c.isdigit())
     if luhn(digits[:-1]) != int(digits[-1]):
-        return p.digits(text, "account")
+        new = p.digits(digits, "account")
+        while luhn(new[:-1]) == int(new[-1]):  # on to the next that is no card either
+            new = p.digits(new, "account")
+        new = iter(new)
+        return "".join(next(new) if c.isdigit() else c for c in text)
     new = p.digits(digits[:-1], "card", 1)
     new = iter(new + str(luhn(new)))
     return "".join(next(new) if c.isdigit() else c for c in text)
@@ -191,25 +202,37 @@ def _iban(p: Pseudonyms, text: str) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+def _month_first(day: datetime.date) -> int:
+    """Of the dates from the epoch that are behind the twelfth of their month, how many come before ``day``, which is one."""
+    return day.toordinal() - _EPOCH - 12 * (12 * (day.year - 1900) + day.month)
+
+
+def _month_first_date(number: int) -> datetime.date:
+    at = bisect.bisect_right(range(12 * 200), number, key=lambda m: _month_first(datetime.date(1900 + m // 12, m % 12 + 1, 13))) - 1
+    first = datetime.date(1900 + at // 12, at % 12 + 1, 13)
+    return first + datetime.timedelta(days=number - _month_first(first))
+
+
 def _date(p: Pseudonyms, text: str) -> str | None:
+    """Dates with the year or the day in front are permuted together, so that one date has one pseudonym however it is written. Dates that only
+    make sense with the month in front, as the day is behind the twelfth, are permuted among themselves."""
     parts, by = re.split(r"[-/.]", text), re.search(r"[-/.]", text)[0]
     year_first = len(parts[0]) == 4
     year, a, b = int(parts[0 if year_first else 2]), int(parts[1 if year_first else 0]), int(parts[2 if year_first else 1])
-    orders = [(a, b)] if year_first else [(b, a), (a, b)]  # (month, day): day first, unless only the other is a date
-    for month_at, (month, day) in enumerate(orders):
+    padded = all(len(x) > 1 for x in parts)
+    show = (lambda x: f"{x:02d}") if padded else str
+    if not 1900 <= year <= 2099:
+        return None
+    for month, day, ours in [(a, b, True)] if year_first else [(b, a, True), (a, b, False)]:
         try:
-            number = datetime.date(year, month, day).toordinal() - _EPOCH
+            date = datetime.date(year, month, day)
         except ValueError:
             continue
-        if not 0 <= number < _DAYS:
-            continue
-        new = datetime.date.fromordinal(_EPOCH + p.permuted(number, _DAYS, "date"))
-        padded = all(len(x) > 1 for x in parts)
-        show = (lambda x: f"{x:02d}") if padded else str
-        if year_first:
-            return by.join([f"{new.year}", show(new.month), show(new.day)])
-        first, second = (new.day, new.month) if month_at == 0 else (new.month, new.day)
-        return by.join([show(first), show(second), f"{new.year}"])
+        if ours:
+            new = datetime.date.fromordinal(_EPOCH + p.permuted(date.toordinal() - _EPOCH, _DAYS, "date"))
+            return by.join([f"{new.year}", show(new.month), show(new.day)] if year_first else [show(new.day), show(new.month), f"{new.year}"])
+        new = _month_first_date(p.permuted(_month_first(date), _DAYS - 12 * 12 * 200, "month first"))
+        return by.join([show(new.month), show(new.day), f"{new.year}"])
     return None
 
 
@@ -230,11 +253,19 @@ def _email(p: Pseudonyms, text: str) -> str:
 def _national(p: Pseudonyms, text: str) -> str:
     valid = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
     new = p.digits(text, "national")
-    while valid.fullmatch(text) and not valid.fullmatch(new):
+    while bool(valid.fullmatch(text)) != bool(valid.fullmatch(new)):
         new = p.digits(new, "national")
     return new
 
 
+def _short6(p: Pseudonyms, text: str) -> str | None:
+    """Short forms of an address: at most seven groups, one of them long and with a digit, unlike names joined by colons."""
+    groups = [g for g in text.split(":") if g]
+    if len(groups) > 7 or text.count("::") != 1 or not any(len(g) > 2 and re.search(r"\d", g) for g in groups):
+        return None
+    return p.characters(text, "hexadecimal", True)
+
+
 def _phone(p: Pseudonyms, text: str) -> str | None:
     digits = [c for c in text if c.isdigit()]
     if not 7 <= len(digits) <= 15:
@@ -259,6 +290,8 @@ def pseudonym(p: Pseudonyms, kind: str, text: str) -> str | None:
         return _national(p, text)
     if kind == "phone":
         return _phone(p, text)
+    if kind == "short6":
+        return _short6(p, text)
     if kind == "number":
         return p.digits(text, "number")
     hexadecimal = kind in ("hexadecimal", "mac", "address6") or bool(re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", text))
@@ -273,7 +306,7 @@ def pseudonymised(p: Pseudonyms, text: str, known: dict[tuple[str, str], str | N
     find = _finder().search
     while m := find(text, at):
         kind = next(k for k in _PATTERNS if m[k] is not None)
-        start, end = m.span("value" if kind == "assigned" else kind)
+        start, end = m.span({"assigned": "value", "pem": "body"}.get(kind, kind))
         if kind == "iban":  # the pattern may take in a word that follows
             end = start + len(valid_iban(text[start:end]) or text[start:end])
         value = text[start:end]
