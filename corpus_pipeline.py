@@ -20,6 +20,7 @@ from pitchframe.llm.shared import free_name, table, written
 #: Documents below this chance of being of good quality go.
 LEAST_QUALITY = 0.3
 NO_ID = 1 << 63  #: in place of a null doc_id: behind all others
+DIGESTS = 10**18
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,8 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     doc_id, null after all others, and of the smallest digest among equal ids. Rows equal in both are copies, of which one stays."""
     own, mark = (free_name(docs, c) for c in ("identity", "mark"))
     # Ids and, behind them, eighteen digits of the text's digest, as one number, which is aggregated in place.
-    number = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(NO_ID).cast("decimal(19,0)")) * F.lit(10**18).cast("decimal(19,0)")
-    rows = docs.withColumn(own, (number + F.pmod(F.xxhash64("text"), F.lit(10**18)).cast("decimal(18,0)")).cast("decimal(38,0)"))
+    number = F.expr(f"coalesce(cast(doc_id AS decimal(19, 0)), {NO_ID}BD) * {DIGESTS}BD + pmod(xxhash64(text), {DIGESTS}L)")
+    rows = docs.withColumn(own, number.cast("decimal(38, 0)"))
     found = simhash.similar_documents(rows.select(F.col(own).alias("doc_id"), "text"), similarity=0.8, shingle=5)
     held = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("first"))
     # Only rows that go, or that are there several times, have a mark; all others pass without a second look.
