@@ -14,7 +14,7 @@ import re
 
 MAX_CHUNK = 64
 TOGETHER = 250  #: chunks encoded as one text
-TEXTS, CHARACTERS = 10_000, 8_000_000  #: texts split at once, at most (a longer one alone)
+TEXTS, CHARACTERS = 2_000, 2_000_000  #: texts split at once, at most (a longer one alone)
 WORD_END = "</w>"
 ENDS = ".,;:!?"  #: signs that may end a word's chunk
 _SPACE, _DOUBLE_SPACE = re.compile(r"\s"), re.compile(r"\s\s")
@@ -39,7 +39,7 @@ class WordEncoder:
     Otherwise the vocabulary is one of lower case, white space only separates words, and a word's ids end with its word end.
     """
 
-    def __init__(self, path: str, spaced: bool, max_words: int = 640_000):
+    def __init__(self, path: str, spaced: bool, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -170,7 +170,7 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, spaced: bool, max_words: int = 640_000) -> WordEncoder:
+def encoder(path: str, spaced: bool, max_words: int = 400_000) -> WordEncoder:
     """The worker's encoder of this vocabulary: a reused Python worker keeps its cache between tasks."""
     key = (path, spaced, max_words)
     if key not in _LAST:
