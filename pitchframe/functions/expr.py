@@ -87,7 +87,7 @@ def tier(value: str | Column, steps: list[tuple[float, str]], rest: str) -> Colu
 
 
 # Thresholds of the evidence labels.
-EVIDENCE_TIER = ([(120, "strong"), (40, "moderate"), (12, "limited")], "sparse")
+EVIDENCE_TIER = ([(120, "high"), (40, "medium"), (12, "low")], "small")
 RELIABILITY = ([(180, "high"), (60, "medium"), (20, "low")], "very_low")
 FEATURE_STRENGTH = ([(1200, "high"), (250, "medium"), (40, "low")], "very_low")
 VENUE_TIER = ([(2500, "high"), (600, "medium"), (120, "low")], "very_low")

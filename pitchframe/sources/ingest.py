@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import timeline_key
 from . import records
 
 # The columns of the file by kind, in the order in which their errors are reported.
@@ -89,7 +90,8 @@ def validated(raw: DataFrame) -> DataFrame:
 
 
 def accepted(rows: DataFrame) -> DataFrame:
-    return rows.where(F.size("errors") == 0).drop("errors", "raw")
+    """Rows without errors, with ``timeline_key``, whose order as text is the order of play."""
+    return rows.where(F.size("errors") == 0).drop("errors", "raw").withColumn("timeline_key", timeline_key())
 
 
 def rejected(rows: DataFrame) -> DataFrame:

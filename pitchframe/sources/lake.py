@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import timeline_key
 from . import ingest, records
 
 TABLES = ("raw", "rejects", "deliveries")
@@ -26,7 +27,7 @@ MANIFEST = (
 )
 #: Of a load's tables; a merged version's deliveries too.
 DELIVERIES = ", ".join(
-    [f"{c} int" for c in (*ingest.INTEGERS, *ingest.BOOLEANS)] + [f"{c} string" for c in ingest.TEXTS] + ["source_row_number long", "legal_ball int"]
+    [f"{c} int" for c in (*ingest.INTEGERS, *ingest.BOOLEANS)] + [f"{c} string" for c in ingest.TEXTS] + ["source_row_number long", "legal_ball int", "timeline_key string"]
 )
 MODULUS, BASE = (1 << 61) - 1, 1_000_003  #: of the hash of lines
 
@@ -184,7 +185,7 @@ def merge(spark: SparkSession, base: str, source: str, rows: DataFrame, replace:
     try:
         kinds = {f.split()[0]: f.split()[1] for f in DELIVERIES.split(", ")}
         new = rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
-        new = new.where(reduce(lambda a, c: a & F.col(c).isNotNull(), ingest.IDENTITY, F.lit(True)))
+        new = new.where(reduce(lambda a, c: a & F.col(c).isNotNull(), ingest.IDENTITY, F.lit(True))).withColumn("timeline_key", timeline_key())
         pick = F.max if replace else F.min
         order = [F.coalesce("source_row_number", F.lit(-1)).alias("_at"), *(F.col(c) for c in kinds if c not in ingest.IDENTITY)]
         new = new.groupBy(*ingest.IDENTITY).agg(pick(F.struct(*order)).alias("x")).select(*ingest.IDENTITY, "x.*").select(*kinds)
