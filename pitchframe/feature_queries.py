@@ -62,6 +62,7 @@ _FSCORED = f", scored AS (SELECT *, {Q._scores(list(PROBS))} FROM families)"
 query("q_family_coverage", lambda b: X.family_coverage(_families(b)), f"{FAMILY_SQL}{_FSCORED} SELECT *, R6(available / samples::DOUBLE) AS coverage FROM (SELECT family, {Q._MEANS}, ISUM(available) AS available FROM scored GROUP BY 1)", venue=True)
 
 _CONTEXT = Q.CONTEXT_SQL + f", judged AS MATERIALIZED (SELECT *, label AS actual FROM final WHERE season_id = {SEASON})"
+_EVERY = Q.CONTEXT_SQL + ", judged AS MATERIALIZED (SELECT *, label AS actual FROM final)"
 _CPS = [f"c_{p}" for p in PROBS]
 _PRESSURE = "CASE WHEN gap >= 2 THEN 'high' WHEN gap <= -1.5 THEN 'low' ELSE 'balanced' END"
 query("q_eval_pressure", lambda b: X.by_pressure(X.frame_of(b, SEASON)), f"{_CONTEXT} SELECT pressure, {Q._MEANS} FROM (SELECT {_PRESSURE} AS pressure, {Q._scores(_CPS)} FROM judged) GROUP BY 1", venue=True)
@@ -93,7 +94,7 @@ def _ledger_row(feature: str, source: str, origin: str, influence: str) -> str:
     return f"SELECT {BALL}, '{feature}' AS feature, {'NULL' if held else source}::DOUBLE AS value, {_as(probs)}, '{origin}' AS source, {n}::BIGINT AS sample_size, {_STRENGTH.format(n=n)} AS strength, {shown} AS influence FROM played"
 
 
-query("q_feature_ledger", lambda b: X.ledger(X.frame_of(b, SEASON)), f"{_SEASON_FRAME} {' UNION ALL '.join(_ledger_row(*x) for x in X.LEDGER)}", venue=True)
+query("q_feature_ledger", lambda b: X.ledger(Q.P.feature_frame(b)), f"{Q.FRAME_CTE}, played AS (SELECT * FROM frame) {' UNION ALL '.join(_ledger_row(*x) for x in X.LEDGER)}", venue=True)
 _MATCHUP, _SIMILAR = _size(R._counts("batter_bowler")), _size(Q._hc("similar"))
 _RELIABLE = "CASE WHEN e >= 180 THEN 'high' WHEN e >= 60 THEN 'medium' WHEN e >= 20 THEN 'low' ELSE 'very_low' END"
 query("q_evidence_strength", lambda b: X.evidence_strength(Q.P.feature_frame(b)), f"{Q.FRAME_CTE} SELECT * EXCLUDE (e), e AS evidence_sample, CASE WHEN e < 40 OR matchup = 0 OR comparable = 0 OR {_RELIABLE} = 'low' THEN 'LIMITED EVIDENCE' WHEN e < 120 OR {_RELIABLE} = 'medium' THEN 'MODERATE SIGNAL' ELSE 'STRONG SIGNAL' END AS strength FROM (SELECT {BALL}, {Q._EVIDENCE} AS e, {_MATCHUP} AS matchup, {_SIMILAR}::BIGINT AS comparable FROM frame)", venue=True)
@@ -141,13 +142,13 @@ query("q_phases_in_order", lambda b: X.phases_in_order(b, SEASON), f"{STATE_CTE}
 query("q_first_match", lambda b, m: X.first_match(m, "Team1"), "SELECT season_id, match_id, venue, team_a, team_b, winner, match_type, match_date FROM meta WHERE team_a = 'Team1' OR team_b = 'Team1' ORDER BY match_date, match_id LIMIT 1", meta=True)
 query("q_without_matches", lambda b: X.without_matches(b, [199501, 199602]), "SELECT season_id, count(*) AS deliveries FROM balls WHERE match_id NOT IN (199501, 199602) GROUP BY 1")
 _PARTS = " UNION ALL ".join(f"SELECT {BALL}, '{n}' AS component, R6(w_{n} / w_total) AS share FROM judged" for n in Q._WEIGHTS)
-query("q_blend_contributions", lambda b: X.blend_contributions(X.frame_of(b, SEASON)), f"{_CONTEXT} SELECT * FROM ({_PARTS}) WHERE share > 0", venue=True)
+query("q_blend_contributions", lambda b: X.blend_contributions(Q.P.feature_frame(b)), f"{_EVERY} SELECT * FROM ({_PARTS}) WHERE share > 0", venue=True)
 _RS = [f"R6(b_{p})" for p in PROBS]
 _FIXED = ", ".join(f"r_{p} + CASE WHEN top_of = '{x}' THEN rest ELSE 0.0 END AS {p}" for p, x in zip(PROBS, LABELS, strict=True))
 _RP = [f"r_{p}" for p in PROBS]
 query(
-    "q_exact_blend", lambda b: X.exact_blend(X.frame_of(b, SEASON)),
-    f"{_CONTEXT}, rounded AS (SELECT {BALL}, {_as(_RS, _RP)} FROM judged), fixed AS (SELECT {BALL}, {_FIXED} FROM (SELECT *, {R._top(_RP)} AS top_of, R6(1.0::DOUBLE - {_size(_RP)}) AS rest FROM rounded)) SELECT *, {R._top(list(PROBS))} AS top FROM fixed",
+    "q_exact_blend", lambda b: X.exact_blend(Q.P.feature_frame(b)),
+    f"{_EVERY}, rounded AS (SELECT {BALL}, {_as(_RS, _RP)} FROM judged), fixed AS (SELECT {BALL}, {_FIXED} FROM (SELECT *, {R._top(_RP)} AS top_of, R6(1.0::DOUBLE - {_size(_RP)}) AS rest FROM rounded)) SELECT *, {R._top(list(PROBS))} AS top FROM fixed",
     venue=True,
 )
 
