@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import texts, written
 
+WORDS, CHARACTERS = 640_000, 8_000_000  #: chunks whose ids a worker keeps, and characters that it splits at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long"
 PLACED = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -152,7 +153,7 @@ def pack(docs: DataFrame, vocabulary: str, spaced: bool = True, end_id: int = 2,
 
         from .tokens import encoder
 
-        words, end, task, seen = encoder(vocabulary, spaced), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), Counter()
+        words, end, task, seen = encoder(vocabulary, spaced, WORDS, CHARACTERS), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), Counter()
         names = [f.split()[0] for f in PIECES.split(", ")]
         for batch in batches:
             rows = []

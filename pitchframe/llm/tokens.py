@@ -14,7 +14,7 @@ import re
 
 MAX_CHUNK = 64
 TOGETHER = 250  #: chunks encoded as one text
-TEXTS, CHARACTERS = 2_000, 2_000_000  #: texts split at once, at most (a longer one alone)
+TEXTS, CHARACTERS = 10_000, 2_000_000  #: texts split at once, at most (a longer one alone)
 WORD_END = "</w>"
 ENDS = ".,;:!?"  #: signs that may end a word's chunk
 _SPACE, _DOUBLE_SPACE = re.compile(r"\s"), re.compile(r"\s\s")
@@ -39,14 +39,14 @@ class WordEncoder:
     Otherwise the vocabulary is one of lower case, white space only separates words, and a word's ids end with its word end.
     """
 
-    def __init__(self, path: str, spaced: bool, max_words: int = 400_000):
+    def __init__(self, path: str, spaced: bool, max_words: int = 400_000, characters: int = CHARACTERS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.spaced, self.max_words = spaced, max_words
+        self.spaced, self.max_words, self.characters = spaced, max_words, characters
         self.kept: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the chunks kept before these; those met again are kept on
         vocab = self.library.get_vocab(with_added_tokens=False)
@@ -152,7 +152,7 @@ class WordEncoder:
         sizes, lo = list(map(len, texts)), 0
         while lo < len(texts):
             hi, size = lo + 1, sizes[lo]
-            while hi < len(texts) and hi - lo < TEXTS and size + sizes[hi] <= CHARACTERS:
+            while hi < len(texts) and hi - lo < TEXTS and size + sizes[hi] <= self.characters:
                 size, hi = size + sizes[hi], hi + 1
             part = [self._prepared(t) for t in texts[lo:hi]]
             split = pc.split_pattern(pa.array([p for p in part if p is not None], pa.large_string()), " ")
@@ -170,10 +170,10 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, spaced: bool, max_words: int = 400_000) -> WordEncoder:
+def encoder(path: str, spaced: bool, max_words: int = 400_000, characters: int = CHARACTERS) -> WordEncoder:
     """The worker's encoder of this vocabulary: a reused Python worker keeps its cache between tasks."""
-    key = (path, spaced, max_words)
+    key = (path, spaced, max_words, characters)
     if key not in _LAST:
         _LAST.clear()
-        _LAST[key] = WordEncoder(path, spaced, max_words)
+        _LAST[key] = WordEncoder(*key)
     return _LAST[key]
