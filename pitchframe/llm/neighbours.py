@@ -3,7 +3,7 @@
 Each of ``curves`` orderings turns the vectors by its own random rotation, keeps ``dims`` coordinates, shifts
 them and orders the rows by position on a Hilbert curve. The order is cut into ranges of equal numbers of rows at
 quantiles of a bounded sample (``sample`` vectors, those with the smallest hashes of their ids); Spark deals the rows
-to the ranges. A query is sent to its own range and those around it, ``window`` of all ranges to either side, where its
+to the ranges. A query is sent to its own range and those around it, a ``share`` of all ranges at any size, where its
 distances to all rows are computed; the best of all curves are merged and ranked. Every row is in every ordering.
 
 Rows at one position that fills several ranges are spread over them and queries visit them all, so a common vector
@@ -78,7 +78,7 @@ def nearest(
     curves: int = 16,
     dims: int = 8,
     bits: int = 4,
-    window: float = 0.04,
+    share: float = 7 / 64,
     range_rows: int = 4096,
     sample: int = 10_000,
     most_queries: int = 8192,
@@ -95,12 +95,12 @@ def nearest(
     found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for size, n, asking in sorted(map(tuple, sizes.where("asking > 0").collect())):  # a row for each length of vectors
         same = rows.where(F.size("embedding") == size)
-        found = found.unionByName(_nearest(same, size, n, asking, k, curves, dims, bits, window, range_rows, sample, most_queries, seed))
+        found = found.unionByName(_nearest(same, size, n, asking, k, curves, dims, bits, share, range_rows, sample, most_queries, seed))
     return found
 
 
 def _nearest(
-    rows: DataFrame, size: int, n: int, asking: int, k: int, curves: int, dims: int, bits: int, window: float,
+    rows: DataFrame, size: int, n: int, asking: int, k: int, curves: int, dims: int, bits: int, share: float,
     range_rows: int, sample: int, most_queries: int, seed: int,
 ) -> DataFrame:
     """The answers among ``n`` rows (vec_id, embedding, asks), each id once, whose vectors have ``size`` numbers; ``asking`` ask."""
@@ -112,7 +112,7 @@ def _nearest(
     # Few rows make few ranges, so that windows hold several times k rows.
     ranges = max(1, min(64, n // (4 * k)), min(sample // 20, n // range_rows))
     model = spark.sparkContext.broadcast(Curves(np.array(list(drawn)), curves, dims, bits, ranges, seed))
-    beside = int(np.ceil(window * ranges))
+    beside = max(0, int(np.ceil((share * ranges - 1) / 2)))  # at least the share, however many ranges there are
     parts = max(1, -(-asking * (2 * beside + 1) // ranges // most_queries))
 
     def place(batches: Iterator) -> Iterator:
