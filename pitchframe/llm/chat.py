@@ -67,21 +67,24 @@ def said(messages: DataFrame) -> DataFrame:
 
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, passage, level, hash, chars, whole): units of each run of quoted lines of one level."""
-    runs = F.aggregate(
-        F.filter("lines", lambda x: (x["level"] == 0) | (F.trim(x["body"]) != "")),
-        F.array().cast("array<struct<level:int,lines:array<string>>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["level"] == x["level"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        x["level"].alias("level"), F.concat(F.element_at(acc, -1)["lines"], F.array(x["body"])).alias("lines")
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), F.array(x["body"]).alias("lines"))))),
-    )
+    lines = F.filter("lines", lambda x: (x["level"] == 0) | (F.trim(x["body"]) != ""))
+
+    def bound(value: Column, use) -> Column:
+        """``use`` of a value that is worked out once, however often it is named."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def cut(rows: Column) -> Column:
+        """Runs of lines of one level, by the places where the level changes."""
+        first = lambda i: (i == 0) | (F.get(rows, i)["level"] != F.get(rows, i - 1)["level"])
+        starts = F.when(F.size(rows) > 0, F.filter(F.sequence(F.lit(0), F.size(rows) - 1), first)).otherwise(F.array().cast("array<int>"))
+
+        def between(at: Column) -> Column:
+            bodies = lambda i, k: F.transform(F.slice(rows, i + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - i), lambda x: x["body"])
+            return F.transform(at, lambda i, k: F.struct(F.get(rows, i)["level"].alias("level"), bodies(i, k).alias("lines")))
+
+        return bound(starts, between)
+
+    runs = bound(lines, cut)
     found = messages.where("quoted").select("conv_id", "turn", F.posexplode(runs).alias("passage", "run"))
     found = found.where("run.level > 0").select(
         "conv_id", "turn", "passage", "run.level", _units(F.array_join("run.lines", " "), F.col("run.lines")).alias("units")

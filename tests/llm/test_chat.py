@@ -66,3 +66,16 @@ def test_answers_stand_behind_what_they_answer(found):
 
 def test_empty_table(spark):
     assert chat.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_runs_of_a_very_long_quote(spark):
+    """Passages are the runs of lines of one level, blank quoted lines left out."""
+    import itertools
+
+    lines = [(i // 700 % 3, f"line {i}" if i % 11 else " ") for i in range(30_000)]
+    text = "\n".join((">" * level + " " if level else "") + body for level, body in lines)
+    rows = spark.createDataFrame([(1, 0, "user", "line 1"), (1, 1, "user", text), (1, 2, "user", ""), (1, 3, "user", "> \n>")], "conv_id long, turn int, role string, text string")
+    got = {(r.turn, r.passage, r.level) for r in chat.passages(chat.parsed(rows)).collect()}
+    kept = [x for x in lines if x[0] == 0 or x[1].strip()]
+    want = {(1, k, level) for k, (level, _) in enumerate(itertools.groupby(kept, key=lambda x: x[0])) if level}
+    assert got == want and len(want) > 20
