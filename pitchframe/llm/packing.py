@@ -91,8 +91,9 @@ def pack(
     def fill(key, group):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        group = group.take(pa.compute.sort_indices(group, [("doc_id", "ascending"), ("salt", "ascending")]))
+        group = group.take(pc.sort_indices(group, [("doc_id", "ascending"), ("salt", "ascending")]))
         tokens, rest, crc = (group.column(c).to_numpy() for c in ("doc_tokens", "rest", "rest_crc"))
         # The last piece of each document is packed; the full ones follow as sequences of their own.
         short = np.flatnonzero(rest)

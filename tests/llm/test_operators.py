@@ -122,3 +122,11 @@ def test_fingerprints(spark):
 
 def test_pseudonyms_keep_rows(spark):
     assert queries.QUERIES["op6_pii"](spark, SF).count() >= 1
+
+
+def test_modules_of_arrow_are_imported_where_they_are_used():
+    """A worker that starts afresh has no pyarrow.compute unless somebody imports it."""
+    import pathlib
+
+    for path in pathlib.Path(packing.__file__).parent.parent.rglob("*.py"):
+        assert "pa.compute" not in path.read_text(), path
