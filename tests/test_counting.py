@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchframe.functions.expr import COUNTS
-from pitchframe.operators import counting, evidence
+from pitchframe.operators import counting, evidence, models, state
 from pitchframe.sources.adapter import deliveries
 
 
@@ -54,3 +54,31 @@ def test_no_window_holds_a_block_of_matches(rows):
 
 def test_an_empty_table_has_no_histories(rows):
     assert evidence.histories(rows.limit(0), "batter", "s0").count() == 0
+
+
+def test_sums_of_an_innings_in_the_pass_are_those_of_a_loop(spark, rows):
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = _ordered(evidence.histories(state.with_played(rows), "batter", inside=state.with_recent, sums=state.PLAY))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(got) == rows.count() > 500
+    seen, last = defaultdict(Counter), defaultdict(list)
+    for r in got:
+        innings = (r.season_id, r.match_id, r.innings)
+        for key, of in state.PLAY.items():
+            held = seen[innings, key, r[key]]
+            assert [r[n] for n in of] == [held[n] for n in of]
+            held.update({n: r[c] for n, c in of.items()})
+        assert r.recent == " ".join(last[innings][-6:]) and r.recent_wicket == last[innings][-6:].count("wicket")
+        last[innings].append(r.label)
+
+
+def test_exchanges_of_the_feature_frame_carry_no_state_of_play(rows, monkeypatch):
+    frame, seen = type(rows), []
+    real = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: (seen.append(set(self.columns)), real(self, *a))[1])
+    got = models.feature_frame(rows.drop("score_before", "wickets_before", "legal_before", "label", *COUNTS))
+    made = {"striker_runs", "spell_balls", "partnership_runs", "recent", "recent_wicket", "window_runs", "gap"}
+    assert made <= set(got.columns) and len(seen) >= 3 and not made & set().union(*seen)
