@@ -5,6 +5,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitchframe.operators import identity, similar
 
@@ -72,3 +73,23 @@ def test_clear_aliases_come_before_similar_names(spark):
     questions = spark.createDataFrame([("kohli",), ("virat kohlii",), ("sharma",), ("qqq",), ("rohitt sharm",)], "query string")
     got = {r.query: r.player for r in similar.resolved_or_similar(questions, identity.resolved(questions, index, activity), players).collect()}
     assert got == {"kohli": "Virat Kohli", "virat kohlii": "Virat Kohli", "sharma": None, "qqq": None, "rohitt sharm": None}
+
+
+def test_a_text_is_searched_for_its_first_two_words_only(spark):
+    texts = ["One two three", "one", "", None, "  --One,,TWO!", "İstanbul x", "été a1 b2", "a" * 5000, "x\n\ny z"]
+    from pitchframe.name_queries import two_words
+
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = [r.w for r in frame.select(identity.norm(F.col("text")).alias("w")).collect()]
+    got = {(r.f, r.l) for r in two_words(frame).collect()}
+    assert got == {tuple(w.split(" ")[:2]) for w in words if len(w.split(" ")) > 1}
+    plan = two_words(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1
+
+
+def test_words_that_share_pairs_but_not_enough_letters_are_not_compared(spark, monkeypatch):
+    asked, words = ["abcdef", "abcdgh", "abcdij"], ["abcdkl", "abcdmn", "abcdef"]
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    seen, real = [], similar.ratio
+    monkeypatch.setattr(similar, "ratio", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    assert [r.other for r in similar.similar_words(frame(asked), frame(words)).collect()] == ["abcdef"] and seen == [1]
