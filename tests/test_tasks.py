@@ -3,7 +3,7 @@
 import pytest
 
 from pitchframe import all_queries, registry
-from pitchframe.operators import evaluate, state
+from pitchframe.operators import evaluate, models, state
 from pitchframe.sources import adapter
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +32,13 @@ def test_a_seasons_balls_are_read_by_themselves(spark):
     assert all("season_id" in plan[i] for i in windows)
 
 
+def test_totals_by_keys_of_the_tables_need_no_exchange_by_innings(spark):
+    plain, cut = (adapter.deliveries(spark, SF, cut=c) for c in (False, True))
+    exchanges = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [season_id")
+    assert exchanges(models.model_hierarchical(cut, plain)) == exchanges(models.model_hierarchical(cut)) - 2
+    assert exchanges(models.baseline(cut, "legal_phase", plain)) == exchanges(models.baseline(cut, "legal_phase"))  # phases are made of numbers
+
+
 @pytest.mark.parametrize(("name", "cut"), [*((n, True) for n in NAMED), ("q_batter_stats", False)])
 def test_queries_by_the_state_of_play_cut_their_deliveries(monkeypatch, name, cut):
     class Seen(Exception):
