@@ -1,5 +1,7 @@
 """How much of the balls one task holds: plans that sort innings have tasks by the number of balls, and a season is read by itself."""
 
+import re
+
 import pytest
 
 from pitchframe import all_queries, registry
@@ -24,6 +26,16 @@ def test_cut_deliveries_are_the_same_in_as_many_tasks_as_their_number_needs(spar
     assert sum(sizes) == plain.select(*state.INNINGS).distinct().count()  # each in one task, for its windows too
 
 
+@pytest.mark.parametrize("cut", [False, True])
+def test_lines_meet_their_orders_in_as_many_tasks_as_their_number_needs(spark, monkeypatch, cut):
+    few = adapter.deliveries(spark, SF, cut=cut)
+    monkeypatch.setattr(adapter, "LINES", 100)
+    many = adapter.deliveries(spark, SF, cut=cut)
+    tasks = lambda rows: re.findall(r"RepartitionByExpression \[[lo]_orderkey#\d+L?\], (\d+)", rows._jdf.queryExecution().optimizedPlan().toString())
+    assert tasks(few) == [] and tasks(many) == [str(few.count() // 100)] * 2 == ["60", "60"]
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
 def test_a_seasons_balls_are_read_by_themselves(spark):
     rows = evaluate.trace(adapter.deliveries(spark, SF), 1996, 1997)
     plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
