@@ -36,6 +36,14 @@ def test_lines_meet_their_orders_in_as_many_tasks_as_their_number_needs(spark, m
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
 
 
+@pytest.mark.parametrize("name", ["q_eval_by_outcome", "q_model_selection"])
+def test_no_join_of_a_trace_goes_by_the_sessions_shuffle_partitions(spark, monkeypatch, name):
+    monkeypatch.setattr(adapter, "LINES", 100)
+    plan = all_queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = len(re.findall(r"Join Inner, \(l_orderkey", plan))
+    assert joins >= 2 and re.findall(r"RepartitionByExpression \[[lo]_orderkey#\d+L?\], (\d+)", plan) == ["60"] * 2 * joins
+
+
 def test_a_seasons_balls_are_read_by_themselves(spark):
     rows = evaluate.trace(adapter.deliveries(spark, SF), 1996, 1997)
     plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
