@@ -36,6 +36,12 @@ def test_lines_meet_their_orders_in_as_many_tasks_as_their_number_needs(spark, m
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
 
 
+def test_the_join_has_no_more_tasks_than_are_written_without_sorting(spark, monkeypatch):
+    monkeypatch.setattr(adapter, "LINES", 10)
+    plan = adapter.deliveries(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"RepartitionByExpression \[[lo]_orderkey#\d+L?\], (\d+)", plan) == ["200", "200"]
+
+
 @pytest.mark.parametrize("name", ["q_eval_by_outcome", "q_model_selection"])
 def test_no_join_of_a_trace_goes_by_the_sessions_shuffle_partitions(spark, monkeypatch, name):
     monkeypatch.setattr(adapter, "LINES", 100)
