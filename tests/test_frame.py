@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from pitchframe import all_queries
 from pitchframe.functions.expr import COUNTS
 from pitchframe.operators import evidence, models
 from pitchframe.sources import adapter
@@ -95,3 +96,12 @@ def test_totals_that_no_ball_looks_at_are_left_out(spark, monkeypatch):
         monkeypatch.setattr(evidence, "SIMILAR", tuple((k, n) for (k, _), n in zip(evidence.SIMILAR, (*enough, 1), strict=True)))
         found.append({r.context for r in evidence.over_totals(rows).select("context").distinct().collect()})
     assert found == [{"s0", "s1"}, {"s1"}, set()]
+
+
+@pytest.mark.parametrize("name", ["q_family_source", "q_family_adjust", "q_candidate_blends", "q_feature_ledger", "q_blend_contributions"])
+def test_what_is_spread_over_rows_is_compiled_and_computed_once(spark, name):
+    plan = all_queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    generators = re.findall(r"Generate explode\((\w+)", plan)
+    # Keys of histories and overs are few and narrow; what is spread is a column of the projection in front, which no inferred condition repeats.
+    assert sum(g in ("f", "r", "e", "c") for g in generators) == 1
+    assert "size(array(" not in plan
