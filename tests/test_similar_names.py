@@ -4,6 +4,7 @@ import difflib
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,30 @@ def test_words_that_share_pairs_but_not_enough_letters_are_not_compared(spark, m
     seen, real = [], similar.ratio
     monkeypatch.setattr(similar, "ratio", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
     assert [r.other for r in similar.similar_words(frame(asked), frame(words)).collect()] == ["abcdef"] and seen == [1]
+
+
+def test_pairs_compared_at_once_are_those_compared_one_by_one():
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdé") for _ in range(draw.choice([1, 2, 3, 5, 8, 13, 39, 40, 41, 60])))
+    pairs = [(word(), word()) for _ in range(3000)] + [("aab", "ab"), ("abab", "baba"), ("abcabc", "cabcab")]
+    a, b = (pd.Series(x, index=range(7, 7 + len(pairs))) for x in zip(*pairs, strict=True))
+    assert similar.matched_each(a, b).tolist() == [similar.matched(u, v) for u, v in pairs]
+    assert similar.matched_each(a[:0], b[:0]).tolist() == []
+
+
+def test_first_words_without_letters_in_common_are_not_compared(spark, monkeypatch):
+    compared, real = [], similar.ratio
+    monkeypatch.setattr(similar, "ratio", lambda pairs, a, b, name: (compared.append((name, pairs)), real(pairs, a, b, name))[1])
+    asked = spark.createDataFrame([("abcd smith",), ("b smith",)], "query string")
+    players = spark.createDataFrame([("wxyz smith",), ("abce smith",), ("a smith",), ("b smith",)], "player string")
+    got = {(r.query, r.player) for r in similar.fuzzy(asked, players).collect()}
+    assert got == {("abcd smith", "abce smith"), ("abcd smith", "a smith"), ("b smith", "b smith"), ("b smith", "abce smith")}
+    assert {(r["first"], r.initial) for name, pairs in compared if name == "like" for r in pairs.collect()} == {("abcd", "abce"), ("b", "abce")}
+
+
+def test_documents_are_read_once(spark):
+    from pitchframe import name_queries
+
+    plan = name_queries.resolve_fuzzy(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    relations = [line.strip(" :+-") for line in plan.splitlines() if "Relation [" in line]
+    assert len(relations) > 1 and all(line.startswith("InMemoryRelation") for line in relations)
